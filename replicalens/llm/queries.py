@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import langid, media, mixing, warc
+from . import langid, media, mixing, pieces, pii, quality, warc
 
 QUERIES = {
     "op1_media_columns": media.op1,
     "op5_warc": warc.op5,
+    "op6_quality_classifier": quality.op6,
     "op7_mixing": mixing.op7,
+    "op8_pii": pii.op8,
+    "op9_sentencepiece": pieces.op9,
     "op10_language_id": langid.op10,
 }
 #: The others have no SQL: they write and read files, learn a model or draw from one; tests hold them against brute force.
