@@ -206,5 +206,5 @@ def joined_spans(column) -> F.Column:
 
 def op8(spark, sf_dir: str) -> DataFrame:
     found = detect(common.in_order(spark.read.parquet(f"{sf_dir}/documents.parquet"), "doc_id", "text"))
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
+    counts = [F.size(F.filter("base", lambda x: x["kind"] == F.lit(k))).cast("long").alias(f"n_{name}") for k, name in enumerate(KINDS)]
     return found.select("doc_id", *counts, F.sha2(joined_spans(F.col("base")), 256).alias("base_sha256"), joined_spans(F.col("spans")).alias("spans"))
