@@ -166,7 +166,8 @@ def read(manifest: DataFrame) -> DataFrame:
                         out = []
                 yield _frame(out)
 
-    return manifest.select("file", "sha256").repartition("file").mapInPandas(get, RECORDS)
+    files = manifest.count()  # a stated number keeps them apart: one file a task
+    return manifest.select("file", "sha256").repartition(max(1, min(files, 4096)), "file").mapInPandas(get, RECORDS)
 
 
 def _frame(rows: list[dict]) -> pd.DataFrame:
