@@ -115,3 +115,13 @@ drawn AS (
 SELECT doc_id, size, source_size, target,
        (size * (whole + CASE WHEN rest > 0 AND 2 * before + size <= 2 * rest THEN 1 ELSE 0 END))::BIGINT AS taken FROM drawn
 """
+
+
+def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: str = SEED) -> DataFrame:
+    """docs, each row as often as the mix takes it; rows that repeat a doc_id are taken alike."""
+    times = mix(docs, weights, share, most, seed).groupBy("doc_id").agg(F.max("copies").alias("__copies")).where("__copies > 0").withColumnRenamed("doc_id", "__id")
+    times = common.stage(times, f"{common.new_folder(docs.sparkSession, 'mixing-copies')}/copies")
+    if times.count() * 48 < common.BROADCAST_BYTES:
+        times = F.broadcast(times)
+    rows = docs.join(times, F.col("doc_id").eqNullSafe(F.col("__id")))
+    return rows.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import jaccard, knn, langid, media, mixing, pieces, pii, quality, warc
+from . import jaccard, katz, knn, langid, media, mixing, pieces, pii, quality, warc
 
 QUERIES = {
     "op1_media_columns": media.op1,
     "op2_top_k": knn.op2,
+    "op3_katz": katz.op3,
     "op4_jaccard": jaccard.op4,
     "op5_warc": warc.op5,
     "op6_quality_classifier": quality.op6,
