@@ -1 +1,56 @@
-"""The corpus pipeline; its stages are added as their operators are."""
+"""The corpus pipeline: five stages, each calling one operator on all that its predecessor kept.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
+stage's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from replicalens.llm import common, jaccard, mixing, pieces, pii, quality
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects the documents that the trees, learned from labels, score below a half."""
+    return quality.kept(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies, the one with the smallest doc_id."""
+    return jaccard.one_of_each(docs)
+
+
+def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks personal data in the texts and counts their characters anew."""
+    return pii.masked(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats and drops documents so that the sources' words meet their targets."""
+    return mixing.mixed(docs)
+
+
+def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source and the sampled pieces of each document."""
+    return pieces.encode(docs, ["doc_id", "lang", "source"])
+
+
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("n-gram Jaccard join", ngram_jaccard_join),
+    ("PII", personal_data),
+    ("mixing sources", source_mixing),
+    ("SentencePiece", sentencepiece),
+]
+#: Learned scores and sampled pieces have no SQL; tests hold run() against a brute-force version.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = common.new_folder(spark, "pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for n, (_, stage) in enumerate(STAGES):
+        docs = common.stage(stage(spark, docs, sf_dir), f"{folder}/stage{n}")
+    return docs
