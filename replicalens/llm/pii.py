@@ -1,12 +1,13 @@
 """Personal data: fixed patterns, and contexts learned from what they find.
 
 ``base_spans`` finds e-mail and IP addresses, card and phone numbers by the contract's patterns. ``discovered`` boots
-from them: every found span is a seed; the words beside it (one before, two before, one behind, both sides) are lexical
-patterns for its kind. Other tokens that look roughly like an identifier are instances without a kind. In ROUNDS rounds
-Spark scores the graph of patterns and instances: a pattern's confidence in a kind is the mean confidence of all
-instances it touches, seeds of that kind counting 1 and of another kind 0; an instance's is the noisy-or over its
-patterns that have at least SUPPORT different seeds and a confidence of CONFIDENT or more. Instances that end at
-CONFIDENT are new spans. Patterns and instances stay in tables; nothing of them is collected.
+from them: the string of every found span is a seed; the words beside it (one before, two before, one behind, both
+sides) are lexical patterns for its kind. Other tokens that look roughly like an identifier are instances that are not
+yet known. In ROUNDS rounds Spark scores the graph of patterns and instances: a pattern's confidence in a kind is the
+mean confidence of all different strings it touches, seeds of that kind counting 1, those of another 0; an instance's
+is the noisy-or over its patterns that have at least SUPPORT different seeds and a confidence of CONFIDENT or more.
+Instances that end at CONFIDENT are new spans wherever they stand. Strings are counted once, so copies of a document
+support nothing. Patterns and instances stay in tables; nothing of them is collected.
 
 Spans are code points, end exclusive. Defined cases: a null text counts as empty and has no spans; the counts and the
 digest are those of the fixed patterns, ``spans`` also lists what was discovered; rows that repeat doc_id and text have
@@ -92,15 +93,15 @@ def contexts(text: str, start: int, end: int) -> list[str]:
     return out
 
 
-def instances(text: str | None, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, bool, list[str]]]:
-    """(start, kind, end, whether a seed, patterns) of the base spans and of other tokens that look like identifiers."""
-    out = [(s, k, e, True, contexts(text, s, e)) for s, k, e in base]
+def instances(text: str | None, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, bool, str, list[str]]]:
+    """(start, kind, end, whether a seed, the string itself, patterns) of the base spans and of other tokens that look like identifiers."""
+    out = [(s, k, e, True, text[s:e], contexts(text, s, e)) for s, k, e in base]
     for m in TOKEN.finditer(text or "") if text and (base or any(c in text for c in "@0123456789")) else ():
         token = m[0].strip(EDGE)
         start = m.start() + m[0].index(token) if token else m.start()
         end = start + len(token)
         if token and (kind := looks_like(token)) is not None and not any(s < end and start < e for s, _, e in base):
-            out.append((start, kind, end, False, contexts(text, start, end)))
+            out.append((start, kind, end, False, token, contexts(text, start, end)))
     return out
 
 
@@ -109,20 +110,20 @@ def _span_type():
 
 
 SPANS = "array<struct<start:int,kind:int,end:int>>"
-FOUND = "array<struct<start:int,kind:int,end:int,seed:boolean,patterns:array<string>>>"
+FOUND = "array<struct<start:int,kind:int,end:int,seed:boolean,value:string,patterns:array<string>>>"
 
 
 def scan(docs: DataFrame) -> DataFrame:
     """doc_id, __pii_key (of doc_id and text), base spans and instances for each row of docs(doc_id, text)."""
 
     def find(batches):
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("seed", pa.bool_()), ("patterns", pa.list_(pa.string()))]))
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("seed", pa.bool_()), ("value", pa.string()), ("patterns", pa.list_(pa.string()))]))
         for batch in batches:
             spans, found = [], []
             for text in batch.column("text").to_pylist():
                 base = base_spans(text)
                 spans.append([{"start": s, "kind": k, "end": e} for s, k, e in base])
-                found.append([dict(zip(("start", "kind", "end", "seed", "patterns"), x, strict=True)) for x in instances(text, base)])
+                found.append([dict(zip(("start", "kind", "end", "seed", "value", "patterns"), x, strict=True)) for x in instances(text, base)])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("__pii_key"), pa.array(spans, _span_type()), pa.array(found, kind)], names=["doc_id", "__pii_key", "base", "found"])
 
     common.small_batches(docs.sparkSession)
@@ -136,24 +137,27 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 def discovered(scanned: DataFrame, folder: str) -> DataFrame:
     """__pii_key and the spans that high-confidence patterns add, for the documents that have any."""
-    flat = scanned.select("__pii_key", F.explode("found").alias("x")).select("__pii_key", "x.*").dropDuplicates(["__pii_key", "start", "kind"])
-    # An instance is a span of a document; seeds of a kind are told apart by document, so copies of a text count once more only if their keys differ.
-    nodes = common.stage(flat.withColumn("conf", F.when(F.col("seed"), 1.0).otherwise(0.0)), f"{folder}/instances")
-    edges = nodes.select("__pii_key", "start", "kind", "seed", "end", F.explode("patterns").alias("pattern"))
-    state = nodes.select("__pii_key", "start", "kind", "conf")
+    found = scanned.select("__pii_key", F.explode("found").alias("x")).select("__pii_key", "x.*")
+    unseen = common.stage(found.where(~F.col("seed")), f"{folder}/unseen")
+    edges = common.stage(unseen.select("value", "kind", F.explode("patterns").alias("pattern")).distinct(), f"{folder}/edges")
+    # Only patterns that touch an instance without a kind can find one; seeds count once for each of their strings.
+    touching = edges.select("pattern").distinct()
+    seeds = found.where("seed").select("value", "kind", F.explode("patterns").alias("pattern")).join(touching, "pattern", "left_semi").distinct()
+    seeds = common.stage(seeds.groupBy("pattern", "kind").agg(F.count("*").alias("seeds")), f"{folder}/seeds")
+    touched = seeds.select("pattern", F.col("seeds").alias("n")).unionByName(edges.groupBy("pattern").agg(F.count("*").alias("n")))
+    strong = seeds.where(F.col("seeds") >= SUPPORT).join(touched.groupBy("pattern").agg(F.sum("n").alias("touched")), "pattern")
+    strong = common.stage(strong, f"{folder}/strong")
+    accepted = edges.select("value", "kind", F.lit(0.0).alias("conf")).limit(0)
     for n in range(ROUNDS):
-        scored = edges.join(state, ["__pii_key", "start", "kind"])
-        every = scored.groupBy("pattern").agg(F.count("*").alias("touched"))
-        per = scored.groupBy("pattern", "kind").agg(F.sum("conf").alias("mass"), F.count_if("seed").alias("seeds"))
-        good = per.where(F.col("seeds") >= SUPPORT).join(every, "pattern").withColumn("trust", F.col("mass") / F.col("touched")).where(F.col("trust") >= CONFIDENT)
-        good = common.stage(good.select("pattern", "kind", "trust"), f"{folder}/patterns{n}")
-        told = common.joined(edges.where(~F.col("seed")), good, ["pattern", "kind"], "inner", 100)
-        belief = told.groupBy("__pii_key", "start", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9)))))).alias("belief"))
-        now = nodes.select("__pii_key", "start", "kind", "end", "seed").join(belief, ["__pii_key", "start", "kind"], "left")
-        state = common.stage(now.select("__pii_key", "start", "kind", "end", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("belief", F.lit(0.0))).alias("conf")), f"{folder}/state{n}")
-        last, state = state, state.select("__pii_key", "start", "kind", "conf")
-    new = last.where(~F.col("seed") & (F.col("conf") >= CONFIDENT))
-    return new.groupBy("__pii_key").agg(F.collect_list(F.struct("start", "kind", "end")).alias("extra"))
+        if strong.isEmpty():
+            break
+        more = edges.join(accepted, ["value", "kind"]).groupBy("pattern", "kind").agg(F.sum("conf").alias("more"))
+        trust = strong.join(more, ["pattern", "kind"], "left").select("pattern", "kind", ((F.col("seeds") + F.coalesce("more", F.lit(0.0))) / F.col("touched")).alias("trust"))
+        told = edges.join(trust.where(F.col("trust") >= CONFIDENT), ["pattern", "kind"])
+        belief = told.groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("trust"), F.lit(1e-9)))))).alias("conf"))
+        accepted = common.stage(belief, f"{folder}/accepted{n}")
+    new = unseen.join(accepted.where(F.col("conf") >= CONFIDENT).select("value", "kind"), ["value", "kind"])
+    return new.groupBy("__pii_key").agg(F.collect_set(F.struct("start", "kind", "end")).alias("extra"))
 
 
 def detect(docs: DataFrame) -> DataFrame:
