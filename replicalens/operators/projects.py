@@ -5,11 +5,12 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import text as T
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalized_remote(urls: pd.Series) -> pd.Series:
     return urls.map(T.remote, na_action="ignore")
 

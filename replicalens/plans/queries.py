@@ -266,11 +266,11 @@ def memory_plan(spark, d):
     return memory.memory_plan(t("docs"), t("mtombs"), t("mbaseline"), both, every, every)
 
 
-@query("fuzzy_candidates", """, e AS (SELECT project_key, filename, name, description, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(name, '')), '[-_.]+'), lambda x: x <> '')) AS nt, list_distinct(regexp_extract_all(lower(coalesce(description, '')), '([a-z0-9]+|[㐀-鿿])', 1)) AS dt FROM docs WHERE side = 'local'),
-p AS (SELECT a.project_key, a.filename AS a, b.filename AS b, a.name AS name_a, b.name AS name_b, len(list_intersect(a.nt, b.nt)) AS ni, len(list_distinct(list_concat(a.nt, b.nt))) AS nu, len(list_intersect(a.dt, b.dt)) AS di, len(list_distinct(list_concat(a.dt, b.dt))) AS du, array_to_string(list_sort(list_intersect(a.nt, b.nt)), ',') AS shared
-  FROM e a JOIN e b ON a.project_key = b.project_key AND a.filename < b.filename WHERE NOT coalesce(a.name = b.name, FALSE)),
-s AS (SELECT *, CASE WHEN nu = 0 THEN 0 ELSE ni::DOUBLE / nu END AS ns, CASE WHEN du = 0 THEN 0 ELSE di::DOUBLE / du END AS ds FROM p)
-SELECT project_key, a, b, name_a, name_b, round(0.7::DOUBLE * ns + 0.3::DOUBLE * ds, 4) AS score, round(ns, 4) AS name_sim, round(ds, 4) AS desc_sim, shared AS shared_name_tokens FROM s WHERE 0.7::DOUBLE * ns + 0.3::DOUBLE * ds >= 0.25""", DOCS)
+@query("fuzzy_candidates", """, words AS (SELECT project_key, filename, name, description, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(name, '')), '[-_.]+'), lambda x: x <> '')) AS nt, list_distinct(regexp_extract_all(replace(lower(coalesce(description, '')), 'ß', 'ss'), '([a-z0-9]+|[㐀-鿿])', 1)) AS dt FROM docs WHERE side = 'local'),
+pairs AS (SELECT a.project_key, a.filename AS a, b.filename AS b, a.name AS name_a, b.name AS name_b, len(list_intersect(a.nt, b.nt)) AS ni, len(list_distinct(list_concat(a.nt, b.nt))) AS nu, len(list_intersect(a.dt, b.dt)) AS di, len(list_distinct(list_concat(a.dt, b.dt))) AS du, array_to_string(list_sort(list_intersect(a.nt, b.nt)), ',') AS shared
+  FROM words a JOIN words b ON a.project_key = b.project_key AND a.filename < b.filename WHERE NOT coalesce(a.name = b.name, FALSE)),
+scored AS (SELECT *, CASE WHEN nu = 0 THEN 0 ELSE ni::DOUBLE / nu END AS ns, CASE WHEN du = 0 THEN 0 ELSE di::DOUBLE / du END AS ds FROM pairs)
+SELECT project_key, a, b, name_a, name_b, round(0.7::DOUBLE * ns + 0.3::DOUBLE * ds, 4) AS score, round(ns, 4) AS name_sim, round(ds, 4) AS desc_sim, shared AS shared_name_tokens FROM scored WHERE 0.7::DOUBLE * ns + 0.3::DOUBLE * ds >= 0.25""", DOCS)
 def fuzzy_candidates(spark, d):
     docs = table(spark, d, "docs").where("side = 'local'")
     return fuzzy.candidates(docs.select("project_key", F.lit(0).alias("ord"), "filename", "name", "description"))
@@ -291,7 +291,7 @@ def conflict_tombstones(spark, d):
     return conflicts.tombstone_versions(table(spark, d, "docs"), table(spark, d, "mtombs"))
 
 
-@query("index_entries", """, x AS (SELECT project_key, lower(filename) AS f, filename, '- [' || coalesce(name, regexp_replace(filename, '\\.[^.]*$', '')) || '](' || filename || ')' AS e FROM docs WHERE side = 'local') SELECT project_key, string_agg(e, chr(10) ORDER BY f, filename) AS entries FROM x GROUP BY ALL""", DOCS)
+@query("index_entries", """, entry AS (SELECT project_key, lower(filename) AS f, filename, '- [' || coalesce(name, regexp_replace(filename, '\\.[^.]*$', '')) || '](' || filename || ')' AS line FROM docs WHERE side = 'local') SELECT project_key, string_agg(line, chr(10) ORDER BY f, filename) AS entries FROM entry GROUP BY ALL""", DOCS)
 def index_entries(spark, d):
     return memory.index_entries(table(spark, d, "docs").where("side = 'local'"))
 

@@ -11,9 +11,11 @@ import json
 import os
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 
@@ -22,6 +24,7 @@ FILES = "side string, project_key string, name string, path string, content bina
 LINES = "side string, project_key string, sid string, idx int, ok boolean, uuid string, parent string, ts string, type string, is_sidechain boolean, is_tool_fanout boolean, leaf_uuid string, cwd string, session_id string, canon_hash string, raw string, state string"
 DOCS = "side string, project_key string, filename string, state string, fm_ok boolean, name string, description string, content_hash string, body string, text string"
 TOMBSTONES = "project_key string, kind string, target string, base_hash string, identity string, machine string, time string, valid boolean"
+ACKS = "project_key string, kind string, identity string, fingerprint string"
 COVERAGE = "project_key string, initialized boolean, epoch long"
 
 
@@ -58,51 +61,51 @@ def list_paths(spark: SparkSession, roots: dict[str, str], kind: str) -> DataFra
     return spark.createDataFrame(rows, PATHS)
 
 
+def _mapped(df: DataFrame, schema: str, rows_of) -> DataFrame:
+    """rows_of turns each row, a dict, into rows of schema; batch by batch over Arrow."""
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(batches):
+        for batch in batches:
+            rows = [r for given in batch.to_pylist() for r in rows_of(given)]
+            yield from pa.Table.from_pylist(rows, arrow).combine_chunks().to_batches()
+
+    return df.mapInArrow(run, schema)
+
+
 def read_files(paths: DataFrame) -> DataFrame:
     """Each path's bytes; fails rather than lose one."""
 
-    def read(frames):
-        for x in frames:
-            data = [open(p, "rb").read() for p in x["path"]]
-            yield x.assign(content=data, raw_sha256=[hashlib.sha256(d).hexdigest() for d in data])
+    def read(row):
+        with open(row["path"], "rb") as f:
+            data = f.read()
+        yield row | {"content": data, "raw_sha256": hashlib.sha256(data).hexdigest()}
 
-    return paths.mapInPandas(read, FILES)
+    return _mapped(paths, FILES, read)
 
 
 def session_files(files: DataFrame) -> DataFrame:
     """side, project_key, sid, state, raw_sha256: a row for each file, also where it has no line."""
 
-    def states(frames):
-        for x in frames:
-            yield pd.DataFrame({"side": x["side"], "project_key": x["project_key"], "sid": x["name"].str.removesuffix(".jsonl"), "state": [T.file_state(d, T.decoded(d)) for d in x["content"]], "raw_sha256": x["raw_sha256"]})
+    def states(row):
+        yield row | {"sid": row["name"].removesuffix(".jsonl"), "state": T.file_state(row["content"], T.decoded(row["content"]))}
 
-    return files.mapInPandas(states, "side string, project_key string, sid string, state string, raw_sha256 string")
+    return _mapped(files, "side string, project_key string, sid string, state string, raw_sha256 string", states)
 
 
 def session_lines(files: DataFrame) -> DataFrame:
     """The non-blank lines of all session files."""
-    names = [c.split()[0] for c in LINES.split(", ")]
 
-    def lines(frames):
-        for x in frames:
-            for side, project, name, content in zip(x["side"], x["project_key"], x["name"], x["content"], strict=True):
-                state, rows = T.parsed_lines(content)
-                if rows:
-                    head = {"side": side, "project_key": project, "sid": name.removesuffix(".jsonl"), "state": state}
-                    yield pd.DataFrame([head | r for r in rows], columns=names)
+    def lines(row):
+        state, found = T.parsed_lines(row["content"])
+        head = {"side": row["side"], "project_key": row["project_key"], "sid": row["name"].removesuffix(".jsonl"), "state": state}
+        return (head | r for r in found)
 
-    return files.mapInPandas(lines, LINES)
+    return _mapped(files, LINES, lines)
 
 
 def memory_docs(files: DataFrame) -> DataFrame:
-    names = [c.split()[0] for c in DOCS.split(", ")]
-
-    def docs(frames):
-        for x in frames:
-            rows = [{"side": s, "project_key": p, "filename": n} | T.memory_document(c) for s, p, n, c in zip(x["side"], x["project_key"], x["name"], x["content"], strict=True)]
-            yield pd.DataFrame(rows, columns=names)
-
-    return files.mapInPandas(docs, DOCS)
+    return _mapped(files, DOCS, lambda r: [{"side": r["side"], "project_key": r["project_key"], "filename": r["name"]} | T.memory_document(r["content"])])
 
 
 def _object(raw: bytes):
@@ -130,48 +133,35 @@ def tombstone(name: str, raw: bytes) -> dict:
 
 def tombstones(files: DataFrame) -> DataFrame:
     """Valid and corrupt tombstones; corrupt ones block what they name."""
-    names = [c.split()[0] for c in TOMBSTONES.split(", ")]
-
-    def read(frames):
-        for x in frames:
-            yield pd.DataFrame([{"project_key": p} | tombstone(n, c) for p, n, c in zip(x["project_key"], x["name"], x["content"], strict=True)], columns=names)
-
-    return files.where(F.col("name").endswith(".deleted.json")).mapInPandas(read, TOMBSTONES)
+    named = files.where(F.col("name").endswith(".deleted.json"))
+    return _mapped(named, TOMBSTONES, lambda r: [{"project_key": r["project_key"]} | tombstone(r["name"], r["content"])])
 
 
 def coverage(files: DataFrame) -> DataFrame:
     """A row for each project whose coverage record is sound."""
 
-    def read(frames):
-        for x in frames:
-            rows = []
-            for p, c in zip(x["project_key"], x["content"], strict=True):
-                value = _object(c)
-                if type(value.get("initialized")) is bool and type(value.get("epoch")) is int and value["epoch"] >= 0:
-                    rows.append((p, value["initialized"], value["epoch"]))
-            yield pd.DataFrame(rows, columns=["project_key", "initialized", "epoch"])
+    def read(row):
+        value = _object(row["content"])
+        if type(value.get("initialized")) is bool and type(value.get("epoch")) is int and value["epoch"] >= 0:
+            yield {"project_key": row["project_key"], "initialized": value["initialized"], "epoch": value["epoch"]}
 
-    return files.where(F.col("name") == "_coverage.json").mapInPandas(read, COVERAGE)
+    return _mapped(files.where(F.col("name") == "_coverage.json"), COVERAGE, read)
 
 
 def acks(files: DataFrame, kinds=("casefold-collision", "damaged", "identity-collision")) -> DataFrame:
     """(kind, identity, fingerprint) records of acks.json; unsound records and ledgers count for nothing."""
 
-    def read(frames):
-        for x in frames:
-            rows = []
-            for p, c in zip(x["project_key"], x["content"], strict=True):
-                try:
-                    value = json.loads(c.decode())
-                    records = value["acks"] if type(value["version"]) is int and value["version"] == 1 else []
-                except (ValueError, UnicodeError, KeyError, TypeError):
-                    records = []
-                for r in records if isinstance(records, list) else ():
-                    if isinstance(r, dict) and r.get("kind") in kinds and isinstance(r.get("identity"), str) and isinstance(r.get("fingerprint"), str):
-                        rows.append((p, r["kind"], r["identity"], r["fingerprint"]))
-            yield pd.DataFrame(rows, columns=["project_key", "kind", "identity", "fingerprint"]).drop_duplicates()
-
-    return files.where(F.col("name") == "acks.json").mapInPandas(read, "project_key string, kind string, identity string, fingerprint string")
+    def read(row):
+        try:
+            value = json.loads(row["content"].decode())
+            records = value["acks"] if type(value["version"]) is int and value["version"] == 1 else []
+        except (ValueError, KeyError, TypeError):
+            records = []
+        for r in records if isinstance(records, list) else ():
+            if isinstance(r, dict) and r.get("kind") in kinds and isinstance(r.get("identity"), str) and isinstance(r.get("fingerprint"), str):
+                yield {"project_key": row["project_key"]} | {k: r[k] for k in ("kind", "identity", "fingerprint")}
+
+    return _mapped(files.where(F.col("name") == "acks.json"), ACKS, read).distinct()
 
 
 def first_cwds(lines: DataFrame) -> DataFrame:
