@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import acks, baseline, classify, conflicts, fuzzy, memory, plan, shape, transfer, union
+from ..operators import acks, baseline, classify, conflicts, diagnose, fuzzy, memory, outcomes, plan, shape, staging, transfer, union
 from ..operators import projects as project_rules
 from ..sources import ingest, sinks
 from .derived import DOCS, LINES, duck_sql, table
@@ -323,3 +323,26 @@ def ingest_lines(spark, d):
 def known_vanished(spark, d):
     e = spark.read.parquet(f"{d}/events.parquet")
     return e.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.countDistinct("user_id").alias("known"), F.countDistinct(F.when(F.col("event_type") == "purchase", F.col("user_id"))).alias("seen"))
+
+
+@query("apply_outcomes", PLAN + """SELECT project_key, sid, action, CASE WHEN action NOT IN ('identical', 'copy-to-hub', 'copy-to-local', 'suppressed-deleted', 'local-deleted', 'fast-forward') THEN 'reported' WHEN CAST(sid AS BIGINT) % 5 = 0 AND CAST(sid AS BIGINT) % 2 = 0 THEN 'skipped-changed'
+  WHEN action = 'identical' THEN 'identical' WHEN action = 'copy-to-hub' THEN 'copied-to-hub' WHEN action = 'copy-to-local' THEN 'copied-to-local' WHEN action = 'suppressed-deleted' THEN 'suppressed' WHEN action = 'local-deleted' THEN 'tombstoned-local-deletion' WHEN direction = 'local->hub' THEN 'applied-ff-hub' ELSE 'kept-both-local' END AS result FROM plan""")
+def apply_outcomes(spark, d):
+    made = session_plan(spark, d)
+    snapshot = made.select("project_key", "sid", F.sha2("sid", 256).alias("digest"))
+    later = snapshot.withColumn("digest", F.when(F.expr("cast(sid AS BIGINT) % 10 = 0"), "changed").otherwise(F.col("digest")))
+    return outcomes.apply_outcomes(made, made, snapshot, later)
+
+
+@query("project_diagnostics", "SELECT p.project_key, count(DISTINCT name) AS sessions, p.project_key <> 'p1' AS initialized, (SELECT count(*) FROM tombs t WHERE t.project_key = p.project_key AND t.valid) AS tombstones, 0::BIGINT AS collisions, 0::BIGINT AS acks, 0::INT AS problems FROM presence p WHERE side = 'hub' GROUP BY p.project_key")
+def project_diagnostics(spark, d):
+    none = spark.createDataFrame([], "project_key string")
+    return diagnose.projects(_presence(spark, d).where("side = 'hub'"), table(spark, d, "covered"), table(spark, d, "tombs"), none)
+
+
+@query("staging_folders", "SELECT project_key, filename, concat(project_key, '/', CASE WHEN doc_id % 3 = 0 THEN concat('by-name/', slug) WHEN doc_id % 3 = 1 THEN concat('fuzzy/', filename, '/', 'other%20', filename) ELSE filename END) AS folder FROM docs WHERE side = 'local'", DOCS)
+def staging_folders(spark, d):
+    docs = table(spark, d, "docs").where("side = 'local'")
+    kind = F.when(F.col("doc_id") % 3 == 0, "conflict-cross-file-identity").when(F.col("doc_id") % 3 == 1, "fuzzy").otherwise("conflict-content")
+    key = F.when(F.col("doc_id") % 3 == 0, F.col("slug")).otherwise(F.col("filename"))
+    return docs.select("project_key", "filename", staging.folder(F.col("project_key"), kind, key, F.concat(F.lit("other "), "filename")).alias("folder"))
