@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def versions(docs: DataFrame) -> DataFrame:
     """project_key, filename, content_hash, sides: a version for each content; damaged ones stay apart by side."""
@@ -24,18 +26,13 @@ def components(docs: DataFrame) -> DataFrame:
         best = links.join(label, ["project_key", "filename"]).groupBy("project_key", "name").agg(F.min("component").alias("least"))
         moved = links.join(best, ["project_key", "name"]).groupBy("project_key", "filename").agg(F.min("least").alias("least"))
         step = label.join(moved, ["project_key", "filename"]).select("project_key", "filename", F.least("component", "least").alias("component"), (F.col("least") < F.col("component")).alias("moved"))
-        step = _cut(step)
+        step = cut(step)
         changed = not step.where("moved").isEmpty()
         label = step.drop("moved")
         if not changed:
             return label
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage where a checkpoint folder is set."""
-    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df
-
-
 def tombstone_versions(docs: DataFrame, tombs: DataFrame) -> DataFrame:
     """project_key, filename, target: a file's own tombstone and those of its identity, each target once."""
     valid = tombs.where("valid")

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import TITLE_TYPES, VOLATILE_TYPES
+from .lineage import cut
 
 SESSION = ["project_key", "sid"]
 SIDED = ["side", *SESSION]
@@ -129,17 +130,19 @@ def profiles(lines: DataFrame, files: DataFrame | None = None) -> DataFrame:
 def ancestors(lines: DataFrame) -> DataFrame:
     """(side, project_key, sid, uuid, ancestor), each row its own ancestor first; parents that no row has are kept.
 
-    Walks level by level; as each level is a join, chains as long as the longest session set the number of rounds.
+    Paths double in each round, so a chain of n rows takes about log2 n joins.
     """
-    edges = lines.where(F.col("ok") & has_uuid()).groupBy(*SIDED, "uuid").agg(F.max_by("parent", "idx").alias("parent")).where(F.col("parent").isNotNull())
-    jump = edges.select(*SIDED, "uuid", F.col("parent").alias("ancestor"))
-    out = jump
+    named = lines.where(F.col("ok") & has_uuid())
+    edges = named.groupBy(*SIDED, "uuid").agg(F.max_by("parent", "idx").alias("parent")).where(F.col("parent").isNotNull())
+    out = cut(edges.select(*SIDED, "uuid", F.col("parent").alias("ancestor")))
+    n = out.count()
     while True:
         # Paths of up to twice the length: what a path's end reaches is added to its start.
-        longer = out.alias("a").join(out.alias("b"), [F.col(f"a.{c}") == F.col(f"b.{c}") for c in SIDED] + [F.col("a.ancestor") == F.col("b.uuid")]).select(*[F.col(f"a.{c}") for c in (*SIDED, "uuid")], F.col("b.ancestor"))
-        grown = out.unionByName(longer).distinct().checkpoint() if out.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else out.unionByName(longer).distinct()
-        if grown.count() == out.count():
+        on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in SIDED] + [F.col("a.ancestor") == F.col("b.uuid")]
+        longer = out.alias("a").join(out.alias("b"), on).select(*[F.col(f"a.{c}") for c in (*SIDED, "uuid")], F.col("b.ancestor"))
+        out = cut(out.unionByName(longer).distinct())
+        before, n = n, out.count()
+        if n == before:
             break
-        out = grown
-    own = lines.where(F.col("ok") & has_uuid()).select(*SIDED, "uuid", F.col("uuid").alias("ancestor")).distinct()
+    own = named.select(*SIDED, "uuid", F.col("uuid").alias("ancestor"))
     return out.unionByName(own).distinct()
