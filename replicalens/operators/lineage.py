@@ -1,13 +1,27 @@
-"""Where iterative operators end their lineage: a checkpoint in the folder that all executors share."""
+"""Where iterative operators end their lineage: a table in the folder that all executors share."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import atexit
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def cut(df: DataFrame) -> DataFrame:
     """df, written below spark.checkpoint.dir and read from there; a folder of our own serves where none is set."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/replicalens")
-    return df.checkpoint()
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/replicalens"
+    path = f"{root.rstrip('/')}/lineage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    atexit.register(_drop, spark, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    """Through Spark's own file systems, as long as there is a session."""
+    try:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    except Exception:  # noqa: BLE001 - at the end of the process the session may be gone; the folder then stays
+        pass

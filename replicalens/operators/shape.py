@@ -138,8 +138,8 @@ def ancestors(lines: DataFrame) -> DataFrame:
     n = out.count()
     while True:
         # Paths of up to twice the length: what a path's end reaches is added to its start.
-        on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in SIDED] + [F.col("a.ancestor") == F.col("b.uuid")]
-        longer = out.alias("a").join(out.alias("b"), on).select(*[F.col(f"a.{c}") for c in (*SIDED, "uuid")], F.col("b.ancestor"))
+        on_from = out.select(*SIDED, F.col("uuid").alias("ancestor"), F.col("ancestor").alias("farther"))
+        longer = out.join(on_from, [*SIDED, "ancestor"]).select(*SIDED, "uuid", F.col("farther").alias("ancestor"))
         out = cut(out.unionByName(longer).distinct())
         before, n = n, out.count()
         if n == before:
