@@ -176,7 +176,7 @@ def masked(docs: DataFrame) -> DataFrame:
     scanned = common.stage(scan(docs), f"{folder}/scan")
     spans = detect_spans(scanned, folder)
     rows = keyed(docs)
-    with_any = common.joined(rows, spans, ["__pii_key"], "left", 400)
+    with_any = common.joined(rows, spans.withColumnRenamed("spans", "__pii_spans"), ["__pii_key"], "left", 400)
 
     def put(batches):
         for batch in batches:
@@ -184,7 +184,7 @@ def masked(docs: DataFrame) -> DataFrame:
             i = batch.schema.get_field_index("text")
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if j == i else batch.column(j) for j in range(len(names))], names=names)
 
-    return with_any.select(*names, F.col("spans").alias("__pii_spans")).mapInArrow(put, docs.schema)
+    return with_any.select(*names, "__pii_spans").mapInArrow(put, docs.schema)
 
 
 def detect_spans(scanned: DataFrame, folder: str) -> DataFrame:
