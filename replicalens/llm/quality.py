@@ -158,16 +158,16 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", train_rows:
     return grow(x, got["y"].to_numpy(np.int64))
 
 
-def predict(docs: DataFrame, model: Trees, keep: list[str]) -> DataFrame:
-    """keep's columns and the score of each row of docs(text, ...)."""
+def predict(docs: DataFrame, model: Trees, keep: list[str], name: str = "score") -> DataFrame:
+    """keep's columns and the score of each row of docs(text, ...), in a column called name."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col("text").alias("__text"), *keep)
-    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep), "score double"])
+    schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep), f"`{name}` double"])
 
     def score(batches):
         for block in common.blocks(batches, BLOCK_BYTES, "__text"):
             found = shared.value.score(statistics(common.column(block, "__text")))
-            yield from block.select(keep).append_column("score", pa.array(found)).combine_chunks().to_batches()
+            yield from block.select(keep).append_column(name, pa.array(found)).combine_chunks().to_batches()
 
     common.small_batches(docs.sparkSession)
     return rows.mapInArrow(score, schema)
@@ -189,4 +189,4 @@ def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that a model of their own labels, held-out ones left aside, does not reject."""
     model = fit(docs, labels.where(~held_out(F.col("doc_id"))))
     names = docs.columns
-    return predict(docs, model, names).where(F.col("score") >= 0.5).select(*names)
+    return predict(docs, model, names, "__quality").where(F.col("__quality") >= 0.5).select(*names)
