@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import acks, baseline, classify, conflicts, diagnose, fuzzy, memory, outcomes, plan, shape, staging, transfer, union
 from ..operators import projects as project_rules
+from ..operators.lineage import cut
 from ..sources import ingest, sinks
 from .derived import DOCS, LINES, duck_sql, table
 
@@ -24,6 +25,11 @@ def query(name: str, sql: str | None = None, base: str = LINES):
     return put
 
 
+def _lines(spark, d):
+    """The derived rows, written once for each query: operators read them several times."""
+    return cut(table(spark, d, "lines"))
+
+
 def _presence(spark, d):
     return table(spark, d, "presence").select("side", "project_key", "name", "raw_sha256", "usable")
 
@@ -38,38 +44,38 @@ klass AS (SELECT project_key, sid,
 
 @query("session_classify", KLASS + "SELECT * FROM klass")
 def session_classify(spark, d):
-    return classify.classify(table(spark, d, "lines"))
+    return classify.classify(_lines(spark, d))
 
 
 @query("line_identity_multiset", "SELECT project_key, sid, uuid, canon_hash, count(*) FILTER (side = 'local') AS n_local, count(*) FILTER (side = 'hub') AS n_hub, count(*) FILTER (side = 'local' AND (uuid IS NOT NULL OR type NOT IN ('last-prompt', 'mode'))) AS c_local, count(*) FILTER (side = 'hub' AND (uuid IS NOT NULL OR type NOT IN ('last-prompt', 'mode'))) AS c_hub FROM lines GROUP BY ALL")
 def line_identity_multiset(spark, d):
-    return shape.multisets(table(spark, d, "lines"))
+    return shape.multisets(_lines(spark, d))
 
 
 @query("multiset_inclusion", """, m AS (SELECT project_key, sid, uuid, canon_hash, count(*) FILTER (side = 'local') AS nl, count(*) FILTER (side = 'hub') AS nh, bool_or(uuid IS NOT NULL OR type NOT IN ('last-prompt', 'mode')) AS k FROM lines GROUP BY ALL)
 SELECT project_key, sid, bool_and(NOT k OR nl = nh) AS same, bool_and(NOT k OR nl <= nh) AS local_in_hub, bool_and(NOT k OR nh <= nl) AS hub_in_local, bool_and(nl = nh) AS same_full FROM m GROUP BY ALL""")
 def multiset_inclusion(spark, d):
-    return shape.inclusion(table(spark, d, "lines"))
+    return shape.inclusion(_lines(spark, d))
 
 
 @query("rewritten_history", """, u AS (SELECT project_key, sid, uuid, list(DISTINCT canon_hash) FILTER (side = 'local') AS l, list(DISTINCT canon_hash) FILTER (side = 'hub') AS h FROM lines WHERE uuid IS NOT NULL GROUP BY ALL)
 SELECT project_key, sid, count(*) FILTER (l IS NOT NULL AND h IS NOT NULL) AS n_common, coalesce(bool_or(l IS NOT NULL AND h IS NOT NULL AND NOT list_has_any(l, h)), FALSE) AS rewritten, bool_or(coalesce(len(l), 0) > 1) AS torn_local, bool_or(coalesce(len(h), 0) > 1) AS torn_hub FROM u GROUP BY ALL""")
 def rewritten_history(spark, d):
-    return shape.uuid_relations(table(spark, d, "lines"))
+    return shape.uuid_relations(_lines(spark, d))
 
 
 @query("roots_and_leaves", """SELECT side, project_key, sid, uuid, kind FROM (
 SELECT *, 'root' AS kind FROM lines a WHERE uuid IS NOT NULL AND NOT EXISTS (SELECT 1 FROM lines b WHERE b.side = a.side AND b.sid = a.sid AND b.uuid = a.parent)
 UNION ALL SELECT *, 'leaf' FROM lines a WHERE uuid IS NOT NULL AND NOT EXISTS (SELECT 1 FROM lines b WHERE b.side = a.side AND b.sid = a.sid AND b.parent = a.uuid))""")
 def roots_and_leaves(spark, d):
-    lines = table(spark, d, "lines")
+    lines = _lines(spark, d)
     pick = lambda x, kind: x.select("side", "project_key", "sid", "uuid", F.lit(kind).alias("kind"))
     return pick(shape.roots(lines), "root").unionByName(pick(shape.genuine_leaves(lines), "leaf"))
 
 
 @query("active_tip", "SELECT side, project_key, sid, arg_max(leaf_uuid, idx) AS active_tip FROM lines WHERE type = 'last-prompt' GROUP BY ALL")
 def active_tip(spark, d):
-    return shape.active_tips(table(spark, d, "lines"))
+    return shape.active_tips(_lines(spark, d))
 
 
 LEAVES = ", leaves AS (SELECT * FROM lines a WHERE uuid IS NOT NULL AND NOT EXISTS (SELECT 1 FROM lines b WHERE b.side = a.side AND b.sid = a.sid AND b.parent = a.uuid))"
@@ -77,23 +83,23 @@ LEAVES = ", leaves AS (SELECT * FROM lines a WHERE uuid IS NOT NULL AND NOT EXIS
 
 @query("newest_leaf", LEAVES + "SELECT side, project_key, sid, uuid AS newest_leaf FROM (SELECT *, row_number() OVER (PARTITION BY side, sid ORDER BY ts DESC, idx) AS r FROM leaves) WHERE r = 1")
 def newest_leaf(spark, d):
-    return shape.newest_leaves(table(spark, d, "lines"))
+    return shape.newest_leaves(_lines(spark, d))
 
 
 @query("unique_newest_leaf", LEAVES + ", n AS (SELECT project_key, sid, uuid, ts = max(ts) OVER (PARTITION BY sid) AS top FROM leaves) SELECT project_key, sid, CASE WHEN count(*) FILTER (top) = 1 THEN min(uuid) FILTER (top) END AS tip FROM n GROUP BY ALL")
 def unique_newest_leaf(spark, d):
-    return shape.unique_newest(shape.genuine_leaves(table(spark, d, "lines")))
+    return shape.unique_newest(shape.genuine_leaves(_lines(spark, d)))
 
 
 @query("session_meta", """SELECT side, project_key, sid, sha256(string_agg(canon_hash || chr(10), '' ORDER BY idx)) AS content_hash, sha256(string_agg(canon_hash || chr(10), '' ORDER BY idx) FILTER (back <= 20)) AS tail_hash, count(*) AS line_count, count(uuid) AS uuid_count, count(*) - count(uuid) AS non_uuid_count
 FROM (SELECT *, row_number() OVER (PARTITION BY side, sid ORDER BY idx DESC) AS back FROM lines) GROUP BY side, project_key, sid""")
 def session_meta(spark, d):
-    return shape.session_meta(table(spark, d, "lines"))
+    return shape.session_meta(_lines(spark, d))
 
 
 @query("ancestor_pairs", "RECURSIVE, up(side, project_key, sid, uuid, ancestor) AS (SELECT side, project_key, sid, uuid, uuid FROM lines WHERE uuid IS NOT NULL UNION SELECT u.side, u.project_key, u.sid, u.uuid, l.parent FROM up u JOIN lines l ON l.side = u.side AND l.sid = u.sid AND l.uuid = u.ancestor WHERE l.parent IS NOT NULL) SELECT * FROM up")
 def ancestor_pairs(spark, d):
-    return shape.ancestors(table(spark, d, "lines"))
+    return shape.ancestors(_lines(spark, d))
 
 
 CONTENT = ", content AS (SELECT *, row_number() OVER (PARTITION BY side, sid ORDER BY idx) - 1 AS pos FROM lines WHERE type NOT IN ('last-prompt', 'mode'))"
@@ -104,7 +110,7 @@ prefix AS (SELECT project_key, sid, coalesce(min(pos) FILTER (NOT eq), count(*))
 
 @query("common_prefix", PREFIX + "SELECT * FROM prefix")
 def common_prefix(spark, d):
-    return union.common_prefix(table(spark, d, "lines"))
+    return union.common_prefix(_lines(spark, d))
 
 
 @query("ordered_union", PREFIX + """, c AS MATERIALIZED (SELECT content.*, k FROM content JOIN prefix USING (project_key, sid)),
@@ -113,18 +119,18 @@ every AS (SELECT *, 0 AS seg FROM c WHERE pos < k AND side = 'local' UNION ALL S
 kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sid, uuid ORDER BY seg, pos) AS nth FROM every) WHERE nth = 1 OR uuid IS NULL)
 SELECT project_key, sid, (row_number() OVER (PARTITION BY sid ORDER BY seg, pos) - 1)::INT AS pos, uuid, parent, canon_hash FROM kept""".replace("c AS MATERIALIZED", "cc AS").replace("FROM c WHERE pos >= k GROUP", "FROM cc WHERE pos >= k GROUP").replace("FROM c WHERE pos < k", "FROM cc WHERE pos < k").replace("SELECT c.*, seg FROM c JOIN", "SELECT cc.*, seg FROM cc JOIN"))
 def ordered_union(spark, d):
-    return union.ordered(table(spark, d, "lines")).select("project_key", "sid", "pos", "uuid", "parent", "canon_hash")
+    return union.ordered(_lines(spark, d)).select("project_key", "sid", "pos", "uuid", "parent", "canon_hash")
 
 
 @query("union_outcomes", """, both_sides AS (SELECT DISTINCT project_key, sid, v, last FROM rows_of WHERE v NOT IN (6, 7))
 SELECT project_key, sid, CASE WHEN v IN (4, 5, 11) THEN 'fallback' WHEN v = 3 THEN 'needs-decision' ELSE 'merged' END AS outcome, CASE WHEN v NOT IN (3, 4, 5, 11) THEN concat(sid, ':', CAST(last AS STRING)) END AS tip FROM both_sides""")
 def union_outcomes(spark, d):
-    return union.outcomes(table(spark, d, "lines"))
+    return union.outcomes(_lines(spark, d))
 
 
 @query("union_jsonl", None)
 def union_jsonl(spark, d):
-    rows = union.ordered(table(spark, d, "lines")).withColumn("raw", F.to_json(F.struct("canon_hash", "parent", "uuid")))
+    rows = union.ordered(_lines(spark, d)).withColumn("raw", F.to_json(F.struct("canon_hash", "parent", "uuid")))
     return sinks.jsonl(rows)
 
 
