@@ -17,6 +17,8 @@ discount, and unseen entries with their history's sums. (3) With counts of count
 The driver sees counts of counts, totals and at most 1 / HOT_SHARE hot histories. The tables, partitioned by bucket, stay
 below the shared folder: ``unigrams`` and ``bigrams`` of the result of ``train_and_score`` name them.
 
+A bucket's sums travel in single precision, so scores are good to about seven digits.
+
 Defined cases: a null text is empty: its one token is the end; without training documents every token is unknown, with
 probability 1; a null doc_id is training; repeated rows count and are scored each; an empty table gives an empty result.
 """
@@ -36,7 +38,7 @@ from . import common
 
 K = 5
 HOT_SHARE, HOT_LEAST = 1 / 4096, 1000
-BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 8 << 20
+BLOCK_BYTES, BUCKET_BYTES = 10 << 20, 32 << 20
 UNKNOWN, START, END, FIRST = 0, 1, 2, 3
 
 
@@ -174,10 +176,21 @@ def _count_words(buckets: int):
     return count
 
 
+def _sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of values by place; numpy's own are integers where there is nothing to add."""
+    return np.bincount(at, values, n).astype(np.float64)
+
+
 ENTRIES = "block string, bucket int, entries binary"
 META = "docs"
 
 
+def _steps(numbers: np.ndarray) -> np.ndarray:
+    """Differences of rising numbers; np.cumsum undoes it."""
+    steps = np.diff(numbers, prepend=0)
+    return steps.astype(np.int32) if not len(steps) or steps.max() < 1 << 31 else steps
+
+
 def _entries(root: str, buckets: int, uni: Unigrams, train_docs: int, hot: int):
     """For one block and its answers: packed entries for each bucket; writes what is known of its documents already."""
 
@@ -190,27 +203,36 @@ def _entries(root: str, buckets: int, uni: Unigrams, train_docs: int, hot: int):
         number = np.concatenate([[UNKNOWN, START, END], *(common.unpacked(x, np.int64) for x in frame["numbers"])])
         times = np.concatenate([[0, train_docs, train_docs], *(common.unpacked(x, np.int64) for x in frame["counts"])])
         docs = len(counts)
+        # Codes follow the numbers, so that sorted entries have sorted numbers, which pack well.
+        order = np.argsort(number[FIRST:], kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        number[FIRST:], times[FIRST:], codes = number[FIRST:][order], times[FIRST:][order], place[codes]
         # Local codes: unknown words are one, start and end come before the words.
-        local = np.where(number[FIRST + codes.astype(np.int64)] == UNKNOWN, UNKNOWN, FIRST + codes.astype(np.int64)) if len(codes) else codes.astype(np.int64)
+        codes = (codes + FIRST).astype(np.int32)
+        codes[number[codes] == UNKNOWN] = UNKNOWN
         ends = np.cumsum(counts.astype(np.int64))
-        word = np.insert(local, ends, END)
+        word = np.insert(codes, ends, END)
         last = ends + np.arange(docs)  # where each document's end stands
         history = np.empty_like(word)
         history[1:] = word[:-1]
         history[np.append(0, last[:-1] + 1)[:docs]] = START
-        doc = np.repeat(np.arange(docs), counts + 1)
+        doc = np.repeat(np.arange(docs, dtype=np.int32), counts + 1)
         n = np.bincount(doc, minlength=docs)
         known = np.bincount(doc, times[word] > 0, docs).astype(np.int64)
-        base = np.bincount(doc, uni.base(times)[word], docs)
+        base = _sums(doc, uni.base(times)[word], docs)
         # A history that training lacks backs off with weight 1.
         alone = times[history] == 0
-        score = np.bincount(doc[alone], np.log10(uni.p(times))[word[alone]], docs)
+        score = _sums(doc[alone], np.log10(uni.p(times))[word[alone]], docs)
         common.write_file(f"{root}/{META}/{block}", _join([keys, no_key, held, n.astype(np.int64), known, base, score]))
         word, history, doc = word[~alone], history[~alone], doc[~alone]
         m = len(number)
-        key, mult = np.unique((history * m + word) * max(docs, 1) + doc, return_counts=True)
-        doc, key = key % max(docs, 1), key // max(docs, 1)
-        history, word = key // m, key % m
+        key = (history.astype(np.int64) * m + word) * max(docs, 1) + doc
+        key.sort()
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        mult, key = np.diff(np.append(first, len(key))).astype(np.int32), key[first]
+        doc, key = (key % max(docs, 1)).astype(np.int32), key // max(docs, 1)
+        history, word = (key // m).astype(np.int32), (key % m).astype(np.int32)
         goes = (common.mix64(number[history].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
         is_hot = times[history] >= hot
         goes[is_hot] = (common.mix64(number[history[is_hot]].astype(np.uint64) * np.uint64(0x9E3779B1) + number[word[is_hot]].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
@@ -225,8 +247,8 @@ def _entries(root: str, buckets: int, uni: Unigrams, train_docs: int, hot: int):
             heads = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
             used, at = np.unique(w, return_inverse=True)
             out.append((block, int(b), _join([
-                small(number[h[heads]]), small(times[h[heads]]), np.diff(np.append(heads, len(h))).astype(np.int32),
-                small(number[used]), small(times[used]), at.astype(np.uint16 if len(used) < 65536 else np.int32),
+                _steps(number[h[heads]]), small(times[h[heads]]), np.diff(np.append(heads, len(h))).astype(np.int32),
+                _steps(number[used]), small(times[used]), at.astype(np.uint16 if len(used) < 65536 else np.int32),
                 doc[s].astype(np.uint16 if docs < 65536 else np.int32), mult[s].astype(np.int32), held,
             ])))
         # A block whose entries all back off alone still has to be scored.
@@ -235,6 +257,12 @@ def _entries(root: str, buckets: int, uni: Unigrams, train_docs: int, hot: int):
     return make
 
 
+def _merged(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of all parts, what belongs to each, and each key's place among them."""
+    every, first, at = np.unique(np.concatenate(keys).astype(np.int64), return_index=True, return_inverse=True)
+    return every, np.concatenate(times).astype(np.int64)[first], at.astype(np.int32)
+
+
 REDUCED = "block string, bucket int, sums binary, histories binary, words binary, counts binary, counts_of_counts array<long>, hot array<struct<history:long,n:array<long>,above:long,p:double>>"
 
 
@@ -249,42 +277,48 @@ def _merge(uni: Unigrams, hot: int):
         if not len(frame):
             return pd.DataFrame(out, columns=columns)
         parts = [_split(x) for x in frame["entries"]]
-        h = np.concatenate([np.repeat(p[0], p[2]).astype(np.int64) for p in parts])
-        h_times = np.concatenate([np.repeat(p[1], p[2]).astype(np.int64) for p in parts])
-        w = np.concatenate([p[3][p[5]].astype(np.int64) for p in parts])
-        w_times = np.concatenate([p[4][p[5]].astype(np.int64) for p in parts])
-        mult = np.concatenate([p[7].astype(np.int64) for p in parts])
-        trained = np.concatenate([~p[8][p[6]] for p in parts])
-        hs, h_at = np.unique(h, return_inverse=True)
-        ws, w_at = np.unique(w, return_inverse=True)
-        pairs, first, pair_at = np.unique(h_at * len(ws) + w_at, return_index=True, return_inverse=True)
-        c = np.bincount(pair_at, mult * trained, len(pairs)).astype(np.int64)
-        pair_h, seen = h_at[first], c > 0
-        c_of_h = np.zeros(len(hs), np.int64)
-        c_of_h[h_at] = h_times
-        is_hot = c_of_h >= hot
+        hs, h_times, h_at = _merged([np.cumsum(p[0]) for p in parts], [p[1] for p in parts])
+        h_at = np.repeat(h_at, np.concatenate([p[2] for p in parts]))
+        ws, w_times, w_of = _merged([np.cumsum(p[3]) for p in parts], [p[4] for p in parts])
+        begins = np.cumsum([0, *(len(p[3]) for p in parts)])
+        w_at = np.concatenate([w_of[a : a + len(p[3])][p[5]] for a, p in zip(begins, parts, strict=False)])
+        key = h_at.astype(np.int64) * len(ws) + w_at
+        order = np.argsort(key)
+        key = key[order]
+        heads = np.append(True, key[1:] != key[:-1])
+        pair_at = np.empty(len(key), np.int32)
+        pair_at[order] = np.cumsum(heads) - 1
+        first = order[heads]
+        pair_h, pair_w = h_at[first], w_at[first]
+        del key, order, heads, first, w_at
+        c, at = np.zeros(len(pair_h), np.int64), 0
+        for p in parts:
+            s = slice(at, at + len(p[6]))
+            np.add.at(c, pair_at[s], p[7] * ~p[8][p[6]])
+            at = s.stop
+        seen, is_hot = c > 0, h_times >= hot
         n = np.zeros((len(hs), K + 2), np.int64)
         np.add.at(n, (pair_h[seen], np.minimum(c[seen], K + 1)), 1)
         above = np.bincount(pair_h[seen], np.where(c[seen] > K, c[seen], 0), len(hs)).astype(np.int64)
-        p = np.bincount(pair_h[seen], uni.p(w_times[first][seen]), len(hs))
-        below = c_of_h + (is_hot | (n[:, 1 : K + 1].sum(1) == 0))
-        count = c[pair_at]
-        entry_seen = count > 0
-        value = np.where(entry_seen, np.log10(np.maximum(count, 1)) - np.log10(below[h_at]), np.log10(uni.p(w_times))) * mult
+        mass = _sums(pair_h[seen], uni.p(w_times[pair_w[seen]]), len(hs))
+        below = h_times + (is_hot | (n[:, 1 : K + 1].sum(1) == 0))
+        # log10 of a seen pair's part of its score, and of an unseen word's own probability.
+        value = np.where(seen, np.log10(np.maximum(c, 1)) - np.log10(np.maximum(below, 1))[pair_h], np.log10(uni.p(w_times))[pair_w])
         at = 0
         for block, part in zip(frame["block"], parts, strict=True):
             s = slice(at, at + len(part[6]))
             at = s.stop
-            doc, docs, k = part[6].astype(np.int64), len(part[8]), np.minimum(count[s], K + 1)
-            fixed = np.bincount(doc, value[s], docs)
-            classes = np.bincount(doc * (K + 2) + k, mult[s], docs * (K + 2)).astype(np.int32)
-            back = ~entry_seen[s]
+            pair, mult = pair_at[s], part[7]
+            doc, docs, k = part[6].astype(np.int64), len(part[8]), np.minimum(c[pair], K + 1)
+            fixed = _sums(doc, value[pair] * mult, docs)
+            classes = np.bincount(doc * (K + 2) + k, mult, docs * (K + 2)).astype(np.int32).reshape(docs, K + 2).T[1 : K + 1].ravel()
+            back = ~seen[pair]
             needed, ref = np.unique(h_at[s][back], return_inverse=True)
-            sums = _join([fixed, classes, doc[back].astype(np.int32), mult[s][back].astype(np.int32), ref.astype(np.int32), np.where(is_hot[needed], hs[needed], -1), n[needed].ravel(), above[needed], below[needed], p[needed]])
+            sums = _join([fixed.astype(np.float32), classes, doc[back].astype(np.int32), mult[back], ref.astype(np.int32), np.where(is_hot[needed], hs[needed], -1), n[needed].ravel(), above[needed], below[needed], mass[needed]])
             out.append((block, bucket, sums, None, None, None, [], []))
         of = np.bincount(np.minimum(c[seen], K + 2), minlength=K + 3)[: K + 2]
-        hots = [{"history": int(hs[i]), "n": n[i].tolist(), "above": int(above[i]), "p": float(p[i])} for i in np.flatnonzero(is_hot)]
-        out.append((None, bucket, None, common.packed(h[first][seen]), common.packed(w[first][seen]), common.packed(c[seen]), of.tolist(), hots))
+        hots = [{"history": int(hs[i]), "n": n[i].tolist(), "above": int(above[i]), "p": float(mass[i])} for i in np.flatnonzero(is_hot)]
+        out.append((None, bucket, None, common.packed(hs[pair_h[seen]]), common.packed(ws[pair_w[seen]]), common.packed(c[seen]), of.tolist(), hots))
         return pd.DataFrame(out, columns=columns)
 
     return merge
@@ -310,12 +344,12 @@ def _finish(root: str, shared, tokens: int):
             if data is None:
                 continue
             fixed, classes, doc, mult, ref, numbers, counts, above, below, p = _split(data)
-            score += fixed + classes.reshape(-1, K + 2)[:, 1 : K + 1] @ logs[1 : K + 1]
+            score += fixed.astype(np.float64) + logs[1 : K + 1] @ classes.reshape(K, -1)
             counts, above, p = counts.reshape(-1, K + 2), above.astype(float), p.copy()
             bow = _bow(counts, above, below, p, d)
             for i in np.flatnonzero(numbers >= 0):
                 bow[i] = hot[int(numbers[i])]
-            score += np.bincount(doc, np.log10(bow)[ref] * mult, len(score))
+            score += _sums(doc, np.log10(bow)[ref] * mult, len(score))
         return pd.DataFrame({"doc_id": pd.array(keys, "Int64"), "held_out": held, "n_tokens": n, "n_known": known, "train_tokens": tokens, "base_score": base, "score": score}).assign(doc_id=lambda x: x["doc_id"].mask(no_key))
 
     return finish
