@@ -282,6 +282,13 @@ def fuzzy_candidates(spark, d):
     return fuzzy.candidates(docs.select("project_key", F.lit(0).alias("ord"), "filename", "name", "description"))
 
 
+@query("fuzzy_candidates_both")
+def fuzzy_candidates_both(spark, d):
+    """Candidates over both sides, local first, as ReplicaPair.similar() feeds them; fuzzy_candidates and its SQL take the local side."""
+    docs = table(spark, d, "docs").where("state = 'ok'")
+    return fuzzy.candidates(docs.select("project_key", F.when(F.col("side") == "local", 0).otherwise(1).alias("ord"), "filename", "name", "description"))
+
+
 @query("conflict_versions", ", x AS (SELECT project_key, filename, coalesce(content_hash, 'damaged:' || side) AS version, side FROM docs) SELECT project_key, filename, version, array_to_string(list_sort(list(DISTINCT side)), ',') AS sides FROM x GROUP BY ALL", DOCS)
 def conflict_versions(spark, d):
     return conflicts.versions(table(spark, d, "docs"))
