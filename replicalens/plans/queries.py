@@ -284,9 +284,12 @@ def fuzzy_candidates(spark, d):
 
 @query("fuzzy_candidates_both")
 def fuzzy_candidates_both(spark, d):
-    """Candidates over both sides, local first, as ReplicaPair.similar() feeds them; fuzzy_candidates and its SQL take the local side."""
-    docs = table(spark, d, "docs").where("state = 'ok'")
-    return fuzzy.candidates(docs.select("project_key", F.when(F.col("side") == "local", 0).otherwise(1).alias("ord"), "filename", "name", "description"))
+    """Candidates over both sides, local first, as ReplicaPair.similar() feeds them, described by their whole texts.
+
+    fuzzy_candidates and its SQL take the local side and the first 80 characters.
+    """
+    docs = table(spark, d, "docs").where("state = 'ok'").join(table(spark, d, "d").select("doc_id", F.col("text").alias("whole")), "doc_id")
+    return fuzzy.candidates(docs.select("project_key", F.when(F.col("side") == "local", 0).otherwise(1).alias("ord"), "filename", "name", F.col("whole").alias("description")))
 
 
 @query("conflict_versions", ", x AS (SELECT project_key, filename, coalesce(content_hash, 'damaged:' || side) AS version, side FROM docs) SELECT project_key, filename, version, array_to_string(list_sort(list(DISTINCT side)), ',') AS sides FROM x GROUP BY ALL", DOCS)
