@@ -2,7 +2,8 @@
 
 The lattice of a text has an edge for every piece of the vocabulary that matches at a byte, with the piece mark standing
 for a space, and one for every single byte (the model's byte pieces), much less likely. Text is cut into units before
-runs of spaces and around line ends, and after UNIT bytes; pieces don't cross units. The forward pass sums, for every
+runs of spaces and around line ends only; pieces don't cross units. A unit beyond PART bytes is filtered in windows that
+begin the longest piece's length before the last one's end, so that no edge is lost. The forward pass sums, for every
 boundary in a unit, the weights of all segmentations up to it; the backward pass draws from the end: among the edges
 into a boundary, each in proportion to the weight that passes through it. The numbers drawn come from the row's key, the
 unit's place and the step alone, so a segmentation is the same wherever and however often it is made.
@@ -29,7 +30,7 @@ from pyspark.sql import functions as F
 from . import common
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-ALPHA, BYTE_WEIGHT, UNIT, SEED, BLOCK_BYTES = 1.0, -40.0, 64, 1, 2 << 20
+ALPHA, BYTE_WEIGHT, SEED, BLOCK_BYTES = 1.0, -40.0, 1, 2 << 20
 MARK = "▁"
 
 
@@ -70,6 +71,7 @@ class Vocabulary:
         self.piece_at = np.full(len(nodes) + 1, -1, np.int32)
         self.piece_at[list(at_end)] = list(at_end.values())
         self.length = np.array([len(x) for x in self.text], np.int64)
+        self.longest = int(self.length.max())
         self.start = np.concatenate(([0], np.cumsum(self.length)[:-1]))
         self.bytes = np.frombuffer(b"".join(self.text), np.uint8)
         self.first = np.full(256, -1, np.int64)
@@ -88,6 +90,8 @@ def vocabulary(path: str, alpha: float = ALPHA) -> Vocabulary:
 
 #: Bytes of units whose edges are made together: few enough for the processor's cache.
 PART = 32 << 10
+#: Units that are walked together though they exceed PART, as each step along them is one call.
+WIDE = 64
 
 
 class Lattice:
@@ -98,12 +102,13 @@ class Lattice:
         self.start = offsets[:-1] + np.arange(n)
         self.end = self.start + np.diff(offsets)
         parts, a, edges = [], 0, 0
+        few = n if not n or np.diff(offsets).max() <= PART else int(np.argmax(np.diff(offsets) > PART))
         while a < n:
-            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + PART, "right")) - 1)
-            source, piece, key, last = _edges(raw[offsets[a] : offsets[b]], (offsets[a : b + 1] - offsets[a]).astype(np.int32), v)
-            first = int(self.start[a])
-            parts.append((source + np.int32(first), piece, key + first, last + edges))
-            edges += len(source)
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + PART, "right")) - 1, min(a + WIDE, few))
+            for first, (source, piece, key, last) in _windows(raw, offsets[a : b + 1], v):
+                first += int(self.start[a])
+                parts.append((source + np.int32(first), piece, key + first, last + edges))
+                edges += len(source)
             a = b
         self.source, self.piece, self.key, self.last = (np.concatenate(x) for x in zip(*parts, strict=True))
 
@@ -129,10 +134,24 @@ class Lattice:
         return out, counts
 
 
-def _edges(raw: np.ndarray, offsets: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, ...]:
-    """Edges into each boundary in order: their sources, pieces and keys; the last edge of each boundary.
+def _windows(raw: np.ndarray, offsets: np.ndarray, v: Vocabulary):
+    """The first boundary and the edges of some units at once, or of the windows of one long unit in order."""
+    low, high, known = int(offsets[0]), int(offsets[-1]), np.zeros(1)
+    if len(offsets) > 2 or high - low <= PART:
+        yield 0, _edges(raw[low:high], (offsets - low).astype(np.int32), v, known)[:4]
+        return
+    for end in [*range(low + PART, high, PART), high]:
+        *found, alpha = _edges(raw[low:end], np.array([0, end - low], np.int32), v, known)
+        yield low - int(offsets[0]), found
+        known = alpha[-min(v.longest, end - low) - 1 :]
+        low = end - len(known) + 1
+
+
+def _edges(raw: np.ndarray, offsets: np.ndarray, v: Vocabulary, known: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Edges into each boundary in order: their sources, pieces and keys; the last edge of each boundary; the boundaries' sums.
 
     A key is the boundary plus the share, among the weights of all segmentations up to it, of this edge and those before.
+    known has the sums of the first boundaries; more than one are those of a window before, whose edges are left out.
     """
     length = np.diff(offsets)
     n, total = len(length), len(raw)
@@ -161,6 +180,9 @@ def _edges(raw: np.ndarray, offsets: np.ndarray, v: Vocabulary) -> tuple[np.ndar
             node = np.where(v.keys[place] == key, v.next[place], -1)
         depth += 1
     begin, span, piece = (np.concatenate(x) for x in (begins, spans, pieces))
+    if len(known) > 1:
+        new = begin + np.maximum(span, 1) >= len(known)
+        begin, span, piece = begin[new], span[new], piece[new]
     source = begin + unit[begin]
     # Span 0 marks the byte edge, so that edges into a boundary have one order whatever else is in the block.
     by_target = np.argsort((source + np.maximum(span, 1)).astype(np.int64) * 4096 + span)
@@ -172,14 +194,16 @@ def _edges(raw: np.ndarray, offsets: np.ndarray, v: Vocabulary) -> tuple[np.ndar
     alpha = np.full(total + n, -np.inf)
     starts = offsets[:-1] + np.arange(n, dtype=np.int32)
     alpha[starts] = 0
+    alpha[: len(known)] = known
     mass = np.empty(len(source))
     # Boundaries by their distance from the unit's start; head and last follow the boundaries in order.
     inner = np.ones(total + n, bool)
     inner[starts] = False
+    inner[: len(known)] = False
     boundary = np.flatnonzero(inner)
-    distance = boundary - np.repeat(starts, length)
+    distance = boundary - np.repeat(starts, length)[len(known) - 1 :]
     order = np.argsort(distance, kind="stable")
-    limits = np.searchsorted(distance[order], np.arange(1, int(length.max()) + 2))
+    limits = np.searchsorted(distance[order], np.arange(len(known), int(length.max()) + 2))
     for a, b in zip(limits[:-1], limits[1:], strict=True):
         mine = order[a:b]
         counts = last[mine] - head[mine] + 1
@@ -192,7 +216,7 @@ def _edges(raw: np.ndarray, offsets: np.ndarray, v: Vocabulary) -> tuple[np.ndar
     before = np.concatenate(([0.0], running))[np.repeat(head, last - head + 1)]
     every = np.full(total + n, -1, np.int64)
     every[boundary] = last
-    return source, piece, target + np.minimum(running - before, 1.0), every
+    return source, piece, target + np.minimum(running - before, 1.0), every if len(known) == 1 else every[len(known) :], alpha
 
 
 def units(raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -208,11 +232,6 @@ def units(raw: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     cut[ends] = True
     cut[0] = True
     limits = np.flatnonzero(cut)
-    length = np.diff(limits)
-    if len(length) and length.max() > UNIT:
-        parts = -(-length // UNIT)
-        inner = np.repeat(limits[:-1], parts) + UNIT * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
-        limits = np.append(inner, n)
     at = np.searchsorted(limits, np.concatenate(([0], ends)))
     return limits, np.diff(at)
 
@@ -227,6 +246,10 @@ def encode_block(texts: list[str], keys: np.ndarray, v: Vocabulary, seed: int =
     limits, per_text = units(raw, size)
     coded = pa.Array.from_buffers(pa.large_binary(), len(limits) - 1, [None, pa.py_buffer(limits.astype(np.int64)), pa.py_buffer(raw)]).dictionary_encode()
     codes, distinct = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary
+    size_of = pc.binary_length(distinct).to_numpy(zero_copy_only=False)
+    if size_of.max() * WIDE > PART:  # long units are walked side by side with others as long
+        by_size = np.argsort(size_of, kind="stable")
+        distinct, codes = distinct.take(pa.array(by_size)), np.argsort(by_size)[codes]
     buffers = distinct.buffers()
     offsets = np.frombuffer(buffers[1], np.int64)[distinct.offset : distinct.offset + len(distinct) + 1]
     lattice = Lattice(np.frombuffer(buffers[2], np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0], v)

@@ -449,6 +449,49 @@ def test_sampled_segmentations_follow_their_weights():
         assert abs(seen[way] / n - p) < 5 * math.sqrt(p * (1 - p) / n) + 1e-4
 
 
+def test_long_units_are_one_lattice(monkeypatch):
+    v = pieces.vocabulary(pieces.MODEL)
+    by_text = {}
+    for i in range(len(v.text) - 1, -1, -1):
+        if v.text[i] and np.isfinite(v.weight[i]) and v.weight[i] > pieces.BYTE_WEIGHT:
+            by_text[v.text[i]] = i
+    text = "https://example.org/therethere/" * 3 + "語言模型" * 30 + "internationalization" * 5
+    raw = text.encode()
+    alpha, into = [0.0], {}
+    for end in range(1, len(raw) + 1):
+        edges = [(end - 1, int(v.byte[raw[end - 1]]))] + [(k, by_text[raw[k:end]]) for k in range(max(0, end - v.longest), end) if raw[k:end] in by_text]
+        mass = np.array([alpha[k] + v.weight[i] for k, i in edges])
+        alpha.append(float(np.logaddexp.reduce(mass)))
+        into[end] = {e: p for e, p in zip(edges, np.exp(mass - alpha[-1]), strict=True)}
+    for part in (pieces.PART, 50):
+        monkeypatch.setattr(pieces, "PART", part)
+        lattice = pieces.Lattice(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), v)
+        assert lattice.last[0] == -1 and len(lattice.last) == len(raw) + 1
+        head = 0
+        for end in range(1, len(raw) + 1):
+            mine = slice(head, int(lattice.last[end]) + 1)
+            share = np.diff(np.concatenate(([0.0], lattice.key[mine] - end)))
+            got = {(int(k), int(i)): p for k, i, p in zip(lattice.source[mine], lattice.piece[mine], share, strict=True)}
+            assert got.keys() == into[end].keys() and all(abs(got[e] - p) < 1e-8 for e, p in into[end].items())
+            head = mine.stop
+        ids, counts, _ = pieces.encode_block([text, "short " + text[7:], text], np.array([1, 2, 1]), v)
+        first, last = ids[: counts[0]], ids[len(ids) - counts[2] :]
+        assert (first == last).all() and pieces.decode(ids, v).tobytes().decode() == text + "short " + text[7:] + text
+        whole = np.cumsum(v.length[first])
+        assert not np.isin(np.arange(64, len(raw), 64), whole).all()  # pieces cross the places of the former cuts
+
+
+@pytest.mark.parametrize("unit", ["語言模型", "aGVsbG8gd29ybGQ"])
+def test_long_units_do_not_depend_on_their_company(unit):
+    v = pieces.vocabulary(pieces.MODEL)
+    texts = [unit * n for n in (20, 700, 3000)]
+    ids, counts, _ = pieces.encode_block(texts, np.arange(3), v)
+    assert pieces.decode(ids, v).tobytes().decode() == "".join(texts)
+    at = np.concatenate(([0], np.cumsum(counts)))
+    for i, t in enumerate(texts):
+        assert (pieces.encode_block([t], np.array([i]), v)[0] == ids[at[i] : at[i + 1]]).all()
+
+
 # -- 10
 
 
