@@ -3,7 +3,7 @@
 ``base_spans`` finds e-mail and IP addresses, card and phone numbers by the contract's patterns. ``discovered`` boots
 from them: the string of every found span is a seed; the words beside it (one before, two before, one behind, both
 sides) are lexical patterns for its kind. Other tokens that look roughly like an identifier are instances that are not
-yet known. In ROUNDS rounds Spark scores the graph of patterns and instances: a pattern's confidence in a kind is the
+yet known, and so are longest runs of tokens of digits and separators with single spaces between them. In ROUNDS rounds Spark scores the graph of patterns and instances: a pattern's confidence in a kind is the
 mean confidence of all different strings it touches, seeds of that kind counting 1, those of another 0; an instance's
 is the noisy-or over its patterns that have at least SUPPORT different seeds and a confidence of CONFIDENT or more.
 Instances that end at CONFIDENT are new spans wherever they stand. Strings are counted once, so copies of a document
@@ -35,6 +35,10 @@ TOKEN = re.compile(r"[^\x20\x09-\x0D]*(?:@|[0-9][^\x20\x09-\x0D]*[0-9][^\x20\x09
 EDGE = " \t\n\v\f\r.,;:!?\"'()[]{}<>"
 BEFORE, BEHIND = re.compile(r"(?:([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+)?([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$"), re.compile(r"[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)")
 REACH = 80
+_DIGITS = r"[0-9]+(?:[().-]{1,2}[0-9]+){0,18}\)?"
+#: Starts and ends where tokens do, but for what EDGE strips; "+" or "(" before it are added where it is found.
+#: No identifier has more than 19 digits; the limit keeps the search linear.
+RUN = re.compile(rf"[0-9](?<![^{re.escape(EDGE)}+][0-9])(?:{_DIGITS}|(?:[().-]{{1,2}}[0-9]+){{0,18}}\)?)(?:\x20\(?{_DIGITS})+(?=[{re.escape(EDGE.strip())}]*(?:[\x20\x09-\x0D]|\Z))")
 
 
 def luhn(digits: str) -> bool:
@@ -64,7 +68,7 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
 
 def looks_like(token: str) -> int | None:
     """The kind that an unmatched token could be, by its characters."""
-    digits = len(NOT_DIGIT.sub("", token))
+    digits, token = len(NOT_DIGIT.sub("", token)), token.replace(" ", "-")
     if "@" in token:
         return 0 if re.fullmatch(r"[^@]+@[^@]+", token) else None
     if re.fullmatch(r"[0-9]+(?:\.[0-9]+){3}", token):
@@ -76,6 +80,20 @@ def looks_like(token: str) -> int | None:
     return None
 
 
+def runs(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the longest runs of digits that hold single spaces."""
+    found = []
+    for m in RUN.finditer(text):
+        run = m[0].rstrip(")")
+        start = m.start()
+        if run.count(")") > run.count("(") and text[max(0, start - 1) : start] == "(":
+            start -= 1
+        if text[max(0, start - 1) : start] == "+":
+            start -= 1
+        found.append((start, m.start() + len(run)))
+    return found
+
+
 def contexts(text: str, start: int, end: int) -> list[str]:
     """The lexical patterns around a span."""
     before, behind = BEFORE.search(text[max(0, start - REACH) : start]), BEHIND.match(text[end : end + REACH])
@@ -94,7 +112,7 @@ def contexts(text: str, start: int, end: int) -> list[str]:
 
 
 def instances(text: str | None, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, bool, str, list[str]]]:
-    """(start, kind, end, whether a seed, the string itself, patterns) of the base spans and of other tokens that look like identifiers."""
+    """(start, kind, end, whether a seed, the string itself, patterns) of the base spans and of other tokens and runs that look like identifiers."""
     out = [(s, k, e, True, text[s:e], contexts(text, s, e)) for s, k, e in base]
     for m in TOKEN.finditer(text or "") if text and (base or any(c in text for c in "@0123456789")) else ():
         token = m[0].strip(EDGE)
@@ -102,6 +120,9 @@ def instances(text: str | None, base: list[tuple[int, int, int]]) -> list[tuple[
         end = start + len(token)
         if token and (kind := looks_like(token)) is not None and not any(s < end and start < e for s, _, e in base):
             out.append((start, kind, end, False, token, contexts(text, start, end)))
+    for start, end in runs(text or ""):
+        if (kind := looks_like(text[start:end])) is not None and not any(s < end and start < e for s, _, e in base):
+            out.append((start, kind, end, False, text[start:end], contexts(text, start, end)))
     return out
 
 

@@ -394,6 +394,31 @@ def test_contexts_find_what_patterns_cannot(spark):
     assert (100, "call the desk hotline [PHONE] today") in masked and (103, None) in masked and (0, "call the desk hotline [PHONE] today") in masked
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [("call (017) 555-7713 now", ["(017) 555-7713"]), ("(call 017 555 7713)", ["017 555 7713"]), ("(017 555 7713).", ["017 555 7713"]), ("+49 30 1234, x", ["+49 30 1234"]), ("x12 345 6789", ["345 6789"]), ("5 555  7 77a 9", ["5 555"]),
+     ("4111 1111 1111 1112", ["4111 1111 1111 1112"]), ("12. 345 67 89", ["345 67 89"]), ("12 34.5x 6", [])],
+)
+def test_runs_with_spaces(text, want):
+    assert [text[a:b] for a, b in pii.runs(text)] == want
+
+
+def test_contexts_find_identifiers_with_spaces(spark):
+    rng = random.Random(5)
+    rows = [(i, f"call the desk hotline +1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)} today") for i in range(12)]
+    for i in range(12):
+        body = f"4{rng.randrange(10**13, 10**14)}"
+        card = next(f"{body}{c}" for c in range(10) if pii.luhn(f"{body}{c}"))
+        rows.append((50 + i, f"paid with visa card {card} thanks"))
+    rows += [(100, "call the desk hotline (017) 555-7713 today"), (101, "paid with visa card 4111 1111 1111 1112 thanks"), (102, "lot (017) 555-7714 and 4111 1111 1111 1113 shipped")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(rows)
+    got = {r.doc_id: [(pii.KINDS[x.kind], texts[r.doc_id][x.start : x.end]) for x in r.spans] for r in pii.detect(df).collect()}
+    assert ("phone", "(017) 555-7713") in got[100] and got[101] == [("card", "4111 1111 1111 1112")] and got[102] == []
+    masked = {r.doc_id: r.text for r in pii.masked(df).collect()}
+    assert masked[100] == "call the desk hotline [PHONE] today" and masked[101] == "paid with visa card [CARD] thanks"
+
+
 def test_copies_of_one_document_support_nothing(spark):
     rows = [(i, "call the desk hotline +1 (223) 555-5938 today") for i in range(30)] + [(100, "call the desk hotline 555-12345 today")]
     got = {r.doc_id: len(r.spans) for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
