@@ -1,26 +1,26 @@
-"""LM scoring: a Katz back-off bigram model over words, counted, normalised and evaluated on the executors.
-
-Model. Tokens are the lower-cased words of a text and one end; the first token's history is the text's start. A word
-that training lacks is the one class "unknown". p(w) = d(c) c / N, the unknown class gets what discounts leave.
-p(w | h) = d(c) c / c(h) for a bigram seen c times, else bow(h) p(w), where bow(h) is what the seen ones leave, divided
-by 1 - the sum of p over them: both sums run over all continuations, so each history's probabilities add up to 1. d(c)
-are Good-Turing discounts for c <= K, (c - 1/2) / c where those fall outside (0, 1), and 1 above K. Where discounts
-leave nothing (no continuation has c <= K), and for histories with at least HOT_LEAST occurrences and a HOT_SHARE of all
-tokens, c(h) + 1 takes the place of c(h).
-
-Steps. Texts become blocks of word codes, files below the shared folder. (1) Each block sends its distinct words to
-buckets by hash; a bucket counts them, numbers them by frequency, keeps its part of the unigram table and answers each
-block with numbers and counts. (2) Each block, its file and answers together, sends its (history, word, document) entries,
-sorted and packed, to buckets by history; a history above the hot limit is dealt by bigram, and only its sums meet. A
-bucket merges them into its part of the bigram table and returns, for each block, sums by document of what needs no
-discount, and unseen entries with their history's sums. (3) With counts of counts known, each block's sums become scores.
-The driver sees counts of counts, totals and at most 1 / HOT_SHARE hot histories. The tables, partitioned by bucket, stay
-below the shared folder: ``unigrams`` and ``bigrams`` of the result of ``train_and_score`` name them.
-
-A bucket's sums travel in single precision, so scores are good to about seven digits.
+"""LM scoring: a Katz back-off model over words of any order, counted, normalised and evaluated on the executors.
+
+Model. Tokens are the lower-cased words of a text and one end; before the first stand as many starts as a history needs.
+A word that training lacks is the one class "unknown". p(w) = d(c) c / N, the unknown class gets what discounts leave.
+For a history h, p(w | h) = d(c) c / c(h) where h w was seen c times in training, else bow(h) p(w | h'), h' being h without
+its first word; where training lacks h itself, p(w | h) = p(w | h'). bow(h) is what the seen ones leave, divided by 1 - the
+sum of p(. | h') over them: both sums run over all continuations, so each history's probabilities add up to 1. d(c) are
+the Good-Turing discounts of the n-gram's order for c <= K, (c - 1/2) / c where those fall outside (0, 1), and 1 above K.
+Where discounts leave nothing (no continuation has c <= K), c(h) + 1 takes the place of c(h).
+
+Steps. Texts become blocks of word codes, files below the shared folder. Each block sends its distinct words to buckets by
+hash; a bucket counts them, numbers them by frequency, keeps its part of the unigram table and answers each block with
+numbers and counts. Then, for each order from 2 on, each block sends its distinct n-grams whose history training has seen,
+with their training counts, sorted and packed, to buckets by history. A bucket merges them into its part of that order's
+table and answers each block, n-gram by n-gram, with the counts, and with the sums that the back-off weights of its
+unseen ones need. Once the counts of counts of an order are known, a block evaluates its tokens recursively. What travels is
+one entry for each block and distinct n-gram, not for each document. A history above the hot limit is dealt by n-gram, so
+that no bucket gets all of it; its sums meet on the driver, at most 1 / HOT_SHARE of them an order, and follow the same
+formulas. The tables, partitioned by bucket, stay below the shared folder; ``tables`` of the result names them by order.
 
 Defined cases: a null text is empty: its one token is the end; without training documents every token is unknown, with
-probability 1; a null doc_id is training; repeated rows count and are scored each; an empty table gives an empty result.
+probability 1; a null doc_id is training; repeated rows count and are scored each; an empty table gives an empty result;
+words of any length and texts of any number of words are taken whole; other columns of the table are ignored.
 """
 
 from __future__ import annotations
@@ -36,10 +36,11 @@ from pyspark.sql import functions as F
 
 from . import common
 
-K = 5
+K, ORDER = 5, 3
 HOT_SHARE, HOT_LEAST = 1 / 4096, 1000
-BLOCK_BYTES, BUCKET_BYTES = 10 << 20, 32 << 20
+BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 12 << 20
 UNKNOWN, START, END, FIRST = 0, 1, 2, 3
+MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -74,22 +75,75 @@ class Unigrams:
             return Unigrams(tokens, kinds, d, 1 / (tokens + 1), 1)
         return Unigrams(tokens, kinds, d, left / tokens, 0)
 
+    @property
+    def below(self) -> int:
+        return max(self.tokens + self.more, 1)
+
     def p(self, count: np.ndarray) -> np.ndarray:
-        seen = self.d[np.minimum(count, K + 1)] * count / max(self.tokens + self.more, 1)
-        return np.where(count > 0, seen, self.unknown)
+        return np.where(count > 0, self.d[np.minimum(count, K + 1)] * count / self.below, self.unknown)
 
     def base(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 1) / (self.tokens + self.kinds + 1))
 
 
-def _blocks(docs: DataFrame, root: str, buckets: int) -> DataFrame:
+def _join(arrays: list[np.ndarray]) -> bytes:
+    """Several arrays of whole numbers, each in its smallest type, or of doubles in one value; _split undoes it.
+
+    Bytes of equal weight stand together, which packs better.
+    """
+    import zstandard
+
+    head, body = [], []
+    for x in arrays:
+        x = np.ascontiguousarray(x)
+        if x.dtype.kind in "iu":
+            low, high = (int(x.min()), int(x.max())) if len(x) else (0, 0)
+            x = x.astype(np.min_scalar_type(high) if low >= 0 else np.int64)
+        head.append(f"{x.dtype.str},{len(x)}")
+        body.append(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
+    names = ";".join(head).encode()
+    return zstandard.compress(len(names).to_bytes(4, "little") + names + b"".join(body), 6)
+
+
+def _split(data: bytes) -> list[np.ndarray]:
+    import zstandard
+
+    raw = zstandard.decompress(data)
+    n = int.from_bytes(raw[:4], "little")
+    at, out = 4 + n, []
+    for kind, size in (x.split(",") for x in raw[4:at].decode().split(";")):
+        kind, size = np.dtype(kind), int(size)
+        planes = np.frombuffer(raw, np.uint8, size * kind.itemsize, at).reshape(kind.itemsize, size)
+        out.append(np.ascontiguousarray(planes.T).view(kind).reshape(-1))
+        at += size * kind.itemsize
+    return out
+
+
+def _words(values: list) -> bytes:
+    import zstandard
+
+    return zstandard.compress(b"\n".join(x if isinstance(x, bytes) else x.encode("utf-8", "surrogatepass") for x in values), 3)
+
+
+def _unwords(data: bytes) -> list[bytes]:
+    import zstandard
+
+    raw = zstandard.decompress(data)
+    return raw.split(b"\n") if raw else []
+
+
+ANSWERS = "block string, bucket int, level int, n long, kinds long, tokens long, counts_of_counts array<long>, table binary, answer binary, hot array<struct<history:array<long>,n:array<long>,p:double>>"
+COLUMNS = [c.split()[0] for c in ANSWERS.split(", ")]
+
+
+def _blocks(docs: DataFrame, root: str, buckets: int, block_bytes: int) -> DataFrame:
     """Writes the blocks' files; each block's distinct words by bucket, with their training counts."""
 
     def make(batches):
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
-        for number, block in enumerate(common.blocks(batches, BLOCK_BYTES)):
+        for number, block in enumerate(common.blocks(batches, block_bytes)):
             codes, distinct, counts = common.words(common.column(block, "text"))
             held = common.column(block, "held_out").to_numpy(zero_copy_only=False).astype(bool)
             bucket = (common.text_hash(distinct) % np.uint64(buckets)).astype(np.int64)
@@ -101,7 +155,7 @@ def _blocks(docs: DataFrame, root: str, buckets: int) -> DataFrame:
             words = distinct.take(pa.array(order)).to_pylist()
             name = f"{part:06d}-{number:05d}"
             keys = common.column(block, "doc_id")
-            common.write_file(f"{root}/blocks/{name}", _join([codes.astype(np.int32), counts.astype(np.int32), held, pc.fill_null(keys, 0).to_numpy(zero_copy_only=False).astype(np.int64), keys.is_null().to_numpy(zero_copy_only=False)]))
+            common.write_file(f"{root}/blocks/{name}", _join([codes, counts, held, pc.fill_null(keys, 0).to_numpy(zero_copy_only=False).astype(np.int64), keys.is_null().to_numpy(zero_copy_only=False)]))
             limits = np.searchsorted(bucket, np.arange(buckets + 1))
             out = [(int(b), name, _words(words[limits[b] : limits[b + 1]]), common.packed(trained[limits[b] : limits[b + 1]])) for b in np.flatnonzero(np.diff(limits))]
             # A block without words still has documents: its row keeps it in the chain.
@@ -111,40 +165,9 @@ def _blocks(docs: DataFrame, root: str, buckets: int) -> DataFrame:
     return docs.select("doc_id", "text", "held_out").mapInArrow(make, "bucket int, block string, words binary, counts binary")
 
 
-def _words(values: list[str]) -> bytes:
-    import zstandard
-
-    return zstandard.compress("\n".join(values).encode("utf-8", "surrogatepass"), 3)
-
-
-def _unwords(data: bytes) -> list[bytes]:
-    import zstandard
-
-    raw = zstandard.decompress(data)
-    return raw.split(b"\n") if raw else []
-
-
-def _join(arrays: list[np.ndarray]) -> bytes:
-    """Several arrays in one packed value; _split undoes it."""
-    import zstandard
-
-    head = ";".join(f"{x.dtype.str},{len(x)}" for x in arrays).encode()
-    return zstandard.compress(len(head).to_bytes(4, "little") + head + b"".join(np.ascontiguousarray(x).tobytes() for x in arrays), 3)
-
-
-def _split(data: bytes) -> list[np.ndarray]:
-    import zstandard
-
-    raw = zstandard.decompress(data)
-    n = int.from_bytes(raw[:4], "little")
-    at, out = 4 + n, []
-    for kind, size in (x.split(",") for x in raw[4:at].decode().split(";")):
-        out.append(np.frombuffer(raw, np.dtype(kind), int(size), at))
-        at += out[-1].nbytes
-    return out
-
-
-UNIGRAM_ROWS = "block string, bucket int, n long, kinds long, tokens long, counts_of_counts array<long>, words binary, numbers binary, counts binary"
+def _classes(counts: np.ndarray) -> list[int]:
+    """How many of the counts are 1, 2 .. K + 1."""
+    return np.bincount(np.minimum(counts, K + 2), minlength=K + 3)[1 : K + 2].tolist()
 
 
 def _count_words(buckets: int):
@@ -161,242 +184,333 @@ def _count_words(buckets: int):
         rank[order] = np.arange(len(total))
         number = np.where(total > 0, FIRST + rank * buckets + bucket, UNKNOWN)
         seen = order[total[order] > 0]
-        of = np.bincount(np.minimum(total[seen], K + 2), minlength=K + 3)[: K + 2]
         dictionary = coded.dictionary.to_pylist()
-        import zstandard
-
-        table = zstandard.compress(b"\n".join([dictionary[i] for i in seen]), 3)
-        out = [(None, bucket, len(seen), len(seen), int(total.sum()), of.tolist(), table, common.packed(number[seen]), common.packed(total[seen]))]
+        words = np.frombuffer(_words([dictionary[i] for i in seen]), np.uint8)
+        out = [(None, bucket, 1, len(seen), len(seen), int(total.sum()), _classes(total[seen]), _join([words, number[seen], total[seen]]), None, [])]
         ends = np.cumsum(size)
         for block, a, b in zip(frame["block"], ends - size, ends, strict=True):
             mine = code[a:b]
-            out.append((block, bucket, b - a, 0, 0, [], None, common.packed(number[mine]), common.packed(total[mine])))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in UNIGRAM_ROWS.split(", ")])
+            out.append((block, bucket, 1, b - a, 0, 0, [], None, _join([number[mine], total[mine]]), []))
+        return pd.DataFrame(out, columns=COLUMNS)
 
     return count
 
 
-def _sums(at: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of values by place; numpy's own are integers where there is nothing to add."""
-    return np.bincount(at, values, n).astype(np.float64)
-
-
-ENTRIES = "block string, bucket int, entries binary"
-META = "docs"
-
-
-def _steps(numbers: np.ndarray) -> np.ndarray:
-    """Differences of rising numbers; np.cumsum undoes it."""
-    steps = np.diff(numbers, prepend=0)
-    return steps.astype(np.int32) if not len(steps) or steps.max() < 1 << 31 else steps
-
-
-def _entries(root: str, buckets: int, uni: Unigrams, train_docs: int, hot: int):
-    """For one block and its answers: packed entries for each bucket; writes what is known of its documents already."""
-
-    def make(frame: pd.DataFrame) -> pd.DataFrame:
-        block = frame["block"].iloc[0]
-        system, path = common.open_fs(f"{root}/blocks/{block}")
+@dataclass(frozen=True)
+class Model:
+    """What the driver knows of the orders counted so far; hot: for each order, the sums of its hot histories."""
+
+    uni: Unigrams
+    train_docs: int
+    limit: int  # a history seen as often is hot
+    d: dict[int, np.ndarray]
+    hot: dict[int, dict[tuple, tuple]]
+
+    def p(self, level: int, count: np.ndarray, below: np.ndarray) -> np.ndarray:
+        """The probability of n-grams of an order that were seen, below: their history's count, with one more where asked for."""
+        d = self.uni.d if level == 1 else self.d[level]
+        return d[np.minimum(count, K + 1)] * count / np.maximum(below, 1)
+
+
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where rows of sorted columns differ from the one before."""
+    n = len(columns[0])
+    head = np.zeros(n, bool)
+    head[:1] = True
+    for x in columns:
+        head[1:] |= x[1:] != x[:-1]
+    return np.flatnonzero(head)
+
+
+class Entries:
+    """A block's distinct n-grams of one order, by bucket, shorter history, first word and word."""
+
+    def __init__(self, block: Block, level: int, model: Model, buckets: int):
+        b, self.level = block, level
+        times, first = b.history_counts(level)
+        on = np.flatnonzero(times > 0)
+        history, word = b.history(level)[on], b.word[on]
+        key = history.astype(np.int64) * len(b.number) + word
+        _, rep, at = np.unique(key, return_index=True, return_inverse=True)
+        rep = on[rep]
+        self.times = times[rep]
+        self.hot = self.times >= model.limit
+        longer = [b.back(k)[rep] for k in range(level - 1, 0, -1)]  # the history's words, first to last
+        code = np.zeros(len(rep), np.uint64)
+        for x in longer:
+            code = common.mix64(code * MIX + b.number[x].astype(np.uint64))
+        code = np.where(self.hot, common.mix64(code * MIX + b.number[b.word[rep]].astype(np.uint64)), code)
+        goes = (code % np.uint64(buckets)).astype(np.int32)
+        order = np.lexsort((b.word[rep], longer[0], *reversed(longer[1:]), goes))
+        self.rep, self.times, self.hot, self.goes = rep[order], self.times[order], self.hot[order], goes[order]
+        self.words = [x[order] for x in longer]
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        self.at = np.full(len(b.word), -1, np.int32)
+        self.at[on] = place[at]
+        # A history ends with its bucket: hot ones stand in several.
+        self.heads = _runs(self.goes, *self.words)
+        self.head_of = np.repeat(np.arange(len(self.heads)), np.diff(np.append(self.heads, len(self.rep))))
+
+
+class Block:
+    """A block's tokens, and what answers tell of their n-grams."""
+
+    def __init__(self, root: str, frame: pd.DataFrame, model: Model):
+        system, path = common.open_fs(f"{root}/blocks/{frame['block'].iloc[0]}")
         with system.open_input_file(path) as f:
-            codes, counts, held, keys, no_key = _split(f.read())
-        frame = frame.sort_values("bucket")
-        number = np.concatenate([[UNKNOWN, START, END], *(common.unpacked(x, np.int64) for x in frame["numbers"])])
-        times = np.concatenate([[0, train_docs, train_docs], *(common.unpacked(x, np.int64) for x in frame["counts"])])
-        docs = len(counts)
-        # Codes follow the numbers, so that sorted entries have sorted numbers, which pack well.
+            codes, self.counts, self.held, self.keys, self.no_key = _split(f.read())
+        self.model, self.answers = model, frame.sort_values("bucket")
+        numbers, times = zip(*(_split(x) for x in self.answers["answer"][self.answers["level"] == 1]), strict=True)
+        number = np.concatenate([[UNKNOWN, START, END], *numbers]).astype(np.int64)
+        times = np.concatenate([[0, model.train_docs, model.train_docs], *times]).astype(np.int64)
+        # Codes follow the numbers, so that sorted n-grams have sorted numbers, which pack well.
         order = np.argsort(number[FIRST:], kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
-        number[FIRST:], times[FIRST:], codes = number[FIRST:][order], times[FIRST:][order], place[codes]
-        # Local codes: unknown words are one, start and end come before the words.
-        codes = (codes + FIRST).astype(np.int32)
-        codes[number[codes] == UNKNOWN] = UNKNOWN
-        ends = np.cumsum(counts.astype(np.int64))
-        word = np.insert(codes, ends, END)
-        last = ends + np.arange(docs)  # where each document's end stands
-        history = np.empty_like(word)
-        history[1:] = word[:-1]
-        history[np.append(0, last[:-1] + 1)[:docs]] = START
-        doc = np.repeat(np.arange(docs, dtype=np.int32), counts + 1)
-        n = np.bincount(doc, minlength=docs)
-        known = np.bincount(doc, times[word] > 0, docs).astype(np.int64)
-        base = _sums(doc, uni.base(times)[word], docs)
-        # A history that training lacks backs off with weight 1.
-        alone = times[history] == 0
-        score = _sums(doc[alone], np.log10(uni.p(times))[word[alone]], docs)
-        common.write_file(f"{root}/{META}/{block}", _join([keys, no_key, held, n.astype(np.int64), known, base, score]))
-        word, history, doc = word[~alone], history[~alone], doc[~alone]
-        m = len(number)
-        key = (history.astype(np.int64) * m + word) * max(docs, 1) + doc
-        key.sort()
-        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-        mult, key = np.diff(np.append(first, len(key))).astype(np.int32), key[first]
-        doc, key = (key % max(docs, 1)).astype(np.int32), key // max(docs, 1)
-        history, word = (key // m).astype(np.int32), (key % m).astype(np.int32)
-        goes = (common.mix64(number[history].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-        is_hot = times[history] >= hot
-        goes[is_hot] = (common.mix64(number[history[is_hot]].astype(np.uint64) * np.uint64(0x9E3779B1) + number[word[is_hot]].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(goes, kind="stable")
-        history, word, doc, mult, goes = history[order], word[order], doc[order], mult[order], goes[order]
-        limits = np.searchsorted(goes, np.arange(buckets + 1))
-        small = lambda x: x.astype(np.int32) if not len(x) or x.max() < 1 << 31 else x
-        out = []
-        for b in np.flatnonzero(np.diff(limits)):
-            s = slice(limits[b], limits[b + 1])
-            h, w = history[s], word[s]
-            heads = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
-            used, at = np.unique(w, return_inverse=True)
-            out.append((block, int(b), _join([
-                _steps(number[h[heads]]), small(times[h[heads]]), np.diff(np.append(heads, len(h))).astype(np.int32),
-                _steps(number[used]), small(times[used]), at.astype(np.uint16 if len(used) < 65536 else np.int32),
-                doc[s].astype(np.uint16 if docs < 65536 else np.int32), mult[s].astype(np.int32), held,
-            ])))
-        # A block whose entries all back off alone still has to be scored.
-        return pd.DataFrame(out or [(block, 0, None)], columns=["block", "bucket", "entries"])
-
-    return make
-
-
-def _merged(keys: list[np.ndarray], times: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys of all parts, what belongs to each, and each key's place among them."""
-    every, first, at = np.unique(np.concatenate(keys).astype(np.int64), return_index=True, return_inverse=True)
-    return every, np.concatenate(times).astype(np.int64)[first], at.astype(np.int32)
-
-
-REDUCED = "block string, bucket int, sums binary, histories binary, words binary, counts binary, counts_of_counts array<long>, hot array<struct<history:long,n:array<long>,above:long,p:double>>"
-
-
-def _merge(uni: Unigrams, hot: int):
-    """One bucket: its part of the bigram table, and for each block sums by document."""
+        number[FIRST:], times[FIRST:] = number[FIRST:][order], times[FIRST:][order]
+        codes = (place[codes] + FIRST).astype(np.int32)
+        codes[number[codes] == UNKNOWN] = UNKNOWN  # unknown words are one
+        self.number, self.times = number, times
+        self.counts = self.counts.astype(np.int64)
+        ends = np.cumsum(self.counts)
+        self.word = np.insert(codes, ends, END)
+        self.docs = len(self.counts)
+        self.doc = np.repeat(np.arange(self.docs, dtype=np.int32), self.counts + 1)
+        begins = ends - self.counts + np.arange(self.docs)
+        self.place = np.arange(len(self.word), dtype=np.int32) - np.repeat(begins, self.counts + 1).astype(np.int32)
+        #: By order: the place of each token's n-gram among the distinct ones (-1: its history is unseen), and their counts.
+        self.at, self.seen = {1: self.word}, {1: times}
+        self.below: dict[int, np.ndarray] = {}
+        self.log = np.log10(model.uni.p(times))[self.word]
+
+    def back(self, k: int) -> np.ndarray:
+        """The word k places before each token."""
+        out = np.full(len(self.word), START, np.int32)
+        out[k:] = self.word[: len(self.word) - k]
+        out[self.place < k] = START
+        return out
+
+    def history(self, level: int) -> np.ndarray:
+        """The n-gram of one order less before each token, as its place; one behind all stands for starts alone."""
+        starts = START if level == 2 else len(self.seen[level - 1])
+        out = np.full(len(self.word), starts, np.int32)
+        out[1:] = self.at[level - 1][:-1]
+        out[self.place == 0] = starts
+        return out
+
+    def history_counts(self, level: int) -> tuple[np.ndarray, np.ndarray]:
+        """How often training has seen the history of each token, and that history."""
+        history = self.history(level)
+        counts = np.concatenate([self.seen[level - 1], [self.model.train_docs, 0]])  # the last is -1: unseen
+        return counts[history], history
+
+    def entries(self, level: int, buckets: int) -> list[tuple]:
+        """(bucket, packed n-grams) of an order."""
+        e, model = Entries(self, level, self.model, buckets), self.model
+        lower = self.at[level - 1][e.rep]
+        count = self.seen[level - 1][np.maximum(lower, 0)] * (lower >= 0)
+        below = self.below[level - 1][np.maximum(lower, 0)] if level > 2 else np.full(len(lower), model.uni.below)
+        trained = np.bincount(e.at[e.at >= 0], ~self.held[self.doc[e.at >= 0]], len(e.rep)).astype(np.int64)
+        word = self.word[e.rep]
+        limits = np.searchsorted(e.goes, np.arange(buckets + 1))
+        cuts = [(int(b), slice(limits[b], limits[b + 1])) for b in np.flatnonzero(np.diff(limits))]
+        return [(b, _packed([x[s] for x in e.words], word[s], self.number, trained[s], [below[s], count[s], e.hot[s]])) for b, s in cuts]
+
+    def learn(self, level: int, buckets: int) -> None:
+        """Takes in the answers to an order's entries."""
+        e, d = Entries(self, level, self.model, buckets), self.model.d[level]
+        mine = self.answers["answer"][self.answers["level"] == level]
+        parts = [_split(x) for x in mine]
+        cat = lambda i: np.concatenate([p[i] for p in parts]) if parts else np.zeros(0)
+        count, flat = cat(0).astype(np.int64), cat(1).astype(bool)
+        unseen = count == 0
+        head_hot = e.hot[e.heads]
+        need = np.zeros(len(e.heads), bool)
+        need[e.head_of[unseen]] = True
+        need &= ~head_hot
+        classes, mass = np.zeros((len(e.heads), K), np.int64), np.zeros(len(e.heads))
+        for r in range(K):
+            classes[need, r] = cat(2 + r)
+        mass[need] = cat(2 + K)
+        hots = np.flatnonzero(head_hot)
+        _, once, again = np.unique(self.history(level)[e.rep[e.heads[hots]]], return_index=True, return_inverse=True)
+        if len(once):  # a hot history stands in many buckets
+            found = [self.model.hot[level][tuple(int(self.number[x[i]]) for x in e.words)] for i in e.heads[hots[once]]]
+            classes[hots], mass[hots] = np.stack([x[0] for x in found])[again], np.array([x[1] for x in found])[again]
+            flat[hots] = ~classes[hots].any(1)
+        times = e.times[e.heads]
+        below = times + flat
+        left = (classes * np.arange(1, K + 1) * (1 - d[1 : K + 1])).sum(1) + flat
+        with np.errstate(divide="ignore", invalid="ignore"):
+            bow = np.log10(left) - np.log10(below) - np.log10(1 - mass)
+        value = np.where(unseen, bow[e.head_of] + self.log[e.rep], np.log10(np.maximum(self.model.p(level, count, below[e.head_of]), 1e-300)))
+        on = e.at >= 0
+        self.log = np.where(on, value[np.maximum(e.at, 0)] if len(value) else 0.0, self.log)
+        self.at[level], self.seen[level], self.below[level] = e.at, count, below[e.head_of]
+
+    def scores(self) -> pd.DataFrame:
+        n = np.bincount(self.doc, minlength=self.docs)
+        times, uni = self.times, self.model.uni
+        sums = lambda x: np.bincount(self.doc, x, self.docs).astype(np.float64)
+        out = pd.DataFrame({"doc_id": pd.array(self.keys, "Int64"), "held_out": self.held, "n_tokens": n, "n_known": sums(times[self.word] > 0).astype(np.int64), "train_tokens": uni.tokens, "base_score": sums(uni.base(times)[self.word]), "score": sums(self.log)})
+        return out.assign(doc_id=lambda x: x["doc_id"].mask(self.no_key))
+
+
+def _packed(history: list[np.ndarray], word: np.ndarray, number: np.ndarray, counts: np.ndarray, more: list[np.ndarray]) -> bytes:
+    """Sorted n-grams of a bucket: by groups of histories that are equal but for their first word.
+
+    more: what a group and an n-gram need for the lower order's probability, and whether the history is hot.
+    """
+    shorter, first = history[1:], history[0]
+    groups = _runs(*shorter) if shorter else np.zeros(1, np.int64)
+    heads = _runs(*shorter, first) if shorter else _runs(first)
+    used, at = np.unique(np.concatenate([*(x[groups] for x in shorter), first[heads], word]), return_inverse=True)
+    parts = np.split(at, np.cumsum([*(len(groups) for _ in shorter), len(heads)]))
+    arrays = [np.diff(number[used], prepend=0), *parts, np.diff(np.append(np.searchsorted(heads, groups), len(heads))), np.diff(np.append(heads, len(word))), counts]
+    if more:
+        arrays += [more[0][groups], more[1], more[2][heads]]
+    return _join(arrays)
+
+
+class Unpacked:
+    """What _packed made of n-grams of an order."""
+
+    def __init__(self, data: bytes, level: int):
+        used, *rest = _split(data)
+        self.used = np.cumsum(used.astype(np.int64))
+        self.shorter, (self.first, self.word, heads, size, self.counts, *self.more) = rest[: level - 2], rest[level - 2 :]
+        self.group_of = np.repeat(np.arange(len(heads)), heads.astype(np.int64))  # of each head
+        self.head_of = np.repeat(np.arange(len(size)), size.astype(np.int64))  # of each n-gram
+
+
+def ngrams(table: bytes, level: int) -> list[tuple[tuple, int]]:
+    """(numbers of its words, count) of each n-gram of a bucket's table."""
+    u = Unpacked(table, level)
+    group = u.group_of[u.head_of]
+    columns = [u.used[u.first][u.head_of], *(u.used[x][group] for x in u.shorter), u.used[u.word]]
+    return [(tuple(int(x) for x in g), int(c)) for *g, c in zip(*columns, u.counts, strict=True)]
+
+
+def _same(parts: list[np.ndarray], dense: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of keys (dense[i] x size + parts[i]) of all parts: the place of the first of each different one, and each key's number."""
+    key = np.concatenate([d.astype(np.int64) * size + x for d, x in zip(dense, parts, strict=True)])
+    _, first, at = np.unique(key, return_index=True, return_inverse=True)
+    return first, at.astype(np.int32)
+
+
+def _cut(values: np.ndarray, parts: list) -> list[np.ndarray]:
+    return np.split(values, np.cumsum([len(x) for x in parts])[:-1])
+
+
+def _merge(level: int, model: Model):
+    """One bucket: its part of an order's table, and its answers to the blocks."""
 
     def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        bucket, out = int(frame["bucket"].iloc[0]), []
-        columns = [c.split()[0] for c in ("block", "bucket", "sums", "histories", "words", "counts", "counts_of_counts", "hot")]
-        out = [(x, bucket, None, None, None, None, [], []) for x in frame["block"][frame["entries"].isna()]]
-        frame = frame[frame["entries"].notna()]
-        if not len(frame):
-            return pd.DataFrame(out, columns=columns)
-        parts = [_split(x) for x in frame["entries"]]
-        hs, h_times, h_at = _merged([np.cumsum(p[0]) for p in parts], [p[1] for p in parts])
-        h_at = np.repeat(h_at, np.concatenate([p[2] for p in parts]))
-        ws, w_times, w_of = _merged([np.cumsum(p[3]) for p in parts], [p[4] for p in parts])
-        begins = np.cumsum([0, *(len(p[3]) for p in parts)])
-        w_at = np.concatenate([w_of[a : a + len(p[3])][p[5]] for a, p in zip(begins, parts, strict=False)])
-        key = h_at.astype(np.int64) * len(ws) + w_at
-        order = np.argsort(key)
-        key = key[order]
-        heads = np.append(True, key[1:] != key[:-1])
-        pair_at = np.empty(len(key), np.int32)
-        pair_at[order] = np.cumsum(heads) - 1
-        first = order[heads]
-        pair_h, pair_w = h_at[first], w_at[first]
-        del key, order, heads, first, w_at
-        c, at = np.zeros(len(pair_h), np.int64), 0
-        for p in parts:
-            s = slice(at, at + len(p[6]))
-            np.add.at(c, pair_at[s], p[7] * ~p[8][p[6]])
-            at = s.stop
-        seen, is_hot = c > 0, h_times >= hot
-        n = np.zeros((len(hs), K + 2), np.int64)
-        np.add.at(n, (pair_h[seen], np.minimum(c[seen], K + 1)), 1)
-        above = np.bincount(pair_h[seen], np.where(c[seen] > K, c[seen], 0), len(hs)).astype(np.int64)
-        mass = _sums(pair_h[seen], uni.p(w_times[pair_w[seen]]), len(hs))
-        below = h_times + (is_hot | (n[:, 1 : K + 1].sum(1) == 0))
-        # log10 of a seen pair's part of its score, and of an unseen word's own probability.
-        value = np.where(seen, np.log10(np.maximum(c, 1)) - np.log10(np.maximum(below, 1))[pair_h], np.log10(uni.p(w_times))[pair_w])
-        at = 0
-        for block, part in zip(frame["block"], parts, strict=True):
-            s = slice(at, at + len(part[6]))
-            at = s.stop
-            pair, mult = pair_at[s], part[7]
-            doc, docs, k = part[6].astype(np.int64), len(part[8]), np.minimum(c[pair], K + 1)
-            fixed = _sums(doc, value[pair] * mult, docs)
-            classes = np.bincount(doc * (K + 2) + k, mult, docs * (K + 2)).astype(np.int32).reshape(docs, K + 2).T[1 : K + 1].ravel()
-            back = ~seen[pair]
-            needed, ref = np.unique(h_at[s][back], return_inverse=True)
-            sums = _join([fixed.astype(np.float32), classes, doc[back].astype(np.int32), mult[back], ref.astype(np.int32), np.where(is_hot[needed], hs[needed], -1), n[needed].ravel(), above[needed], below[needed], mass[needed]])
-            out.append((block, bucket, sums, None, None, None, [], []))
-        of = np.bincount(np.minimum(c[seen], K + 2), minlength=K + 3)[: K + 2]
-        hots = [{"history": int(hs[i]), "n": n[i].tolist(), "above": int(above[i]), "p": float(mass[i])} for i in np.flatnonzero(is_hot)]
-        out.append((None, bucket, None, common.packed(hs[pair_h[seen]]), common.packed(ws[pair_w[seen]]), common.packed(c[seen]), of.tolist(), hots))
-        return pd.DataFrame(out, columns=columns)
+        bucket = int(frame["bucket"].iloc[0])
+        parts = [Unpacked(x, level) for x in frame["entries"]]
+        every, at = np.unique(np.concatenate([p.used for p in parts]), return_inverse=True)
+        local = _cut(at.astype(np.int64), [p.used for p in parts])
+        kinds = len(every)
+        # Numbers for equal shorter histories, histories and n-grams in turn; each rises with the words.
+        group = [np.zeros(len(p.more[0]), np.int64) for p in parts]
+        for k in range(level - 2):
+            group = _cut(_same([u[p.shorter[k]] for u, p in zip(local, parts, strict=True)], group, kinds)[1], group)
+        first_head, heads = _same([u[p.first] for u, p in zip(local, parts, strict=True)], [g[p.group_of] for g, p in zip(group, parts, strict=True)], kinds)
+        head = _cut(heads, [p.first for p in parts])
+        first, pair = _same([u[p.word] for u, p in zip(local, parts, strict=True)], [h[p.head_of] for h, p in zip(head, parts, strict=True)], kinds)
+        cat = lambda get: np.concatenate([get(p) for p in parts])
+        count = np.bincount(pair, cat(lambda p: p.counts.astype(np.int64)), len(first)).astype(np.int64)
+        of = np.concatenate([h[p.head_of] for h, p in zip(head, parts, strict=True)])[first]  # each n-gram's history
+        lower, below = cat(lambda p: p.more[1].astype(np.int64))[first], cat(lambda p: p.more[0][p.group_of][p.head_of].astype(np.int64))[first]
+        hot = cat(lambda p: p.more[2].astype(bool))[first_head]
+        seen, n = count > 0, len(first_head)
+        few = seen & (count <= K)
+        classes = np.zeros((n, K), np.int64)
+        np.add.at(classes, (of[few], count[few] - 1), 1)
+        mass = np.bincount(of[seen], model.p(level - 1, lower[seen], below[seen]), n).astype(np.float64)
+        flat = ~classes.any(1) & ~hot
+        out = []
+        for block, p, h, mine in zip(frame["block"], parts, head, _cut(pair, [p.word for p in parts]), strict=True):
+            c = count[mine]
+            need = np.zeros(len(h), bool)
+            need[p.head_of[c == 0]] = True
+            need = h[need & ~hot[h]]
+            out.append((block, bucket, level, len(c), 0, 0, [], None, _join([c, flat[h], *classes[need].T, mass[need]]), []))
+        # The words of each history, for the table and for what meets on the driver.
+        groups = [np.concatenate([u[p.shorter[k]][p.group_of] for u, p in zip(local, parts, strict=True)])[first_head] for k in range(level - 2)]
+        words = [np.concatenate([u[p.first] for u, p in zip(local, parts, strict=True)])[first_head], *groups]
+        hots = [{"history": [int(every[x[i]]) for x in words], "n": classes[i].tolist(), "p": float(mass[i])} for i in np.flatnonzero(hot)]
+        kept = np.flatnonzero(seen)
+        word = np.concatenate([u[p.word] for u, p in zip(local, parts, strict=True)])[first]
+        table = _packed([x[of[kept]] for x in words], word[kept], every, count[kept], []) if len(kept) else None
+        out.append((None, bucket, level, len(kept), 0, 0, _classes(count[seen]), table, None, hots))
+        return pd.DataFrame(out, columns=COLUMNS)
 
     return merge
 
 
-def _bow(n: np.ndarray, above: np.ndarray, below: np.ndarray, p: np.ndarray, d: np.ndarray) -> np.ndarray:
-    seen = (n[:, : K + 1] * np.arange(K + 1) * d[: K + 1]).sum(1) + above
-    return (1 - seen / np.maximum(below, 1)) / (1 - p)
+SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+def _evaluated(root: str, frame: pd.DataFrame, model: Model, buckets: int, level: int) -> Block:
+    """A block that knows all orders below ``level``."""
+    block = Block(root, frame, model)
+    for n in range(2, level):
+        block.learn(n, buckets)
+    return block
 
 
-def _finish(root: str, shared, tokens: int):
-    def finish(frame: pd.DataFrame) -> pd.DataFrame:
-        d, hot = shared.value
-        system, path = common.open_fs(f"{root}/{META}/{frame['block'].iloc[0]}")
-        with system.open_input_file(path) as f:
-            keys, no_key, held, n, known, base, score = _split(f.read())
-        score = score.copy()
-        logs = np.log10(d)
-        for data in frame.sort_values("bucket")["sums"]:
-            if data is None:
-                continue
-            fixed, classes, doc, mult, ref, numbers, counts, above, below, p = _split(data)
-            score += fixed.astype(np.float64) + logs[1 : K + 1] @ classes.reshape(K, -1)
-            counts, above, p = counts.reshape(-1, K + 2), above.astype(float), p.copy()
-            bow = _bow(counts, above, below, p, d)
-            for i in np.flatnonzero(numbers >= 0):
-                bow[i] = hot[int(numbers[i])]
-            score += _sums(doc, np.log10(bow)[ref] * mult, len(score))
-        return pd.DataFrame({"doc_id": pd.array(keys, "Int64"), "held_out": held, "n_tokens": n, "n_known": known, "train_tokens": tokens, "base_score": base, "score": score}).assign(doc_id=lambda x: x["doc_id"].mask(no_key))
-
-    return finish
+def _send(root: str, shared, buckets: int, level: int):
+    def send(frame: pd.DataFrame) -> pd.DataFrame:
+        out = _evaluated(root, frame, shared.value, buckets, level).entries(level, buckets)
+        return pd.DataFrame([(frame["block"].iloc[0], *x) for x in out], columns=["block", "bucket", "entries"])
+
+    return send
 
 
 @dataclass
 class Result:
     scores: DataFrame
-    unigrams: str
-    bigrams: str
+    tables: dict[int, str]
     tokens: int
     kinds: int
 
 
-def train_and_score(docs: DataFrame, bucket_bytes: int = BUCKET_BYTES, hot_least: int = HOT_LEAST) -> Result:
+def train_and_score(docs: DataFrame, order: int = ORDER, bucket_bytes: int = BUCKET_BYTES, hot_least: int = HOT_LEAST, block_bytes: int = BLOCK_BYTES) -> Result:
     """Learns from the rows of docs(doc_id, text, held_out) that are not held out; scores all."""
     spark = docs.sparkSession
     common.small_batches(spark)
     root = common.new_folder(spark, "katz")
     size = docs.agg(F.sum(F.octet_length("text")).alias("b"), F.count_if(~F.col("held_out")).alias("d")).first()
-    buckets, train_docs = max(4, -(-(size["b"] or 0) // bucket_bytes)), size["d"]
-    uni_rows = _blocks(docs, root, buckets).groupBy("bucket").applyInPandas(_count_words(buckets), UNIGRAM_ROWS)
-    uni_rows = common.stage(uni_rows, f"{root}/unigrams")
-    table = uni_rows.where("block IS NULL")
-    sums = table.agg(F.sum("kinds").alias("kinds"), F.sum("tokens").alias("tokens"), *[F.sum(F.element_at("counts_of_counts", r + 1)).alias(f"n{r}") for r in range(1, K + 2)]).first()
-    n = np.array([0, *(sums[f"n{r}"] or 0 for r in range(1, K + 2))], np.int64)
+    buckets, train_docs = int(max(4, -(-(size["b"] or 0) // bucket_bytes))), size["d"]
+    tables = {n: f"{root}/order{n}" for n in range(1, order + 1)}
+    rows = common.stage(_blocks(docs, root, buckets, block_bytes).groupBy("bucket").applyInPandas(_count_words(buckets), ANSWERS), tables[1])
+    classes = lambda t: [F.coalesce(F.sum(F.element_at("counts_of_counts", r)), F.lit(0)).alias(f"n{r}") for r in range(1, K + 2)]
+    sums = rows.where("block IS NULL").agg(F.sum("kinds").alias("kinds"), F.sum("tokens").alias("tokens"), *classes(rows)).first()
+    n = np.array([0, *(sums[f"n{r}"] for r in range(1, K + 2))], np.int64)
     if 0 < train_docs <= K + 1:
         n[train_docs] += 1  # the end
     tokens, kinds = (sums["tokens"] or 0) + train_docs, (sums["kinds"] or 0) + (train_docs > 0)
-    uni = Unigrams.of(tokens, kinds, n)
-    hot = max(hot_least, int(tokens * HOT_SHARE) + 1)
-    answers = uni_rows.where("block IS NOT NULL").select("block", "bucket", "numbers", "counts")
-    entries = answers.groupBy("block").applyInPandas(_entries(root, buckets, uni, train_docs, hot), ENTRIES)
-    reduced = common.stage(entries.groupBy("bucket").applyInPandas(_merge(uni, hot), REDUCED), f"{root}/bigrams")
-    common.drop_folder(f"{root}/blocks")
-    of = reduced.where("block IS NULL").agg(*[F.sum(F.element_at("counts_of_counts", r + 1)).alias(f"n{r}") for r in range(1, K + 2)]).first()
-    d = discounts(np.array([0, *(of[f"n{r}"] or 0 for r in range(1, K + 2))], np.int64))
-    hots = reduced.where("block IS NULL").select(F.explode("hot").alias("x")).select("x.*")
-    hots = hots.groupBy("history").agg(F.array(*[F.sum(F.element_at("n", r + 1)) for r in range(K + 2)]).alias("n"), F.sum("above").alias("above"), F.sum("p").alias("p")).collect()  # at most 1 / HOT_SHARE
-    weights = {}
-    for r in hots:
-        count, above = np.array([r["n"]], np.int64), float(r["above"])
-        total = int((count[0, : K + 1] * np.arange(K + 1)).sum() + above)  # c(h): all its continuations
-        weights[r["history"]] = float(_bow(count, np.array([above]), np.array([total + 1]), np.array([r["p"]]), d)[0])
-    shared = spark.sparkContext.broadcast((d, weights))
-    scores = reduced.where("block IS NOT NULL").select("block", "bucket", "sums").groupBy("block").applyInPandas(_finish(root, shared, tokens), SCORES)
-    return Result(scores, f"{root}/unigrams", f"{root}/bigrams", tokens, kinds)
+    model = Model(Unigrams.of(tokens, kinds, n), train_docs, max(hot_least, int(tokens * HOT_SHARE) + 1), {}, {})
+    answers = rows.where("block IS NOT NULL").select("block", "bucket", "level", "answer")
+    for level in range(2, order + 1):
+        shared = spark.sparkContext.broadcast(model)  # discounts, and at most 1 / HOT_SHARE histories an order
+        entries = answers.groupBy("block").applyInPandas(_send(root, shared, buckets, level), "block string, bucket int, entries binary")
+        rows = common.stage(entries.groupBy("bucket").applyInPandas(_merge(level, model), ANSWERS), tables[level])
+        of = rows.where("block IS NULL").agg(*classes(rows)).first()
+        hots = rows.where("block IS NULL").select(F.explode("hot").alias("x")).select("x.*")
+        hots = hots.groupBy("history").agg(F.array(*[F.sum(F.element_at("n", r + 1)) for r in range(K)]).alias("n"), F.sum("p").alias("p")).collect()
+        found = {tuple(r["history"]): (np.array(r["n"], np.int64), r["p"]) for r in hots}
+        d = discounts(np.array([0, *(of[f"n{r}"] for r in range(1, K + 2))], np.int64))
+        model = Model(model.uni, train_docs, model.limit, {**model.d, level: d}, {**model.hot, level: found})
+        answers = answers.unionByName(rows.where("block IS NOT NULL").select("block", "bucket", "level", "answer"))
+    last = spark.sparkContext.broadcast(model)
+
+    def finish(frame: pd.DataFrame) -> pd.DataFrame:
+        return _evaluated(root, frame, last.value, buckets, order + 1).scores()
+
+    return Result(answers.groupBy("block").applyInPandas(finish, SCORES), tables, tokens, kinds)
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

@@ -105,53 +105,66 @@ def test_top_k_of_little(spark):
 # -- 3
 
 
-def brute_katz(rows, hot_least):
+def brute_katz(rows, order):
     """Scores by the textbook, over dictionaries."""
     end, start = ("end",), ("start",)
     texts = [(i, [*words(t), end]) for i, t in rows]
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    one, two, hist = Counter(), defaultdict(Counter), Counter()
+    grams = lambda t: [tuple([start] * (order - 1) + t)[k : k + order] for k in range(len(t))]
+    seen = {m: defaultdict(Counter) for m in range(1, order + 1)}  # by order: history, word
     for i, t in texts:
         if not held(i):
-            for h, w in zip([start, *t], t, strict=False):
-                one[w] += 1
-                two[h][w] += 1
-                hist[h] += 1
+            for g in grams(t):
+                for m in seen:
+                    seen[m][g[order - m : -1]][g[-1]] += 1
+    one = seen[1][()]
     n, kinds = sum(one.values()), len(one)
-    counts = lambda values: np.array([0, *(sum(v == r for v in values) for r in range(1, katz.K + 2))])
-    d1, d2 = katz.discounts(counts(list(one.values()))), katz.discounts(counts([c for x in two.values() for c in x.values()]))
-    left = sum((1 - d1[min(c, katz.K + 1)]) * c for c in one.values())
+    d = {m: katz.discounts(np.array([0, *(sum(v == r for x in t.values() for v in x.values()) for r in range(1, katz.K + 2))])) for m, t in seen.items()}
+    left = sum((1 - d[1][min(c, katz.K + 1)]) * c for c in one.values())
     more = 0 if n and left > 0 else 1
-    p1 = lambda w: d1[min(one[w], katz.K + 1)] * one[w] / (n + more) if one[w] else (left / n if not more else 1 / (n + 1))
-    hot = max(hot_least, int(n * katz.HOT_SHARE) + 1)
 
-    def p2(h, w):
-        if not hist[h]:
-            return p1(w)
-        below = hist[h] + (hist[h] >= hot or min(two[h].values()) > katz.K)
-        if two[h][w]:
-            return d2[min(two[h][w], katz.K + 1)] * two[h][w] / below
-        seen = {x: c for x, c in two[h].items() if c}
-        return (1 - sum(d2[min(c, katz.K + 1)] * c for c in seen.values()) / below) / (1 - sum(map(p1, seen))) * p1(w)
+    def p(h, w):
+        m = len(h) + 1
+        if m == 1:
+            return d[1][min(one[w], katz.K + 1)] * one[w] / (n + more) if one[w] else (left / n if not more else 1 / (n + 1))
+        if h not in seen[m]:
+            return p(h[1:], w)
+        after = seen[m][h]
+        below = sum(after.values()) + (min(after.values()) > katz.K)
+        if w in after:
+            return d[m][min(after[w], katz.K + 1)] * after[w] / below
+        return (1 - sum(d[m][min(c, katz.K + 1)] * c for c in after.values()) / below) / (1 - sum(p(h[1:], x) for x in after)) * p(h[1:], w)
 
-    for h in [start, *list(one)[:20]]:
-        if hist[h]:
-            assert abs(sum(p2(h, w) for w in one) + p2(h, ("unknown",)) - 1) < 1e-9
-    return [(i, held(i), len(t), sum(one[w] > 0 for w in t), n, sum(math.log10((one[w] + 1) / (n + kinds + 1)) for w in t), sum(math.log10(p2(h, w)) for h, w in zip([start, *t], t, strict=False))) for i, t in texts]
+    for m, t in seen.items():
+        for h in list(t)[:15]:
+            assert abs(sum(p(h, w) for w in one) + p(h, ("unknown",)) - 1) < 1e-9, m
+    return [(i, held(i), len(t), sum(one[w] > 0 for w in t), n, sum(math.log10((one[w] + 1) / (n + kinds + 1)) for w in t), sum(math.log10(p(g[:-1], g[-1])) for g in grams(t))) for i, t in texts], seen
 
 
 def marked(df):
     return df.select("doc_id", "text").withColumn("held_out", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 7 == 2, F.lit(False)))
 
 
-@pytest.mark.parametrize("hot_least", [katz.HOT_LEAST, 5])
-def test_katz_equals_brute_force(odd_docs, hot_least):
-    want = brute_katz([(r.doc_id, r.text) for r in odd_docs.select("doc_id", "text").collect()], hot_least)
-    got = plain(katz.train_and_score(marked(odd_docs), bucket_bytes=4096, hot_least=hot_least).scores, *[c.split()[0] for c in katz.SCORES.split(", ")])
+@pytest.mark.parametrize("order, hot_least", [(2, katz.HOT_LEAST), (3, katz.HOT_LEAST), (3, 5), (4, 5)])
+def test_katz_equals_brute_force(spark, odd_docs, order, hot_least):
+    """The same scores whether histories are dealt whole or, as hot ones, by n-gram."""
+    rng = random.Random(9)
+    rows = [(r.doc_id, r.text) for r in odd_docs.select("doc_id", "text").collect()]
+    rows += [(500 + i, " ".join(rng.choice("ab cd ef the of one".split()) for _ in range(rng.randrange(30)))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want, seen = brute_katz(rows, order)
+    result = katz.train_and_score(marked(df), order=order, bucket_bytes=4096, hot_least=hot_least, block_bytes=8192)
+    got = plain(result.scores, *[c.split()[0] for c in katz.SCORES.split(", ")])
     key = lambda r: (r[0] is None, r[0] or 0, r[2], r[5])
     assert len(got) == len(want)
     for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
-        assert g[:5] == w[:5] and g[5] == pytest.approx(w[5]) and g[6] == pytest.approx(w[6])
+        assert g[:5] == w[:5] and g[5] == pytest.approx(w[5], rel=1e-12) and g[6] == pytest.approx(w[6], rel=1e-10)
+    unigrams = [katz._split(r.table) for r in spark.read.parquet(result.tables[1]).where("block IS NULL").collect()]
+    name = {int(i): w.decode() for words_, numbers, _ in unigrams for i, w in zip(numbers, katz._unwords(words_.tobytes()), strict=True)}
+    name |= {katz.START: ("start",), katz.END: ("end",)}
+    for m in range(2, order + 1):
+        table = {g: c for r in spark.read.parquet(result.tables[m]).where("table IS NOT NULL AND block IS NULL").collect() for g, c in katz.ngrams(r.table, m)}
+        assert {tuple(name[x] for x in g): c for g, c in table.items()} == {(*h, w): c for h, t in seen[m].items() for w, c in t.items()}
 
 
 def test_katz_without_training(spark, no_docs):
