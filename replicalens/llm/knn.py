@@ -2,23 +2,27 @@
 
 Components become floor(256 x); the score is the integer inner product. One more coordinate turns the largest score into
 the smallest distance: with M the largest squared length of a vector, data x go to (x, sqrt(M - |x|^2)) and queries q to
-(q, 0), and |q' - x'|^2 = |q|^2 + M - 2 q.x. PIVOTS rows with the smallest hashes are pivots; queries and data belong to
-the cell of the nearest. From each cell's summary (its radius, and its k + 1 smallest distances, as a query may meet
-itself) follows a distance within which every query of a cell has its k results; by the triangle inequality a row of
-data at distance d from its pivot p_j can matter to cell i only if | |p_i p_j| - d | is at most that distance plus the
-cell's radius. Cells with few queries are grouped with near ones, cells with many are cut, into at most MOST_BLOCKS
-blocks; each row of data goes to the blocks that need it, dealt by a salt into parts of about PART_ROWS rows; every pair
-of block and part is solved by a matrix product, and the parts' results are merged. Pivots, summaries and the blocks'
-limits are all the driver sees, and none of it grows beyond its constant.
-
-Defined cases: vectors that are null or hold a null, NaN or infinite component take no part, nor do rows without vec_id;
-shorter vectors are filled up with zeros; rows that repeat a vec_id count once, with the vector whose bytes are largest;
-ties go to the smaller vec_id, however many there are; an empty table gives an empty result. Components are expected
-within +-2**30; sums beyond 2**53 are done in 64-bit integers.
+(q, 0), and |q' - x'|^2 = |q|^2 + M - 2 q.x. Rows with the smallest hashes, about the square root of all but LEAST_PIVOTS
+at least and MOST_PIVOTS at most, are pivots; queries and data belong to the cell of the nearest. From each cell's summary
+(its radius, and its k + 1 smallest distances, as a query may meet itself) follows a distance within which every query of
+a cell has its k results; by the triangle inequality a row of data at distance d from its pivot p_j can matter to cell i
+only if | |p_i p_j| - d | is at most that distance plus the cell's radius. Cells with few queries are grouped with near
+ones, cells with many are cut, into at most MOST_BLOCKS blocks; each row of data goes to the blocks that need it, dealt by
+a salt into parts of about PART_ROWS rows; every pair of block and part is solved by a matrix product, and the parts'
+results are merged. Pivots, summaries and the blocks' limits are all the driver sees; none of it grows beyond its constant.
+
+Defined cases: vectors that are null or hold a null, NaN or infinite component take no part, nor do those with a component
+whose floor(256 x) is beyond 2**62, nor rows without vec_id. Shorter vectors count as filled up with zeros, but are stored
+and multiplied at their own length. Rows that repeat a vec_id are rows of their own: each is a query with its own results
+and a candidate for all but itself. Ties go to the smaller vec_id, however many there are. Scores are exact integers; what
+is beyond a long counts as its nearest end. An empty table gives an empty result; other
+columns of the table are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -29,58 +33,83 @@ from pyspark.sql import functions as F
 
 from . import common
 
-SCALE, PIVOTS, QUERY_ROWS, PART_ROWS, MOST_BLOCKS = 256, 64, 1024, 32768, 8192
+SCALE, LEAST_PIVOTS, MOST_PIVOTS, QUERY_ROWS, PART_ROWS, MOST_BLOCKS = 256, 64, 512, 1024, 32768, 8192
+#: Share of a distance, and of the largest length, that rounding may cost.
 SLACK = 1e-6
+#: Rows of a frame that is sent on, about.
+BATCH_ROWS = 8192
+LONG = (-(1 << 63), (1 << 63) - 1)
 
 
-def quantised(rows: DataFrame) -> tuple[DataFrame, int]:
-    """vec_id, vec (64-bit integers) for each usable row of rows(vec_id, embedding), and the number of components."""
+def quantised(rows: DataFrame) -> DataFrame:
+    """row (a number of its own), vec_id and vec (64-bit integers up to the last that is not 0) of each usable row of rows(vec_id, embedding)."""
     ok = rows.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).select("vec_id", "embedding")
-    width = ok.agg(F.max(F.size("embedding"))).first()[0] or 0
 
     def convert(batches):
         for batch in batches:
             lists = batch.column("embedding")
             flat, ends = lists.flatten(), lists.offsets.to_numpy()
             ends = ends - ends[0]
-            size = np.diff(ends)
             values = np.floor(SCALE * pc.fill_null(flat.cast(pa.float64()), np.nan).to_numpy(zero_copy_only=False))
-            row = np.repeat(np.arange(len(size)), size)
-            bad = np.bincount(row, ~np.isfinite(values), len(size)) > 0
-            full = np.zeros((len(size), width), np.int64)
-            full[row, np.arange(len(values)) - np.repeat(ends[:-1], size)] = np.where(np.isfinite(values), values, 0).astype(np.int64)
-            keep = np.flatnonzero(~bad)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(keep)), pa.array([full[i].tobytes() for i in keep], pa.binary())], names=["vec_id", "vec"])
-
-    return ok.mapInArrow(convert, "vec_id long, vec binary").groupBy("vec_id").agg(F.max("vec").alias("vec")), width
-
-
-def _matrix(vectors, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(vectors), np.int64).reshape(len(vectors), width)
+            good = np.abs(values) <= 2.0**62  # not for NaN
+            bad = np.concatenate(([0], np.cumsum(~good)))
+            keep = np.flatnonzero(bad[ends[1:]] == bad[ends[:-1]])
+            whole = np.where(good, values, 0).astype(np.int64)
+            vec = [np.trim_zeros(whole[ends[i] : ends[i + 1]], "b").tobytes() for i in keep]
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id").take(pa.array(keep)), pa.array(vec, pa.binary())], names=["vec_id", "vec"])
+
+    common.small_batches(rows.sparkSession)
+    return ok.mapInArrow(convert, "vec_id long, vec binary").select(F.monotonically_increasing_id().alias("row"), "vec_id", "vec")
+
+
+def _grouped(vectors) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Places and matrix of the vectors of about one length, for each: none is filled up to more than twice its own."""
+    size = np.array([len(v) // 8 for v in vectors], np.int64)
+    kind = np.ceil(np.log2(np.maximum(size, 8))).astype(np.int64)
+    out = []
+    for k in np.unique(kind):
+        at = np.flatnonzero(kind == k)
+        width = int(size[at].max())
+        full = np.zeros((len(at), width), np.int64)
+        full[np.arange(width) < size[at][:, None]] = np.frombuffer(b"".join(vectors[i] for i in at), np.int64)
+        out.append((at, full))
+    return out
 
 
-def _with_length(x: np.ndarray, most: float) -> np.ndarray:
-    """Rows with the coordinate that makes all of them equally long."""
-    x = x.astype(np.float64)
-    return np.concatenate([x, np.sqrt(np.maximum(most - (x**2).sum(1), 0))[:, None]], 1)
+def _squares(vectors) -> np.ndarray:
+    out = np.zeros(len(vectors))
+    for at, m in _grouped(vectors):
+        out[at] = (m.astype(np.float64) ** 2).sum(1)
+    return out
 
 
-def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (pivots**2).sum(1) - 2 * x @ pivots.T, 0))
+def _distances(vectors, pivots: list[bytes], most: float, query: bool) -> np.ndarray:
+    """Distances of vectors, as queries or as data, from pivots, which are data; all with the coordinate described above."""
+    theirs = [np.frombuffer(p, np.int64).astype(np.float64) for p in pivots]
+    lift = np.sqrt(np.maximum(most - np.array([(p**2).sum() for p in theirs]), 0))
+    out = np.zeros((len(vectors), len(pivots)))
+    for at, m in _grouped(vectors):
+        p, m = np.zeros((len(pivots), m.shape[1])), m.astype(np.float64)
+        for i, x in enumerate(theirs):
+            p[i, : min(len(x), p.shape[1])] = x[: p.shape[1]]
+        squares = (m**2).sum(1)
+        product = m @ p.T if query else m @ p.T + np.sqrt(np.maximum(most - squares, 0))[:, None] * lift
+        out[at] = np.sqrt(np.maximum((squares if query else np.full(len(at), most))[:, None] + most - 2 * product, 0))
+    return out
 
 
-def _nearest(rows: DataFrame, pivots: np.ndarray, width: int, most: float, query: bool) -> DataFrame:
+def _nearest(rows: DataFrame, pivots: list[bytes], most: float, query: bool) -> DataFrame:
     """rows with cell, the nearest pivot, and dist, the distance to it."""
+    shared = rows.sparkSession.sparkContext.broadcast(pivots)  # at most MOST_PIVOTS vectors
 
     def assign(frames):
         for x in frames:
             if len(x):
-                m = _matrix(x["vec"], width)
-                d = _distances(np.concatenate([m.astype(np.float64), np.zeros((len(m), 1))], 1) if query else _with_length(m, most), pivots)
+                d = _distances(x["vec"].to_numpy(), shared.value, most, query)
                 x["cell"], x["dist"] = d.argmin(1).astype(np.int32), d.min(1)
                 yield x
 
-    return rows.mapInPandas(assign, "vec_id long, vec binary, cell int, dist double")
+    return rows.mapInPandas(assign, "row long, vec_id long, vec binary, cell int, dist double")
 
 
 def _smallest(rows: DataFrame, k: int) -> list:
@@ -120,58 +149,88 @@ def _blocks(counts: dict[int, int], gaps: np.ndarray, rows: int) -> list[tuple[l
     return out
 
 
-def solve(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row of queries, id and score of the k best rows of data for each query; ties to the smaller id, its own left out."""
-    order = np.argsort(data_ids, kind="stable")
-    data, data_ids = data[order], data_ids[order]
-    top = float(np.abs(queries).max(initial=0)) * float(np.abs(data).max(initial=0)) * max(queries.shape[1], 1)
-    kind = np.float64 if top < 2**53 else np.int64
-    right = data.T.astype(kind)
-    rows, ids, scores = [], [], []
+def _best(line: np.ndarray, error: np.ndarray | None, own: int, k: int) -> np.ndarray:
+    """Places of the rows that may be among the k best: the better ones, and the first k of those at the edge.
+
+    Rows stand by id; own, if not negative, is left out. With error (how far each score may be off) all that may reach it.
+    """
+    low, high = (line, line) if error is None else (np.clip(line - error, -(2.0**63), 2.0**63), np.clip(line + error, -(2.0**63), 2.0**63))
+    if own >= 0:
+        low = low.copy()
+        low[own] = -np.inf if low.dtype.kind == "f" else np.iinfo(low.dtype).min
+    if len(line) - (own >= 0) <= k:
+        near = np.arange(len(line))
+    else:
+        edge = np.partition(low, len(low) - k)[len(low) - k]
+        if error is None:
+            at = np.flatnonzero(line == edge)
+            near = np.concatenate([np.flatnonzero(line > edge), at[at != own][:k]])
+        else:
+            near = np.flatnonzero(high >= edge)
+    return near[near != own]
+
+
+def solve(queries: list[bytes], query_rows: np.ndarray, data: list[bytes], data_rows: np.ndarray, data_ids: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """(place of the query, vec_id, score) of the k best rows of data for each query; ties to the smaller id, its own row left out."""
+    order = np.lexsort((data_rows, data_ids))
+    data, data_rows, data_ids = [data[i] for i in order], data_rows[order], data_ids[order]
+    own = {int(r): i for i, r in enumerate(data_rows)}
+    asks, gives = _grouped(queries), _grouped(data)
+    most = lambda groups: max((float(np.abs(m).max(initial=0)) for _, m in groups), default=0.0)
+    width = max((m.shape[1] for _, m in asks), default=0)
+    top = most(asks) * most(gives) * max(width, 1)
+    kind = np.float64 if top < 2**53 or top >= 2**62 else np.int64
+    length = np.sqrt(_squares(data)) if top >= 2**62 else None
+    right = [(at, m.T.astype(kind)) for at, m in gives]
+    out = []
     step = max(1, (4 << 20) // max(len(data), 1))
-    for a in range(0, len(queries), step):
-        block = queries[a : a + step].astype(kind) @ right
-        for i, line in enumerate(block):
-            if len(line) > k + 1:
-                edge = np.partition(line, len(line) - k - 1)[len(line) - k - 1]
-                near = np.flatnonzero(line > edge)
-                # Of those at the edge the smallest ids come first; one more for the query itself.
-                near = np.concatenate([near, np.flatnonzero(line == edge)[: k + 1]])
-            else:
-                near = np.arange(len(line))
-            near = near[data_ids[near] != query_ids[a + i]]
-            near = near[np.lexsort((data_ids[near], -line[near]))][:k]
-            rows.append(np.full(len(near), a + i))
-            ids.append(data_ids[near])
-            scores.append(line[near].astype(np.int64))
-    cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
-    return cat(rows, np.int64), cat(ids, np.int64), cat(scores, np.int64)
-
-
-def top_k(data: DataFrame, is_query, k: int = 5, n_pivots: int = PIVOTS, query_rows: int = QUERY_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
+    for places, m in asks:
+        for a in range(0, len(m), step):
+            part = m[a : a + step].astype(kind)
+            lines = np.zeros((len(part), len(data)), kind)
+            for at, d in right:
+                common_width = min(part.shape[1], len(d))
+                lines[:, at] = part[:, :common_width] @ d[:common_width]
+            for place, vector, line in zip(places[a : a + step], m[a : a + step], lines, strict=True):
+                mine = own.get(int(query_rows[place]), -1)
+                if length is None:
+                    near = _best(line, None, mine, k)
+                    score = [int(x) for x in line[near]]
+                else:  # beyond what 64 bits hold: the few that may be among the best are multiplied exactly
+                    error = length * float(np.sqrt((vector.astype(np.float64) ** 2).sum())) * (len(vector) + 4) * 2.0**-52
+                    near = _best(line, error, mine, k)
+                    score = [math.sumprod([int(x) for x in vector], [int(x) for x in np.frombuffer(data[i], np.int64)[: len(vector)]] + [0] * max(0, len(vector) - len(data[i]) // 8)) for i in near]
+                    score = [min(max(x, LONG[0]), LONG[1]) for x in score]
+                best = sorted(range(len(near)), key=lambda j: (-score[j], near[j]))[:k]
+                out += [(int(place), int(data_ids[near[j]]), score[j]) for j in best]
+    return out
+
+
+def top_k(data: DataFrame, is_query, k: int = 5, n_pivots: int | None = None, query_rows: int = QUERY_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of data(vec_id, embedding) that is_query picks, its k best others."""
     spark = data.sparkSession
     folder = common.new_folder(spark, "knn")
-    vectors, width = quantised(data)
-    vectors = common.stage(vectors, f"{folder}/vectors")
-    schema = "query_id long, rank int, vec_id long, score long"
+    vectors = common.stage(quantised(data), f"{folder}/vectors")
 
     def squares(frames):
         for x in frames:
             if len(x):
-                yield pd.DataFrame({"m": [float((_matrix(x["vec"], width).astype(np.float64) ** 2).sum(1).max())]})
-
-    most = vectors.select("vec").mapInPandas(squares, "m double").agg(F.max("m")).first()[0]
-    if most is None:
-        return spark.createDataFrame([], schema)
-    picked = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(n_pivots).collect()
-    pivots = _with_length(_matrix([bytes(r["vec"]) for r in picked], width), most)
-    cells = common.stage(_nearest(vectors, pivots, width, most, False), f"{folder}/cells")
-    asked = common.stage(_nearest(vectors.where(is_query), pivots, width, most, True), f"{folder}/queries")
+                yield pd.DataFrame({"m": [_squares(x["vec"].to_numpy()).max()], "n": [len(x)]})
+
+    known = vectors.select("vec").mapInPandas(squares, "m double, n long").agg(F.max("m").alias("m"), F.sum("n").alias("n")).first()
+    if known["m"] is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    most, n_pivots = known["m"], n_pivots or min(max(LEAST_PIVOTS, math.isqrt(known["n"])), MOST_PIVOTS)
+    picked = vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "vec").limit(n_pivots).collect()
+    pivots = [bytes(r["vec"]) for r in picked]
+    cells = common.stage(_nearest(vectors, pivots, most, False), f"{folder}/cells")
+    asked = common.stage(_nearest(vectors.where(is_query), pivots, most, True), f"{folder}/queries")
     summary = {r["cell"]: r for r in _smallest(cells, k + 1)}
     ends = cells.groupBy("cell").agg(F.min("dist"), F.max("dist")).collect()
     per_query = asked.groupBy("cell").agg(F.count("*").alias("n"), F.max("dist").alias("radius")).collect()
-    gaps = _distances(pivots, pivots)
+    gaps = _distances(pivots, pivots, most, False)
+    # A query stands at its own distance from its pivot, which lies off the queries' plane: gaps between pivots, as data.
+    rounding = SLACK * (1 + math.sqrt(most))
     reach = {}
     for r in per_query:
         known = np.sort(np.concatenate([r["radius"] + gaps[r["cell"], j] + np.array(s["few"]) for j, s in summary.items()]))
@@ -183,7 +242,7 @@ def top_k(data: DataFrame, is_query, k: int = 5, n_pivots: int = PIVOTS, query_r
     low, high = np.full((len(shares), len(pivots)), np.inf), np.full((len(shares), len(pivots)), -np.inf)
     for b, (group, _, _) in enumerate(shares):
         for i in group:
-            margin = reach[i] * (1 + SLACK) + SLACK * (1 + gaps[i])
+            margin = reach[i] * (1 + SLACK) + SLACK * gaps[i] + 4 * rounding
             low[b], high[b] = np.minimum(low[b], gaps[i] - margin), np.maximum(high[b], gaps[i] + margin)
     load = np.zeros(len(shares))
     for cell, least, largest in ends:
@@ -191,46 +250,56 @@ def top_k(data: DataFrame, is_query, k: int = 5, n_pivots: int = PIVOTS, query_r
     parts = np.maximum(1, np.ceil(load / part_rows)).astype(np.int64)
     place = {i: (b, n) for b, (group, part, n) in enumerate(shares) if part == 0 for i in group}
     plan = spark.sparkContext.broadcast((low, high, parts, place))
+    packed = "block int, part int, row long, vec_id long, vec binary"
+    names = [c.split()[0] for c in packed.split(", ")]
+
+    def several(pieces):
+        """Frames of some size from many small ones: (rows, block, part) each."""
+        held, n = [], 0
+        for x, b, part in pieces:
+            held.append(x[["row", "vec_id", "vec"]].assign(block=b, part=part)[names])
+            n += len(x)
+            if n >= BATCH_ROWS:
+                yield pd.concat(held)
+                held, n = [], 0
+        if held:
+            yield pd.concat(held)
 
     def deal(frames):
         low, high, parts, _ = plan.value
-        for x in frames:
-            cell, dist, ids = x["cell"].to_numpy(), x["dist"].to_numpy(), x["vec_id"].to_numpy()
-            vec = x["vec"].to_numpy()
-            mixed = common.mix64(ids.astype(np.int64).view(np.uint64))
-            out = []
-            for b in range(len(parts)):
-                need = np.flatnonzero((dist >= low[b][cell]) & (dist <= high[b][cell]))
-                part = (mixed[need] % np.uint64(parts[b])).astype(np.int64)
-                for p in np.unique(part):
-                    mine = need[part == p]
-                    out.append((b, int(p), ids[mine].tobytes(), b"".join(vec[mine])))
-            yield pd.DataFrame(out, columns=["block", "part", "ids", "vecs"])
+
+        def pieces():
+            for x in frames:
+                cell, dist = x["cell"].to_numpy(), x["dist"].to_numpy()
+                mixed = common.mix64(x["row"].to_numpy().astype(np.uint64))
+                for b in range(len(parts)):
+                    need = np.flatnonzero((dist >= low[b][cell]) & (dist <= high[b][cell]))
+                    if len(need):
+                        yield x.iloc[need], b, (mixed[need] % np.uint64(parts[b])).astype(np.int32)
+
+        yield from several(pieces())
 
     def ask(frames):
         _, _, parts, place = plan.value
-        for x in frames:
-            ids, vec = x["vec_id"].to_numpy(), x["vec"].to_numpy()
-            first = np.array([place[c][0] for c in x["cell"]], np.int64)
-            n = np.array([place[c][1] for c in x["cell"]], np.uint64)
-            block = first + (common.mix64(ids.astype(np.int64).view(np.uint64)) % np.maximum(n, np.uint64(1))).astype(np.int64) if len(x) else first
-            out = []
-            for b in np.unique(block):
-                mine = np.flatnonzero(block == b)
-                out += [(int(b), p, ids[mine].tobytes(), b"".join(vec[mine])) for p in range(parts[b])]
-            yield pd.DataFrame(out, columns=["block", "part", "ids", "vecs"])
-
-    packed = "block int, part int, ids binary, vecs binary"
+
+        def pieces():
+            for x in frames:
+                first, n = (np.array([place[c][i] for c in x["cell"]], np.int64) for i in (0, 1))
+                block = first + (common.mix64(x["row"].to_numpy().astype(np.uint64)) % n.astype(np.uint64)).astype(np.int64)
+                for b in np.unique(block):
+                    for p in range(parts[b]):
+                        yield x[block == b], int(b), p
+
+        yield from several(pieces())
 
     def local(key, asks: pd.DataFrame, gives: pd.DataFrame) -> pd.DataFrame:
-        q_ids, d_ids = (np.frombuffer(b"".join(x["ids"]), np.int64) for x in (asks, gives))
-        q, d = (np.frombuffer(b"".join(x["vecs"]), np.int64).reshape(-1, width) if width else np.zeros((len(i), 0), np.int64) for x, i in ((asks, q_ids), (gives, d_ids)))
-        at, ids, scores = solve(q, q_ids, d, d_ids, k)
-        return pd.DataFrame({"query_id": q_ids[at], "vec_id": ids, "score": scores})
-
-    dealt = cells.mapInPandas(deal, packed).groupBy("block", "part")
-    found = asked.mapInPandas(ask, packed).groupBy("block", "part").cogroup(dealt).applyInPandas(local, "query_id long, vec_id long, score long")
-    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+        found = solve(list(asks["vec"]), asks["row"].to_numpy(), list(gives["vec"]), gives["row"].to_numpy(), gives["vec_id"].to_numpy(), k)
+        at = np.array([f[0] for f in found], np.int64)
+        return pd.DataFrame({"query": asks["row"].to_numpy()[at], "query_id": asks["vec_id"].to_numpy()[at], "vec_id": np.array([f[1] for f in found], np.int64), "score": np.array([f[2] for f in found], np.int64), "place": np.arange(len(found))})
+
+    given = cells.mapInPandas(deal, packed).groupBy("block", "part")
+    found = asked.mapInPandas(ask, packed).groupBy("block", "part").cogroup(given).applyInPandas(local, "query long, query_id long, vec_id long, score long, place long")
+    ranked = found.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
@@ -241,11 +310,11 @@ def op2(spark, sf_dir: str) -> DataFrame:
 
 SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS vec FROM embeddings
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS vec FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 s AS (
-  SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.vec::DOUBLE[], d.vec::DOUBLE[])::BIGINT AS score
-  FROM v q JOIN v d ON q.vec_id % 50 = 0 AND d.vec_id <> q.vec_id)
+  SELECT q.r AS query, q.vec_id AS query_id, d.vec_id, list_inner_product(q.vec::DOUBLE[], d.vec::DOUBLE[])::BIGINT AS score
+  FROM v q JOIN v d ON q.vec_id % 50 = 0 AND d.r <> q.r)
 SELECT query_id, rank, vec_id, score FROM (
-  SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank FROM s) WHERE rank <= 5
+  SELECT *, (row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id))::INT AS rank FROM s) WHERE rank <= 5
 """

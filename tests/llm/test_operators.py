@@ -75,31 +75,48 @@ def test_media_notices_damage():
 
 
 def brute_top(rows, is_query, k=5):
-    ok = {i: [math.floor(256 * x) for x in v] for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
+    """Each row of its own, whatever its vec_id."""
+    ok = [(i, [math.floor(256 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    ok = [(i, v) for i, v in ok if all(abs(x) <= 2**62 for x in v)]
+    long = lambda x: min(max(x, -(2**63)), 2**63 - 1)
     out = []
-    for q in filter(is_query, ok):
-        pad = lambda v: v + [0] * (8 - len(v))
-        best = sorted((-sum(a * b for a, b in zip(pad(ok[q]), pad(v), strict=True)), i) for i, v in ok.items() if i != q)[:k]
-        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    for n, (q, v) in enumerate(ok):
+        if is_query(q):
+            best = sorted((-long(sum(a * b for a, b in zip(v, w, strict=False))), i) for m, (i, w) in enumerate(ok) if m != n)[:k]
+            out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     return sorted(out)
 
 
-@pytest.mark.parametrize("settings", [{}, {"n_pivots": 5, "query_rows": 3, "part_rows": 20}])
+def vectors(spark, rows, kind="float"):
+    return spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>").withColumn("score", F.lit("clash")).withColumn("row", F.lit("clash"))
+
+
+@pytest.mark.parametrize("settings", [{}, {"n_pivots": 5, "query_rows": 3, "part_rows": 20}, {"n_pivots": 60, "query_rows": 2, "part_rows": 7}])
 def test_top_k_equals_brute_force(spark, settings):
     rng = random.Random(1)
     rows = [(i, [rng.gauss(i % 4, 0.3) for _ in range(8)]) for i in range(300)]
     rows += [(i, [1.0] * 8) for i in range(300, 420)] + [(500, None), (501, [1.0, None] * 4), (502, [math.nan] * 8), (503, [math.inf] * 8), (None, [1.0] * 8), (504, [0.5] * 3), (505, [])]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("score", F.lit("clash"))
+    rows += [(10, [rng.gauss(1, 0.3) for _ in range(8)]) for _ in range(3)] + [(7, [1.5] * 8)] * 4 + [(30, [1.5] * 8)] * 2 + [(40, [1.25] * 500), (41, [0.0] * 3000 + [1.0])]
+    df = vectors(spark, rows).repartition(3)
     rows = [(r.vec_id, r.embedding) for r in df.collect()]
-    got = sorted(plain(knn.top_k(df.select("vec_id", "embedding"), F.col("vec_id") % 10 == 0, **settings), "query_id", "rank", "vec_id", "score"))
+    got = sorted(plain(knn.top_k(df, F.col("vec_id") % 10 == 0, **settings), "query_id", "rank", "vec_id", "score"))
     assert got == brute_top(rows, lambda i: i % 10 == 0)
 
 
+def test_top_k_of_huge_and_tiny_components(spark):
+    rng = random.Random(8)
+    size = lambda i: 10.0 ** rng.choice([-3, 0, 6, 9, 12, 16])
+    rows = [(i, [rng.gauss(0, 1) * size(i) for _ in range(6)]) for i in range(150)] + [(200, [1e19, -1e20]), (201, [1e300] * 2), (202, [1.0, -1e16, 1e16]), (203, [0.0, 1e16, 1e16])]
+    for settings in ({}, {"n_pivots": 9, "query_rows": 10, "part_rows": 30}):
+        got = sorted(plain(knn.top_k(vectors(spark, rows, "double"), F.lit(True), **settings), "query_id", "rank", "vec_id", "score"))
+        assert got == brute_top(rows, lambda i: True)
+
+
 def test_top_k_of_little(spark):
-    df = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    assert knn.top_k(df([]), F.col("vec_id") == 0).count() == 0
-    assert knn.top_k(df([(0, [1.0])]), F.col("vec_id") == 0).count() == 0
-    assert plain(knn.top_k(df([(0, [1.0]), (0, [0.5]), (7, [-1.0]), (3, [-1.0])]), F.col("vec_id") == 0), "query_id", "rank", "vec_id", "score") == [(0, 1, 3, -32768), (0, 2, 7, -32768)]  # of 256 and 128 the bytes of 128 are larger
+    assert knn.top_k(vectors(spark, []), F.col("vec_id") == 0).count() == 0
+    assert knn.top_k(vectors(spark, [(0, [1.0])]), F.col("vec_id") == 0).count() == 0
+    got = plain(knn.top_k(vectors(spark, [(0, [1.0]), (0, [0.5]), (7, [-1.0]), (7, [-1.0]), (3, [-1.0])]), F.col("vec_id") == 0), "query_id", "rank", "vec_id", "score")
+    assert sorted(got) == [(0, 1, 0, 32768), (0, 1, 0, 32768), (0, 2, 3, -65536), (0, 2, 3, -32768), (0, 3, 7, -65536), (0, 3, 7, -32768), (0, 4, 7, -65536), (0, 4, 7, -32768)]
 
 
 # -- 3
