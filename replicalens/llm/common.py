@@ -11,10 +11,11 @@ import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: What separates words in every contract of this subpackage; Java and Python read it alike.
 WORD = r"[^\x20\x09-\x0D]+"
-#: A table is broadcast below this many bytes, judged by its counted rows; above it the join shuffles.
+#: A table is broadcast below this many bytes, judged by its weighed rows; above it the join shuffles.
 BROADCAST_BYTES = 32 << 20
 
 
@@ -65,11 +66,30 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, "1000")
 
 
-def joined(left: DataFrame, right: DataFrame, on: list[str], how: str, row_bytes: int) -> DataFrame:
-    """left join right, with right broadcast if its counted rows are small; else Spark shuffles both sides."""
-    if right.count() * row_bytes < BROADCAST_BYTES:
-        right = F.broadcast(right)
-    return left.join(right, on, how)
+def _weight(value, kind: T.DataType):
+    """About how many bytes a value takes in memory."""
+    if isinstance(kind, T.StringType | T.BinaryType):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + 24
+    if isinstance(kind, T.StructType):
+        return sum((_weight(value[f.name], f.dataType) for f in kind.fields), F.lit(16).cast("long"))
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.aggregate(value, F.lit(24).cast("long"), lambda total, x: total + _weight(x, kind.elementType)), F.lit(24).cast("long"))
+    return F.lit(8).cast("long")
+
+
+def small(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
+    """Whether the rows of df, weighed one by one, are below the limit."""
+    total = df.select(sum((_weight(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16).cast("long")).alias("w")).agg(F.sum("w")).first()[0]
+    return (total or 0) < limit
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if small(df) else df
+
+
+def joined(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    """left join right, with right broadcast if its weighed rows are small; else Spark shuffles both sides."""
+    return left.join(broadcast_if_small(right), on, how)
 
 
 def blocks(batches, limit: int, column: str = "text"):

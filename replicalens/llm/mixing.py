@@ -21,8 +21,6 @@ from . import common
 
 WEIGHTS = (5, 2, 1)
 SHARE, MOST, SEED, BINS = 1.5, 2.0, "mix-1", 4096
-#: Counted sources below this are broadcast (about 100 bytes each); more are joined by shuffle.
-ROW_BYTES = 100
 
 
 def word_count(column) -> F.Column:
@@ -60,17 +58,17 @@ def sample(sized: DataFrame, per: DataFrame, seed: str = SEED, bins: int = BINS)
     per = per.withColumn("whole", F.floor("expected").cast("long")).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size"))
     chance = F.least(F.greatest(F.col("expected") - F.col("whole"), F.lit(1e-12)), F.lit(1 - 1e-12))
     u = uniform(F.col("doc_id"), seed)
-    rows = common.joined(named(sized), per, [key], "left", ROW_BYTES).withColumn("u", u)
+    rows = common.joined(named(sized), per, [key], "left").withColumn("u", u)
     rows = rows.withColumn("rank_number", (F.col("u") / (1 - F.col("u"))) / (chance / (1 - chance)))
     # x / (1 + x) keeps the order and lies in (0, 1).
     rows = rows.withColumn("bin", F.least(F.floor(F.col("rank_number") / (1 + F.col("rank_number")) * bins), F.lit(bins - 1)).cast("int"))
     filled = rows.groupBy(key, "bin").agg(F.sum("size").alias("bin_size"))
     upto = W.partitionBy(key).orderBy("bin")
     filled = filled.withColumn("bin_end", F.sum("bin_size").over(upto)).withColumn("bin_start", F.col("bin_end") - F.col("bin_size"))
-    limits = common.joined(filled, per.select(key, "rest"), [key], "left", ROW_BYTES)
+    limits = common.joined(filled, per.select(key, "rest"), [key], "left")
     # The bin in which the limit falls; bins before it are taken whole, those after it not at all.
     cut = limits.where((F.col("bin_start") <= F.col("rest")) & (F.col("rest") < F.col("bin_end"))).groupBy(key).agg(F.min("bin").alias("cut_bin"), F.min_by("bin_start", "bin").alias("cut_start"))
-    rows = common.joined(rows, cut, [key], "left", ROW_BYTES)
+    rows = common.joined(rows, cut, [key], "left")
     whole_bins = F.col("cut_bin").isNull() | (F.col("bin") < F.col("cut_bin"))
     outside = rows.where(F.coalesce(F.col("bin") != F.col("cut_bin"), F.lit(True))).withColumn("drawn", whole_bins.cast("long"))
     before = W.partitionBy(key).orderBy("rank_number", "doc_id", "row_id").rowsBetween(W.unboundedPreceding, -1)
@@ -121,7 +119,5 @@ def mixed(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float =
     """docs, each row as often as the mix takes it; rows that repeat a doc_id are taken alike."""
     times = mix(docs, weights, share, most, seed).groupBy("doc_id").agg(F.max("copies").alias("__copies")).where("__copies > 0").withColumnRenamed("doc_id", "__id")
     times = common.stage(times, f"{common.new_folder(docs.sparkSession, 'mixing-copies')}/copies")
-    if times.count() * 48 < common.BROADCAST_BYTES:
-        times = F.broadcast(times)
-    rows = docs.join(times, F.col("doc_id").eqNullSafe(F.col("__id")))
+    rows = docs.join(common.broadcast_if_small(times), F.col("doc_id").eqNullSafe(F.col("__id")))
     return rows.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)

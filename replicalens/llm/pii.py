@@ -3,20 +3,26 @@
 ``base_spans`` finds e-mail and IP addresses, card and phone numbers by the contract's patterns. ``discovered`` boots
 from them: the string of every found span is a seed; the words beside it (one before, two before, one behind, both
 sides) are lexical patterns for its kind. Other tokens that look roughly like an identifier are instances that are not
-yet known, and so are longest runs of tokens of digits and separators with single spaces between them. In ROUNDS rounds Spark scores the graph of patterns and instances: a pattern's confidence in a kind is the
-mean confidence of all different strings it touches, seeds of that kind counting 1, those of another 0; an instance's
+yet known, and so are longest runs of tokens of digits and separators with single spaces between them. In ROUNDS
+rounds Spark scores the graph of patterns and instances: a pattern's confidence in a kind is the mean confidence of all different strings it touches, seeds of that kind counting 1, those of another 0; an instance's
 is the noisy-or over its patterns that have at least SUPPORT different seeds and a confidence of CONFIDENT or more.
 Instances that end at CONFIDENT are new spans wherever they stand. Strings are counted once, so copies of a document
 support nothing. Patterns and instances stay in tables; nothing of them is collected.
 
+A word ends at white space and where a span of the fixed patterns begins or ends, however long it is. All scanning takes
+time in proportion to the text's length.
+
 Spans are code points, end exclusive. Defined cases: a null text counts as empty and has no spans; the counts and the
 digest are those of the fixed patterns, ``spans`` also lists what was discovered; rows that repeat doc_id and text have
-the same spans; an empty table gives an empty result; other columns are ignored.
+the same spans; unbroken texts of any length are searched whole; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,16 +31,17 @@ from pyspark.sql import functions as F
 from . import common
 
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
+#: These two also match what only begins like theirs (no group 1), so that a long run is not tried from each of its places.
+EMAIL = re.compile(r"[A-Za-z0-9._%+-]++(@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+)?")
+IP = re.compile(r"[0-9]++(\.[0-9]++\.[0-9]++\.[0-9]++)?")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 ROUNDS, SUPPORT, CONFIDENT = 3, 5, 0.8
-TOKEN = re.compile(r"[^\x20\x09-\x0D]*(?:@|[0-9][^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*[0-9][^\x20\x09-\x0D]*[0-9])[^\x20\x09-\x0D]*")
+MARKS, GAP, TOKEN = re.compile(r"[@0-9]"), re.compile(r"[\x20\x09-\x0D]"), re.compile(r"[^\x20\x09-\x0D]+")
+#: A token with fewer digits, and no @, is no identifier.
+DIGITS = 5
 EDGE = " \t\n\v\f\r.,;:!?\"'()[]{}<>"
-BEFORE, BEHIND = re.compile(r"(?:([^\x20\x09-\x0D]+)[\x20\x09-\x0D]+)?([^\x20\x09-\x0D]+)[\x20\x09-\x0D]*$"), re.compile(r"[\x20\x09-\x0D]*([^\x20\x09-\x0D]+)")
-REACH = 80
 _DIGITS = r"[0-9]+(?:[().-]{1,2}[0-9]+){0,18}\)?"
 #: Starts and ends where tokens do, but for what EDGE strips; "+" or "(" before it are added where it is found.
 #: No identifier has more than 19 digits; the limit keeps the search linear.
@@ -53,9 +60,9 @@ def base_spans(text: str | None) -> list[tuple[int, int, int]]:
     if not text:
         return found
     if "@" in text:
-        found += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text)]
+        found += [(m.start(), 0, m.end()) for m in EMAIL.finditer(text) if m[1]]
     for m in IP.finditer(text) if "." in text else ():
-        if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split(".")):
+        if m[1] and all(len(x) <= 3 and int(x or 0) <= 255 for x in (x.lstrip("0") for x in m[0].split("."))):
             found.append((m.start(), 1, m.end()))
     for m in CARD.finditer(text):
         if m.end() - m.start() >= 14 and 14 <= len(digits := NOT_DIGIT.sub("", m[0])) <= 19 and luhn(digits):
@@ -94,36 +101,70 @@ def runs(text: str) -> list[tuple[int, int]]:
     return found
 
 
-def contexts(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns around a span."""
-    before, behind = BEFORE.search(text[max(0, start - REACH) : start]), BEHIND.match(text[end : end + REACH])
-    word = lambda x: (x or "").strip(EDGE).lower()
-    left, farther, right = (word(before[2]), word(before[1])) + (word(behind[1]) if behind else "",) if before else ("", "", word(behind[1]) if behind else "")
-    out = []
-    if left:
-        out.append(f"l:{left}")
-        if farther:
-            out.append(f"ll:{farther} {left}")
-    if right:
-        out.append(f"r:{right}")
+def marked_tokens(text: str):
+    """(start, end) of the tokens with an @ or at least DIGITS digits."""
+    at = 0
+    while m := MARKS.search(text, at):
+        # Only up to where the last token ended: what is between is looked at once.
+        start = max(at, *(text.rfind(c, at, m.start()) + 1 for c in EDGE[:6]))
+        gap = GAP.search(text, m.end())
+        end = gap.start() if gap else len(text)
+        token = text[start:end]
+        if "@" in token or len(NOT_DIGIT.sub("", token)) >= DIGITS:
+            yield start, end
+        at = end
+
+
+class Contexts:
+    """The lexical patterns around places of a text: words beside them, as far as the nearest span of base."""
+
+    def __init__(self, text: str, base: list[tuple[int, int, int]]):
+        self.text, self.tokens = text, [m.span() for m in TOKEN.finditer(text)]
+        self.starts, self.ends = [s for s, _ in self.tokens], [e for _, e in self.tokens]
+        self.span_starts, self.span_ends = sorted(s for s, _, _ in base), sorted(e for _, _, e in base)
+        self.reach = list(accumulate((e for _, _, e in base), max))  # base is sorted by start
+
+    def meets_base(self, start: int, end: int) -> bool:
+        n = bisect_left(self.span_starts, end)
+        return n > 0 and self.reach[n - 1] > start
+
+    def __call__(self, start: int, end: int) -> list[str]:
+        low, high = bisect_right(self.span_ends, start), bisect_left(self.span_starts, end)
+        low, high = self.span_ends[low - 1] if low else 0, self.span_starts[high] if high < len(self.span_starts) else len(self.text)
+
+        def word(i: int, low: int, high: int) -> str:
+            a, b = (max(self.starts[i], low), min(self.ends[i], high)) if 0 <= i < len(self.tokens) else (0, 0)
+            return self.text[a:b].strip(EDGE).lower() if a < b else ""
+
+        before = bisect_left(self.starts, start) - 1
+        left, farther, right = word(before, low, start), word(before - 1, low, start), word(bisect_right(self.ends, end), end, high)
+        out = []
         if left:
-            out.append(f"lr:{left} {right}")
-    return out
+            out.append(f"l:{left}")
+            if farther:
+                out.append(f"ll:{farther} {left}")
+        if right:
+            out.append(f"r:{right}")
+            if left:
+                out.append(f"lr:{left} {right}")
+        return out
 
 
 def instances(text: str | None, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, bool, str, list[str]]]:
     """(start, kind, end, whether a seed, the string itself, patterns) of the base spans and of other tokens and runs that look like identifiers."""
-    out = [(s, k, e, True, text[s:e], contexts(text, s, e)) for s, k, e in base]
-    for m in TOKEN.finditer(text or "") if text and (base or any(c in text for c in "@0123456789")) else ():
-        token = m[0].strip(EDGE)
-        start = m.start() + m[0].index(token) if token else m.start()
-        end = start + len(token)
-        if token and (kind := looks_like(token)) is not None and not any(s < end and start < e for s, _, e in base):
-            out.append((start, kind, end, False, token, contexts(text, start, end)))
-    for start, end in runs(text or ""):
-        if (kind := looks_like(text[start:end])) is not None and not any(s < end and start < e for s, _, e in base):
-            out.append((start, kind, end, False, text[start:end], contexts(text, start, end)))
-    return out
+    text = text or ""
+    other = []
+    for a, b in marked_tokens(text):
+        token = text[a:b].strip(EDGE)
+        if token:
+            a += len(text[a:b]) - len(text[a:b].lstrip(EDGE))
+            other.append((a, a + len(token)))
+    other = [(a, kind, b) for a, b in [*other, *runs(text)] if (kind := looks_like(text[a:b])) is not None]
+    if not base and not other:
+        return []
+    around = Contexts(text, base)
+    out = [(s, k, e, True, text[s:e], around(s, e)) for s, k, e in base]
+    return out + [(s, k, e, False, text[s:e], around(s, e)) for s, k, e in other if not around.meets_base(s, e)]
 
 
 def _span_type():
@@ -186,7 +227,7 @@ def detect(docs: DataFrame) -> DataFrame:
     folder = common.new_folder(docs.sparkSession, "pii")
     scanned = common.stage(scan(docs), f"{folder}/scan")
     extra = discovered(scanned, folder)
-    rows = common.joined(scanned.drop("found"), extra, ["__pii_key"], "left", 400)
+    rows = common.joined(scanned.drop("found"), extra, ["__pii_key"], "left")
     return rows.select("doc_id", "__pii_key", "base", F.array_sort(F.coalesce(F.concat("base", "extra"), F.col("base"))).alias("spans"))
 
 
@@ -197,7 +238,7 @@ def masked(docs: DataFrame) -> DataFrame:
     scanned = common.stage(scan(docs), f"{folder}/scan")
     spans = detect_spans(scanned, folder)
     rows = keyed(docs)
-    with_any = common.joined(rows, spans.withColumnRenamed("spans", "__pii_spans"), ["__pii_key"], "left", 400)
+    with_any = common.joined(rows, spans.withColumnRenamed("spans", "__pii_spans"), ["__pii_key"], "left")
 
     def put(batches):
         for batch in batches:

@@ -44,7 +44,7 @@ def prepared(pages: DataFrame) -> DataFrame:
     # A digest that many pages share is dealt over SALTS tasks where the join shuffles.
     salt = (F.xxhash64("page_id") % SALTS + SALTS) % SALTS
     spread = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    if firsts.count() * 100 < common.BROADCAST_BYTES:
+    if common.small(firsts):
         rows = rows.join(F.broadcast(firsts), "payload_digest", "left")
     else:
         rows = rows.withColumn("salt", salt).join(spread, ["payload_digest", "salt"], "left").drop("salt")

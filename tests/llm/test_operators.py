@@ -3,6 +3,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -455,6 +456,97 @@ def test_copies_of_one_document_support_nothing(spark):
     assert got[100] == 0 and got[0] == 1
 
 
+def plain_contexts(text, start, end, base):
+    """Two words before and one behind, as far as the nearest span of the fixed patterns, straight from the definition."""
+    floor, ceiling = max([e for _, _, e in base if e <= start], default=0), min([s for s, _, _ in base if s >= end], default=len(text))
+    strip = lambda x: x.strip(pii.EDGE).lower()
+    before, behind = [strip(x) for x in WORD.findall(text[floor:start])], [strip(x) for x in WORD.findall(text[end:ceiling])]
+    left, farther, right = (before or [""])[-1], (["", *before] if len(before) > 1 else ["", ""])[-2], (behind or [""])[0]
+    every = [(f"l:{left}", left), (f"ll:{farther} {left}", left and farther), (f"r:{right}", right), (f"lr:{left} {right}", left and right)]
+    return sorted(x for x, there in every if there)
+
+
+def plain_instances(text):
+    base, found = pii.base_spans(text), []
+    for m in WORD.finditer(text or ""):
+        token = m[0].strip(pii.EDGE)
+        if token and ("@" in m[0] or len(re.sub("[^0-9]", "", m[0])) >= 5):
+            start = m.start() + m[0].index(token)
+            found.append((start, start + len(token)))
+    found = [(s, pii.looks_like(text[s:e]), e) for s, e in found + pii.runs(text or "")]
+    found = [(s, k, e) for s, k, e in found if k is not None and not any(a < e and s < b for a, _, b in base)]
+    return [(s, k, e, seed, text[s:e], plain_contexts(text, s, e, base)) for rows, seed in ((base, True), (found, False)) for s, k, e in rows]
+
+
+def test_instances_equal_their_definition():
+    rng = random.Random(12)
+    parts = ["call", "to:", "1.2.3.4", "5.6.7.8;9.9.9.9", "x=7.7.7.7,", "555-12345", "(017)", "555-7713", "a@b.cd", "a@b", "+1 (223) 555-5938", "4111 1111 1111 1111", "12", "é", "word-1.1.1.1-word", "...", "00000", "\n", "  "]
+    for _ in range(1500):
+        text = rng.choice(["", " "]).join(rng.choice(parts) + rng.choice(["", " ", " ", "\t"]) for _ in range(rng.randrange(14)))
+        got = [(*x[:5], sorted(x[5])) for x in pii.instances(text, pii.base_spans(text))]
+        assert sorted(got) == sorted(plain_instances(text)), text
+
+
+def plain_discovered(texts):
+    """The graph of patterns and instances scored over dictionaries: the strings that are accepted, with their kinds."""
+    found = {x[3:5] + (x[1], p) for t in texts for x in plain_instances(t) for p in x[5]}
+    seeds, edges = ({(v, k, p) for seed, v, k, p in found if seed == want} for want in (True, False))
+    per = Counter((p, k) for _, k, p in seeds)
+    touched = Counter(p for _, _, p in seeds) + Counter(p for _, _, p in edges)
+    accepted = {}
+    for _ in range(pii.ROUNDS):
+        more = Counter()
+        for v, k, p in edges:
+            more[p, k] += accepted.get((v, k), 0)
+        trust = {x: (n + more[x]) / touched[x[0]] for x, n in per.items() if n >= pii.SUPPORT}
+        doubt = {}
+        for v, k, p in edges:
+            if trust.get((p, k), 0) >= pii.CONFIDENT:
+                doubt[v, k] = doubt.get((v, k), 1) * max(1 - trust[p, k], 1e-9)
+        accepted = {x: 1 - d for x, d in doubt.items()}
+    return {x for x, conf in accepted.items() if conf >= pii.CONFIDENT}
+
+
+def test_discovery_equals_brute_force(spark):
+    rng = random.Random(13)
+    words_ = ["call", "mail", "host", "order", "visa", "desk"]
+    things = {
+        "call": lambda: f"+1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}", "mail": lambda: f"u{rng.randrange(99)}@x.org", "host": lambda: f"10.0.{rng.randrange(256)}.{rng.randrange(256)}",
+        "order": lambda: f"555-{rng.randrange(10000, 99999)}", "visa": lambda: f"4111 1111 1111 {rng.randrange(1000, 9999)}", "desk": lambda: f"{rng.choice('ab')}@{rng.choice('cd')}",
+    }
+    texts = []
+    for _ in range(150):
+        line = []
+        for _ in range(rng.randrange(1, 5)):
+            w = rng.choice(words_)
+            thing = things[w if rng.random() < 0.85 else rng.choice(words_)]()
+            line.append(f"{rng.choice(['the', 'my', 'a'])} {w} {thing} {rng.choice(['now', 'today', 'please'])}")
+        texts.append(" ".join(line))
+    texts += texts[:20] + [None, ""]
+    wanted = plain_discovered(texts)
+    got = {r.doc_id: sorted((x.start, x.kind, x.end) for x in r.spans) for r in pii.detect(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert wanted and len(got) == len(texts)
+    for i, t in enumerate(texts):
+        new = {(s, k, e) for s, k, e, seed, v, _ in plain_instances(t) if not seed and (v, k) in wanted}
+        assert set(got[i]) == {*pii.base_spans(t), *new}, t
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["x" * 10**6, "0" * 10**6, "1." * 500_000, "a@" * 500_000, "a@b." * 250_000, "+1" * 500_000, "1-" * 500_000, "4 " * 500_000, "1.2.3.4;" * 125_000, "(" * 10**6, "9(" * 500_000, "x" * 500_000 + " 10.0.0.1 " + " " * 400_000 + "555-12345", "0" * 5000 + ".0.0.0", "+1 ((((" * 140_000],
+)
+def test_scanning_takes_linear_time(text):
+    """A million characters in a time that a quadratic scan would need for some thousand; none crashes."""
+    began = time.perf_counter()
+    pii.instances(text, pii.base_spans(text))
+    assert time.perf_counter() - began < 6
+
+
+def test_words_beside_a_span_have_any_length():
+    text = "w" * 300 + " " * 200 + "10.0.0.1" + "\n" * 100 + "v" * 200
+    assert pii.instances(text, pii.base_spans(text))[0][5] == [f"l:{'w' * 300}", f"r:{'v' * 200}", f"lr:{'w' * 300} {'v' * 200}"]
+
+
 def test_pii_on_odd_documents(odd_docs, no_docs):
     assert pii.detect(odd_docs).count() == odd_docs.count() and pii.detect(no_docs).count() == 0
     assert pii.masked(odd_docs).columns == odd_docs.columns
@@ -556,7 +648,8 @@ def test_language_id_equals_brute_force(spark):
     make = lambda x: " ".join(rng.choice(sound[x].split()) + rng.choice(sound[x].split()) for _ in range(15))
     rows = [(i, make(x), x) for i in range(90) for x in [list(sound)[i % 3]]]
     train = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    langs, matrix = langid.fit(train)
+    model = langid.fit(train)
+    langs = model.langs
     assert langs == ["de", "en", "fr"]
     sums = {x: Counter() for x in langs}
     docs = Counter(x for *_, x in rows)
@@ -568,18 +661,33 @@ def test_language_id_equals_brute_force(spark):
         for x in langs:
             total = sum(sums[x].values()) + langid.BUCKETS
             logs.append(math.log(docs[x] / 90) + sum(math.log((sums[x][h] + 1) / total) for hashed in langid.ngrams(pa.array([text]))[1] for h in hashed.tolist() if h >= 0))
-        best, posterior, _ = langid.score_block(pa.array([text]), langs, matrix)
-        assert best[0] == int(np.argmax(logs)) and posterior[0] == pytest.approx(1 / sum(math.exp(v - max(logs)) for v in logs), abs=1e-3)
+        best, posterior, _ = langid.score_block(pa.array([text]), model)
+        assert best[0] == langs[int(np.argmax(logs))] and posterior[0] == pytest.approx(1 / sum(math.exp(v - max(logs)) for v in logs), abs=1e-3)
 
 
 def test_language_id_on_odd_documents(spark, odd_docs, no_docs):
-    langs, matrix = langid.fit(odd_docs)
-    rows = plain(langid.predict(odd_docs, langs, matrix, ["doc_id"]), "doc_id", "lang_pred", "score")
+    model = langid.fit(odd_docs)
+    rows = plain(langid.predict(odd_docs, model, ["doc_id"]), "doc_id", "lang_pred", "score")
     assert len(rows) == odd_docs.count()
     by_id = {i: (x, s) for i, x, s in rows}
-    assert by_id[4] == by_id[5] == by_id[6] == ("und", 0.0) and by_id[0][0] in langs
-    none, empty = langid.fit(no_docs)
-    assert none == [] and {x for _, x, _ in plain(langid.predict(odd_docs, none, empty, ["doc_id"]), "doc_id", "lang_pred", "score")} == {"und"}
+    assert by_id[4] == by_id[5] == by_id[6] == ("und", 0.0) and by_id[0][0] in model.langs
+    none = langid.fit(no_docs)
+    assert none.langs == none.files == [] and {x for _, x, _ in plain(langid.predict(odd_docs, none, ["doc_id"]), "doc_id", "lang_pred", "score")} == {"und"}
+
+
+def test_any_number_of_languages(spark, monkeypatch):
+    """More languages than a matrix may hold: the same results from files of a few languages each."""
+    rng = random.Random(11)
+    monkeypatch.setattr(langid, "LANGS", 40)
+    alphabet = [chr(c) for c in range(0x400, 0x460)]
+    rows = [(i, "".join(rng.choice(alphabet[i % 90 : i % 90 + 4]) for _ in range(30)) + "abc"[i % 3] * 5, f"l{i % 600:03}") for i in range(1200)]
+    docs = spark.createDataFrame([*rows, (5000, "x" * 300_000, "l000"), (5001, "", "l001"), (5002, None, "l001")], "doc_id long, text string, lang string").repartition(3)
+    one, many = langid.fit(docs, matrix_bytes=1 << 30), langid.fit(docs, matrix_bytes=1 << 20, langs_a_file=50)
+    assert len(one.langs) == 600 and not one.files and len(many.files) == 12 and not many.langs
+    got = [sorted(plain(langid.predict(docs, m, ["doc_id"]), "doc_id", "lang_pred", "score")) for m in (one, many)]
+    assert len(got[0]) == len(got[1]) == 1203 and sum(x == y for (_, x, _), (_, y, _) in zip(*got, strict=True)) >= 1200
+    assert all(a[0] == b[0] and a[2] == pytest.approx(b[2], abs=1e-6) for a, b in zip(*got, strict=True))
+    assert sum(x == dict((i, n) for i, _, n in rows)[i] for i, x, _ in got[1] if i < 5000) > 1000
 
 
 def test_windows_do_not_cross_texts():
