@@ -38,7 +38,7 @@ from . import common
 
 K, ORDER = 5, 3
 HOT_SHARE, HOT_LEAST = 1 / 4096, 1000
-BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 12 << 20
+BLOCK_BYTES, BUCKET_BYTES = 6 << 20, 10 << 20
 UNKNOWN, START, END, FIRST = 0, 1, 2, 3
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -102,7 +102,7 @@ def _join(arrays: list[np.ndarray]) -> bytes:
         head.append(f"{x.dtype.str},{len(x)}")
         body.append(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
     names = ";".join(head).encode()
-    return zstandard.compress(len(names).to_bytes(4, "little") + names + b"".join(body), 6)
+    return zstandard.compress(len(names).to_bytes(4, "little") + names + b"".join(body), 3)
 
 
 def _split(data: bytes) -> list[np.ndarray]:
@@ -222,32 +222,43 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(head)
 
 
+def _key(columns: list[tuple[np.ndarray, int]]) -> np.ndarray:
+    """One number for each row of columns (values, how many there can be) that sorts like them, the first before all."""
+    key, room = columns[0][0].astype(np.int64), columns[0][1]
+    for x, size in columns[1:]:
+        if room * size >= 1 << 63:
+            key = np.unique(key, return_inverse=True)[1]
+            room = len(key) + 1
+        key, room = key * size + x, room * size
+    return key
+
+
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A row for each different key, in order, and the place of every row's key among them."""
+    different, at = np.unique(key, return_inverse=True)
+    row = np.empty(len(different), np.int64)
+    row[at] = np.arange(len(key))
+    return row, at.astype(np.int32)
+
+
 class Entries:
     """A block's distinct n-grams of one order, by bucket, shorter history, first word and word."""
 
     def __init__(self, block: Block, level: int, model: Model, buckets: int):
-        b, self.level = block, level
-        times, first = b.history_counts(level)
+        b, m = block, len(block.number)
+        times = b.history_counts(level)
         on = np.flatnonzero(times > 0)
-        history, word = b.history(level)[on], b.word[on]
-        key = history.astype(np.int64) * len(b.number) + word
-        _, rep, at = np.unique(key, return_index=True, return_inverse=True)
-        rep = on[rep]
-        self.times = times[rep]
-        self.hot = self.times >= model.limit
-        longer = [b.back(k)[rep] for k in range(level - 1, 0, -1)]  # the history's words, first to last
-        code = np.zeros(len(rep), np.uint64)
-        for x in longer:
+        times, word, words = times[on], b.word[on], [b.back(k)[on] for k in range(level - 1, 0, -1)]  # the history's words, first to last
+        code = np.zeros(len(on), np.uint64)
+        for x in words:
             code = common.mix64(code * MIX + b.number[x].astype(np.uint64))
-        code = np.where(self.hot, common.mix64(code * MIX + b.number[b.word[rep]].astype(np.uint64)), code)
+        hot = times >= model.limit
+        code[hot] = common.mix64(code[hot] * MIX + b.number[word[hot]].astype(np.uint64))
         goes = (code % np.uint64(buckets)).astype(np.int32)
-        order = np.lexsort((b.word[rep], longer[0], *reversed(longer[1:]), goes))
-        self.rep, self.times, self.hot, self.goes = rep[order], self.times[order], self.hot[order], goes[order]
-        self.words = [x[order] for x in longer]
-        place = np.empty(len(order), np.int32)
-        place[order] = np.arange(len(order), dtype=np.int32)
+        row, at = _distinct(_key([(goes, buckets), *((x, m) for x in (*words[1:], words[0], word))]))
+        self.rep, self.times, self.hot, self.goes, self.words, self.word = on[row], times[row], hot[row], goes[row], [x[row] for x in words], word[row]
         self.at = np.full(len(b.word), -1, np.int32)
-        self.at[on] = place[at]
+        self.at[on] = at
         # A history ends with its bucket: hot ones stand in several.
         self.heads = _runs(self.goes, *self.words)
         self.head_of = np.repeat(np.arange(len(self.heads)), np.diff(np.append(self.heads, len(self.rep))))
@@ -299,11 +310,10 @@ class Block:
         out[self.place == 0] = starts
         return out
 
-    def history_counts(self, level: int) -> tuple[np.ndarray, np.ndarray]:
-        """How often training has seen the history of each token, and that history."""
-        history = self.history(level)
+    def history_counts(self, level: int) -> np.ndarray:
+        """How often training has seen the history of each token."""
         counts = np.concatenate([self.seen[level - 1], [self.model.train_docs, 0]])  # the last is -1: unseen
-        return counts[history], history
+        return counts[self.history(level)]
 
     def entries(self, level: int, buckets: int) -> list[tuple]:
         """(bucket, packed n-grams) of an order."""
@@ -311,11 +321,11 @@ class Block:
         lower = self.at[level - 1][e.rep]
         count = self.seen[level - 1][np.maximum(lower, 0)] * (lower >= 0)
         below = self.below[level - 1][np.maximum(lower, 0)] if level > 2 else np.full(len(lower), model.uni.below)
-        trained = np.bincount(e.at[e.at >= 0], ~self.held[self.doc[e.at >= 0]], len(e.rep)).astype(np.int64)
-        word = self.word[e.rep]
+        taken = (e.at >= 0) & ~self.held[self.doc]
+        trained = np.bincount(e.at[taken], minlength=len(e.rep))
         limits = np.searchsorted(e.goes, np.arange(buckets + 1))
         cuts = [(int(b), slice(limits[b], limits[b + 1])) for b in np.flatnonzero(np.diff(limits))]
-        return [(b, _packed([x[s] for x in e.words], word[s], self.number, trained[s], [below[s], count[s], e.hot[s]])) for b, s in cuts]
+        return [(b, _packed([x[s] for x in e.words], e.word[s], self.number, trained[s], [below[s], count[s], e.hot[s]])) for b, s in cuts]
 
     def learn(self, level: int, buckets: int) -> None:
         """Takes in the answers to an order's entries."""
@@ -365,7 +375,13 @@ def _packed(history: list[np.ndarray], word: np.ndarray, number: np.ndarray, cou
     shorter, first = history[1:], history[0]
     groups = _runs(*shorter) if shorter else np.zeros(1, np.int64)
     heads = _runs(*shorter, first) if shorter else _runs(first)
-    used, at = np.unique(np.concatenate([*(x[groups] for x in shorter), first[heads], word]), return_inverse=True)
+    codes = np.concatenate([*(x[groups] for x in shorter), first[heads], word])
+    if len(codes) * 4 < len(number):
+        used, at = np.unique(codes, return_inverse=True)
+    else:
+        there = np.zeros(len(number), bool)
+        there[codes] = True
+        used, at = np.flatnonzero(there), (np.cumsum(there) - 1)[codes]
     parts = np.split(at, np.cumsum([*(len(groups) for _ in shorter), len(heads)]))
     arrays = [np.diff(number[used], prepend=0), *parts, np.diff(np.append(np.searchsorted(heads, groups), len(heads))), np.diff(np.append(heads, len(word))), counts]
     if more:
@@ -393,10 +409,8 @@ def ngrams(table: bytes, level: int) -> list[tuple[tuple, int]]:
 
 
 def _same(parts: list[np.ndarray], dense: list[np.ndarray], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of keys (dense[i] x size + parts[i]) of all parts: the place of the first of each different one, and each key's number."""
-    key = np.concatenate([d.astype(np.int64) * size + x for d, x in zip(dense, parts, strict=True)])
-    _, first, at = np.unique(key, return_index=True, return_inverse=True)
-    return first, at.astype(np.int32)
+    """Of keys (dense[i] x size + parts[i]) of all parts: a row of each different one, and each key's number."""
+    return _distinct(np.concatenate([d.astype(np.int64) * size + x for d, x in zip(dense, parts, strict=True)]))
 
 
 def _cut(values: np.ndarray, parts: list) -> list[np.ndarray]:
@@ -426,8 +440,7 @@ def _merge(level: int, model: Model):
         hot = cat(lambda p: p.more[2].astype(bool))[first_head]
         seen, n = count > 0, len(first_head)
         few = seen & (count <= K)
-        classes = np.zeros((n, K), np.int64)
-        np.add.at(classes, (of[few], count[few] - 1), 1)
+        classes = np.bincount(of[few] * K + count[few] - 1, minlength=n * K).reshape(n, K)
         mass = np.bincount(of[seen], model.p(level - 1, lower[seen], below[seen]), n).astype(np.float64)
         flat = ~classes.any(1) & ~hot
         out = []
