@@ -353,38 +353,135 @@ def brute_targets(sizes):
             return target
 
 
-def test_mixing_meets_its_targets(spark, odd_docs, no_docs):
-    rng = random.Random(5)
-    rows = [(i, "w " * rng.randrange(0, 30), rng.choice(["a", "b", "c", "d", "é", None, "", "hot", "hot", "hot", "hot"])) for i in range(3000)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
-    got = mixing.mix(docs).toPandas()
-    got["source"] = got["source"].astype(object).where(got["source"].notna(), None)
+def brute_odds(rows, sizes_of):
+    """(whole copies, chance beyond them, target, rest) of each row of (doc_id, text, source), by filling up one class of lengths after the other."""
     sizes = Counter()
-    for _, t, s in rows:
-        sizes[s] += len(words(t))
-    want = brute_targets(dict(sizes))
-    assert len(got) == len(rows) and got["copies"].max() <= 2
+    for (_, _, s), n in zip(rows, sizes_of, strict=True):
+        sizes[s] += n
+    target, out = brute_targets(dict(sizes)), {}
     for s in sizes:
-        mine = got[got["source"].isna()] if s is None else got[got["source"] == s]
-        assert mine["target"].iloc[0] == pytest.approx(want[s]) and mine["source_size"].iloc[0] == sizes[s]
-        assert abs((mine["copies"] * mine["size"]).sum() - want[s]) <= 30
-    again = mixing.mix(docs.repartition(7)).toPandas()
-    assert got.groupby("doc_id")["copies"].sum().equals(again.groupby("doc_id")["copies"].sum())
+        classes = Counter()
+        for (_, _, x), n in zip(rows, sizes_of, strict=True):
+            if x == s:
+                classes[len(f"{n:b}")] += n
+        full = set()
+        while True:
+            open_ = sum(w * words_ for w, words_ in classes.items() if w not in full)
+            level = (target[s] - 2 * sum(classes[w] for w in full)) / open_ if open_ else math.inf
+            over = {w for w in classes if w not in full and level * w > 2 + 1e-12}
+            if not over or full | over == set(classes):
+                break
+            full |= over
+        if not sizes[s]:
+            expected = dict.fromkeys(classes, 0.0)
+        elif target[s] >= 2 * sizes[s]:
+            expected = dict.fromkeys(classes, 2.0)
+        else:
+            expected = {w: 2.0 if w in full else min(2.0, level * w) for w in classes}
+        rest = target[s] - sum(math.floor(expected[w]) * n for w, n in classes.items())
+        out[s] = {w: (math.floor(e), e - math.floor(e), target[s], rest) for w, e in expected.items()}
+    return [out[s][len(f"{n:b}")] for (_, _, s), n in zip(rows, sizes_of, strict=True)]
+
+
+def brute_mix(rows, seed="mix-1"):
+    """Copies of each row of (doc_id, text, source): a Pareto draw source by source, in one list."""
+    sizes_of = [len(words(t)) for _, t, _ in rows]
+    copies, drawn = [], defaultdict(list)
+    for k, ((i, t, s), n, (whole, chance, _, rest)) in enumerate(zip(rows, sizes_of, brute_odds(rows, sizes_of), strict=True)):
+        copies.append(whole)
+        if chance > 0 and rest > 0:
+            digest = hashlib.sha256(f"{seed}:{'null' if i is None else i}:{t or ''}".encode()).hexdigest()
+            u = (int(digest[:13], 16) + 0.5) / 2**52
+            drawn[s].append(((u / (1 - u)) / (chance / (1 - chance)), digest, n, k, rest))
+    for ranked in drawn.values():
+        before = 0
+        for _, _, n, k, rest in sorted(ranked):
+            copies[k] += 2 * before + n <= 2 * rest
+            before += n
+    return copies
+
+
+def mixed_rows(spark, rows, **settings):
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    return docs, mixing.mix(docs, **settings)
+
+
+@pytest.mark.parametrize("bins", [mixing.BINS, 3])
+def test_mixing_equals_brute_force(spark, odd_docs, no_docs, bins):
+    rng = random.Random(5)
+    rows = [(i, "w " * int(rng.paretovariate(0.7)), rng.choice(["a", "b", "c", "d", "é", None, "", "hot", "hot", "hot", "hot"])) for i in range(1500)]
+    rows += [(None, "w " * rng.randrange(9), "hot") for _ in range(300)] + [(7000, "same words here", "b")] * 300 + [(None, None, "c")] * 20 + [(8000, "x y", "empty"), (8001, "", "none"), (8002, None, "none")]
+    docs, got = mixed_rows(spark, rows, bins=bins)
+    got = Counter((r.doc.doc_id, r.doc.text, r.doc.source, r.size, r.copies) for r in got.collect())
+    assert got == Counter((i, t, s, len(words(t)), c) for (i, t, s), c in zip(rows, brute_mix(rows), strict=True))
+    again = Counter((r.doc.doc_id, r.doc.text, r.doc.source, r.size, r.copies) for r in mixing.mix(docs.repartition(7)).collect())
+    assert got == again
     assert mixing.mix(no_docs).count() == 0 and mixing.mix(odd_docs).count() == odd_docs.count()
     assert mixing.mix(spark.createDataFrame([(1, None, "a"), (2, "", None)], "doc_id long, text string, source string")).agg(F.sum("target")).first()[0] == 0
 
 
-def test_mixed_repeats_rows(spark):
+def test_mixing_meets_its_targets(spark):
+    rng = random.Random(6)
+    rows = [(i, "w " * rng.randrange(0, 40), rng.choice(["a", "b", "c", "d", None, "hot", "hot", "hot"])) for i in range(3000)]
+    _, got = mixed_rows(spark, rows)
+    got, sizes = got.collect(), Counter()
+    for _, t, s in rows:
+        sizes[s] += len(words(t))
+    want = brute_targets(dict(sizes))
+    for s in sizes:
+        mine = [r for r in got if r.doc.source == s]
+        assert mine[0].target == pytest.approx(want[s]) and mine[0].source_size == sizes[s] and max(r.copies for r in mine) <= 2
+        assert abs(sum(r.copies * r.size for r in mine) - want[s]) <= 40
+
+
+def test_documents_are_included_by_their_own_odds():
+    """Over many draws documents of each length are taken about as often as their odds say, and every draw has its size."""
+    rng = random.Random(7)
+    rows = [(i, "w " * rng.choice([1, 2, 5, 12, 40, 100]), "abc"[i % 3]) for i in range(240)]
+    sizes_of = [len(words(t)) for _, t, _ in rows]
+    wanted, runs = brute_odds(rows, sizes_of), 300
+    taken, classes = np.zeros(len(rows)), defaultdict(list)
+    for n in range(runs):
+        copies = brute_mix(rows, f"s{n}")
+        taken += copies
+        for s in "abc":
+            mine = [k for k, r in enumerate(rows) if r[2] == s]
+            assert abs(sum(copies[k] * sizes_of[k] for k in mine) - wanted[mine[0]][2]) <= 100
+    for k, (whole, chance, *_) in enumerate(wanted):
+        classes[rows[k][2], sizes_of[k]].append((taken[k] / runs, whole + chance))
+    assert len({round(x[0][1], 6) for x in classes.values()}) > 6  # odds do differ by document
+    for x in classes.values():
+        assert abs(np.mean([a for a, _ in x]) - x[0][1]) < 0.06
+
+
+def test_hot_sources_are_not_ordered_whole(spark):
+    """Of a source with most rows, at its cap or below, few rows fall into the bin that is ordered; equal rows are one."""
+    for share in (1.5, 0.9):
+        rows = [(i, "w " * (1 + i % 50), "b") for i in range(6000)] + [(i, "w " * 30, "a") for i in range(6000, 6300)] + [(9000, "again and again", "b")] * 3000
+        docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+        folder = common.new_folder(spark, "t")
+        found = mixing.described(docs)
+        sizes = common.stage(found.select(F.col("doc.source").alias("source"), "source_key", "size", "digits", "draw", "row"), f"{folder}/s")
+        table = mixing.odds(sizes, mixing.targets(sizes, folder, share=share))
+        _, edge = mixing.limits(mixing.ranked(sizes, table), folder)
+        assert edge.count() <= 12
+        assert Counter((r.doc.doc_id, r.copies) for r in mixing.mix(docs, share=share).collect() if r.doc.doc_id == 9000).total() == 3000
+
+
+def test_mixed_repeats_rows(spark, odd_docs):
     docs = spark.createDataFrame([(i, "w w w", "a" if i % 2 else "b") for i in range(200)], "doc_id long, text string, source string")
-    copies = {r.doc_id: r.copies for r in mixing.mix(docs).collect()}
+    copies = {r.doc.doc_id: r.copies for r in mixing.mix(docs).collect()}
     assert Counter(r.doc_id for r in mixing.mixed(docs).collect()) == Counter({k: v for k, v in copies.items() if v})
+    again = mixing.mixed(odd_docs)
+    assert again.columns == odd_docs.columns and again.count() == mixing.mix(odd_docs).agg(F.sum("copies")).first()[0]
 
 
-def test_unequal_odds_order():
-    # Equal chances within a source: the order is that of the uniform numbers, as for Pareto sampling with equal odds.
-    u = np.random.default_rng(0).random(100)
-    rank = (u / (1 - u)) / (0.3 / 0.7)
-    assert (np.argsort(rank) == np.argsort(u)).all()
+def test_running_sums_over_parts(spark):
+    rows = [(i % 97, i) for i in range(500)]
+    df = spark.createDataFrame(rows, "a long, b long").repartition(5)
+    got = plain(mixing.running(df, [F.col("a"), F.col("b")], f"{common.new_folder(spark, 't')}/r", s=F.col("b"), n=F.lit(1)), "a", "b", "s", "n")
+    rows.sort()
+    assert sorted(got) == [(a, b, sum(y for _, y in rows[:k]), k) for k, (a, b) in enumerate(rows)]
 
 
 # -- 8

@@ -20,7 +20,7 @@ def test_pipeline_equals_its_stages_by_hand(spark):
     groups = {r.doc_id: r.component_id for r in jaccard.components_of(frame(docs)).collect()}
     docs = docs[[groups[i] == i for i in docs["doc_id"]]]
     docs = docs.assign(text=[pii.mask(t, pii.base_spans(t)) for t in docs["text"]])
-    copies = {r.doc_id: r.copies for r in mixing.mix(frame(docs)).collect()}
+    copies = {r.doc.doc_id: r.copies for r in mixing.mix(frame(docs)).collect()}
     want = Counter()
     v = pieces.vocabulary(pieces.MODEL)
     for i, t in zip(docs["doc_id"], docs["text"], strict=True):
