@@ -4,8 +4,9 @@
 PNG, 64 samples of 8 bits a row, and appends it to a tar shard below the shared folder, named by the SHA-256 of the
 stored form. A shard holds each payload once, whatever the number of rows that point to it. ``header`` reads only the
 first bytes of a stored member and fills the metadata columns; ``features`` reads it whole, decodes it and computes
-digests and sample statistics. Rows stay in the partition that wrote their shard, so nothing is shuffled and a payload
-that a third of all rows share is no group anywhere.
+digests and sample statistics. Payloads are not shuffled: only the catalogue's rows are, by shard and offset, so that a
+task reads neighbouring members and there are as many tasks as shards. A payload that a third of all rows share is stored
+in each shard they come from, and is no group anywhere.
 
 Defined cases: a null text counts as empty (one row of 64 zero samples); equal texts have equal values, wherever they
 are stored; rows repeat as given; an empty table gives an empty result; other columns of the table are ignored.
@@ -207,7 +208,9 @@ def features(catalog: DataFrame) -> DataFrame:
 def run(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """store(), then header and features of what was stored."""
     root = common.new_folder(docs.sparkSession, "media")
-    return features(with_header(store(docs, root, shard_bytes)))
+    catalog = store(docs, root, shard_bytes)
+    shards = catalog.select("shard").distinct().count()
+    return features(with_header(catalog.repartitionByRange(max(shards, 1), "shard", "offset")))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
