@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,7 +33,9 @@ def new_folder(spark: SparkSession, name: str) -> str:
 
 
 def open_fs(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri)
+    """Python workers have no Hadoop file systems; Arrow's have other names for some of the same stores."""
+    scheme, _, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(f"s3://{rest}" if scheme in ("s3a", "s3n") else uri)
 
 
 def drop_folder(uri: str) -> None:
@@ -66,6 +69,17 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, "1000")
 
 
+def running(rows: DataFrame, order: list, path: str, **sums) -> DataFrame:
+    """rows with the sums over all rows before each in a total order; parts of the order are added up side by side."""
+    parted = stage(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), path)
+    before = W.partitionBy("__part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    # A row for each part: as many as there are shuffle partitions.
+    whole = parted.groupBy("__part").agg(*[F.sum(x).alias(f"__{n}") for n, x in sums.items()])
+    parts = whole.select("__part", *[F.coalesce(F.sum(f"__{n}").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(f"__{n}") for n in sums])
+    found = parted.join(F.broadcast(parts), "__part")
+    return found.select(*rows.columns, *[(F.col(f"__{n}") + F.coalesce(F.sum(x).over(before), F.lit(0))).alias(n) for n, x in sums.items()])
+
+
 def _weight(value, kind: T.DataType):
     """About how many bytes a value takes in memory."""
     if isinstance(kind, T.StringType | T.BinaryType):

@@ -42,26 +42,15 @@ def length_weight(size) -> F.Column:
     return F.length(F.bin(size)).cast("long")
 
 
-def running(rows: DataFrame, order: list, path: str, **sums) -> DataFrame:
-    """rows with the sums over all rows before each in a total order; parts of the order are added up side by side."""
-    parted = common.stage(rows.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), path)
-    before = W.partitionBy("__part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
-    # A row for each part: as many as there are shuffle partitions.
-    whole = parted.groupBy("__part").agg(*[F.sum(x).alias(f"__{n}") for n, x in sums.items()])
-    parts = whole.select("__part", *[F.coalesce(F.sum(f"__{n}").over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(f"__{n}") for n in sums])
-    found = parted.join(F.broadcast(parts), "__part")
-    return found.select(*rows.columns, *[(F.col(f"__{n}") + F.coalesce(F.sum(x).over(before), F.lit(0))).alias(n) for n, x in sums.items()])
-
-
 def targets(sizes: DataFrame, folder: str, weights=WEIGHTS, share: float = SHARE, most: float = MOST) -> DataFrame:
     """source, source_size, target for each source of sizes(source, size): shares by weight, filled up to the caps."""
     per = common.stage(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), f"{folder}/sources")
     by_name = F.col("source").asc_nulls_last()
-    numbered = running(per, [by_name], f"{folder}/by-name", place=F.lit(1).cast("long"))
+    numbered = common.running(per, [by_name], f"{folder}/by-name", place=F.lit(1).cast("long"))
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
     ranked = numbered.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(most))).alias("cap"))
     ranked = ranked.withColumn("fill", F.col("cap") / F.col("weight"))
-    filled = running(ranked, [F.col("fill"), by_name], f"{folder}/by-fill", cap_before=F.col("cap"), weight_before=F.col("weight"))
+    filled = common.running(ranked, [F.col("fill"), by_name], f"{folder}/by-fill", cap_before=F.col("cap"), weight_before=F.col("weight"))
     filled = common.stage(filled, f"{folder}/filled")
     whole = filled.agg((F.sum("source_size") * F.lit(float(share))).alias("total"), F.sum("weight").alias("weights")).first()
     # With every source before this one at its cap, this one and those after it share what is left at this level.

@@ -1,10 +1,13 @@
 """WARC archives: a deterministic sharded writer and a reader.
 
-Records are range-sorted by page and digest, written as one gzip member each, and files roll at a compressed size. All
-headers, identifiers and digests are made anew from the page; nothing depends on the time or the machine. A task writes
-each file under a temporary name and moves it to its final one, which only its place and number determine, so a repeated
-attempt replaces its own files by equal ones. The manifest, a table that Spark commits when all tasks are through, says
-which files belong to the archive, with their digests; the reader takes the files from it and checks them.
+Records are range-sorted by page and digest, written as one gzip member each, and files roll at a compressed size. The
+ranges' boundaries come from exact running sums of the records' bytes in that order, one boundary for about PART_BYTES, so
+they depend on the rows alone: neither Spark's sampling nor the number of partitions, tasks or machines changes a file.
+All headers, identifiers and digests are made anew from the page; nothing depends on the time. A task writes each file
+under a temporary name and moves it to its final one, which only its range and number determine, so a repeated attempt
+replaces its own files by equal ones. The manifest, a table that Spark commits when all tasks are through, says which files
+belong to the archive, with their digests, ranges and first and last pages; the reader takes the files from it and checks
+them. The boundaries, a page and the start of a digest for each range, stay beside it.
 
 Records whose payload of at least LEAST bytes equals that of a record with a smaller page_id are revisits of it.
 
@@ -20,6 +23,7 @@ import re
 import uuid
 import zlib
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,9 +34,11 @@ from . import common
 LEAST = 100
 #: A file is closed when it has grown beyond this many compressed bytes.
 ROLL_BYTES = 32 << 20
+#: Bytes of records, uncompressed, in a range; what a record takes beside its payload, about.
+PART_BYTES, HEAD_BYTES = 64 << 20, 640
 DATE = "2000-01-01T00:00:00Z"
 SALTS = 32
-MANIFEST = "file string, records long, bytes long, sha256 string"
+MANIFEST = "file string, part int, number int, first_page long, last_page long, records long, bytes long, sha256 string"
 RECORDS = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, record_id string"
 
 
@@ -80,39 +86,76 @@ def member(data: bytes) -> bytes:
     return b"\x1f\x8b\x08\x00\0\0\0\0\x00\xff" + body + zlib.crc32(data).to_bytes(4, "little") + (len(data) & 0xFFFFFFFF).to_bytes(4, "little")
 
 
-def write(pages: DataFrame, root: str, partitions: int | None = None, roll_bytes: int = ROLL_BYTES) -> DataFrame:
+def boundaries(rows: DataFrame, folder: str, part_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The first (page is null, page_id, start of the digest) of each range of about part_bytes of prepared() rows, in order."""
+    none, page, digest = F.col("page_id").isNull(), F.coalesce("page_id", F.lit(0)), F.conv(F.substring("payload_digest", 1, 15), 16, 10).cast("long")
+    weight = F.lit(HEAD_BYTES) + F.when(F.col("refers_to").isNull(), F.col("payload_bytes")).otherwise(0)
+    keys = rows.select(none.alias("none"), page.alias("page"), digest.alias("digest"), weight.alias("weight"))
+    # Rows of equal keys weigh the same, so that sums do not depend on their order.
+    order = [F.col(c) for c in ("none", "page", "digest", "weight")]
+    summed = common.running(keys, order, f"{folder}/keys", before=F.col("weight"))
+    part = F.floor(F.col("before") / F.lit(int(part_bytes)))
+    firsts = summed.groupBy(part.alias("part")).agg(F.min(F.struct("none", "page", "digest")).alias("x")).select("x.*")
+    firsts = common.stage(firsts, f"{folder}/boundaries")
+    found = firsts.orderBy("none", "page", "digest").collect()  # three numbers for each PART_BYTES
+    return tuple(np.array([r[c] for r in found], np.int64) for c in ("none", "page", "digest"))
+
+
+def part_of(none: np.ndarray, page: np.ndarray, digest: np.ndarray, limits: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """For each key the last range that begins at or before it."""
+    every = [np.concatenate([x, y]).astype(np.int64) for x, y in zip(limits, (none, page, digest), strict=True)]
+    n, limit = len(limits[0]), np.zeros(len(every[0]), np.int64)
+    limit[:n] = 1
+    order = np.lexsort((1 - limit, *reversed(every)))  # of equal keys the boundary comes first
+    part = np.empty(len(order), np.int64)
+    part[order] = np.cumsum(limit[order]) - 1
+    return np.maximum(part[n:], 0)
+
+
+def write(pages: DataFrame, root: str, part_bytes: int = PART_BYTES, roll_bytes: int = ROLL_BYTES) -> DataFrame:
     """Writes the archive below root; its manifest, read from there."""
     spark = pages.sparkSession
     common.small_batches(spark)
+    columns = ("page_id", "url", "payload", "payload_digest", "payload_bytes", "refers_to")
 
     def put(batches):
-        from pyspark import TaskContext
-
-        part, held, size, count, number, done = TaskContext.get().partitionId(), [], 0, 0, 0, []
+        held, size, part, number, done = [], 0, None, 0, []
 
         def close():
-            nonlocal held, size, count, number
-            data = b"".join(held)
-            name = f"{root}/part-{part:06d}-{number:04d}.warc.gz"
-            common.write_file(name, data)
-            done.append((name, count, len(data), hashlib.sha256(data).hexdigest()))
-            held, size, count, number = [], 0, 0, number + 1
+            nonlocal held, size, number
+            if held:
+                data = b"".join(x for x, _ in held)
+                name = f"{root}/part-{part:07d}-{number:04d}.warc.gz"
+                common.write_file(name, data)
+                done.append((name, part, number, held[0][1], held[-1][1], len(held), len(data), hashlib.sha256(data).hexdigest()))
+                held, size, number = [], 0, number + 1
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "payload", "payload_digest", "payload_bytes", "refers_to")), strict=True):
-                held.append(member(record(*row)))
-                size += len(held[-1])
-                count += 1
+            for mine, *row in zip(*(batch.column(c).to_pylist() for c in ("part", *columns)), strict=True):
+                if mine != part:
+                    close()
+                    part, number = mine, 0
+                held.append((member(record(*row)), row[0]))
+                size += len(held[-1][0])
                 if size >= roll_bytes:
                     close()
-        if held:
-            close()
-        yield pa.RecordBatch.from_pylist([dict(zip(("file", "records", "bytes", "sha256"), x, strict=True)) for x in done], pa.schema([("file", pa.string()), ("records", pa.int64()), ("bytes", pa.int64()), ("sha256", pa.string())]))
+        close()
+        kinds = [pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(list(zip(*done, strict=True)) or [[]] * 8, kinds, strict=True)], names=[c.split()[0] for c in MANIFEST.split(", ")])
 
-    keys = [F.col("page_id").asc_nulls_last(), F.col("payload_digest")]
     rows = prepared(pages)
-    ranged = rows.repartitionByRange(partitions, *keys) if partitions else rows.repartitionByRange(*keys)
-    ordered = ranged.sortWithinPartitions(*keys, "url").select("page_id", "url", "payload", "payload_digest", "payload_bytes", "refers_to")
+    limits = boundaries(rows, root, part_bytes)
+    shared = spark.sparkContext.broadcast(limits)
+
+    @F.pandas_udf("int")
+    def place(none: pd.Series, page: pd.Series, digest: pd.Series) -> pd.Series:
+        start = np.array([int(x[:15], 16) for x in digest], np.int64)
+        return pd.Series(part_of(none.to_numpy(), page.to_numpy(np.int64), start, shared.value).astype(np.int32))
+
+    # A null page_id travels as a flag: pandas would hold its neighbours as doubles.
+    part = place(F.col("page_id").isNull(), F.coalesce("page_id", F.lit(0).cast("long")), "payload_digest")
+    dealt = rows.select(part.alias("part"), *columns).repartition(max(1, len(limits[0])), "part")
+    ordered = dealt.sortWithinPartitions("part", F.col("page_id").asc_nulls_last(), "payload_digest", "url")
     return common.stage(ordered.mapInArrow(put, MANIFEST), f"{root}/manifest")
 
 

@@ -272,7 +272,7 @@ def test_warc_round_trip(spark):
     rows = [(5, "http://a/ b\n", big), (3, None, big), (9, "u", big), (1, "u", small), (2, "u", small), (4, "u", None), (6, None, None), (None, "u", big), (3, "again", big), (8, "u", "é" * 50), (7, "u", "é" * 50)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     root = common.new_folder(spark, "warc")
-    manifest = warc.write(pages, root, partitions=3, roll_bytes=600)
+    manifest = warc.write(pages, root, part_bytes=2500, roll_bytes=600)
     got = plain(warc.read(manifest), "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
     first = {big: 3, "é" * 50: 7}
     want = []
@@ -282,11 +282,36 @@ def test_warc_round_trip(spark):
         want.append((i, len(data), hashlib.sha256(data).hexdigest(), "revisit" if again else "response", first[html] if again else None))
     key = lambda r: tuple((x is None, str(x)) for x in r)
     assert sorted(got, key=key) == sorted(want, key=key) and manifest.count() > 3
-    again = warc.write(pages, common.new_folder(spark, "warc"), partitions=3, roll_bytes=600)
+    assert manifest.select("part").distinct().count() > 1
+    again = warc.write(pages.repartition(2).withColumn("part", F.lit("clash")), common.new_folder(spark, "warc"), part_bytes=2500, roll_bytes=600)
     assert {r.sha256 for r in manifest.collect()} == {r.sha256 for r in again.collect()}
     assert warc.read(warc.write(pages.limit(0), common.new_folder(spark, "warc"))).count() == 0
 
 
+def test_warc_files_depend_on_the_rows_alone(spark):
+    """Two archives of 60,000 pages, written in one session under other layouts and partition counts: file for file the same."""
+    html = F.concat(F.lit("page "), F.sha2(F.col("id").cast("string"), 256), F.repeat(F.lit("x"), (F.col("id") % 90).cast("int")))
+    hot = F.when(F.col("id") % 3 == 0, F.lit(77)).when(F.col("id") % 100 == 1, F.lit(None)).otherwise(F.xxhash64("id") % 10**9)
+    pages = spark.range(60000).select(hot.cast("long").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 7 > 0, html).alias("html"))
+    kept, found = spark.conf.get("spark.sql.shuffle.partitions"), []
+    for partitions, shuffles in ((5, "4"), (3, "9")):
+        spark.conf.set("spark.sql.shuffle.partitions", shuffles)
+        manifest = warc.write(pages.repartition(partitions), common.new_folder(spark, "warc"), part_bytes=4 << 20, roll_bytes=1 << 20)
+        found.append(sorted((r.part, r.number, r.first_page or -1, r.last_page or -1, r.records, r.bytes, r.sha256) for r in manifest.collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", kept)
+    assert found[0] == found[1] and len({x[0] for x in found[0]}) >= 10 and sum(x[4] for x in found[0]) == 60000
+    assert max(x[4] for x in found[0]) < 12000  # the page that a third share is in several files
+    assert warc.read(manifest).count() == 60000
+
+
+def test_ranges_of_keys():
+    rng = np.random.default_rng(3)
+    keys = [rng.integers(0, 2, 500), rng.integers(-3, 3, 500), rng.integers(0, 9, 500)]
+    limits = sorted({tuple(int(x[i]) for x in keys) for i in range(0, 500, 37)} | {(0, -9, 0)})
+    got = warc.part_of(*keys, tuple(np.array(x) for x in zip(*limits, strict=True)))
+    assert got.tolist() == [max(n for n, x in enumerate(limits) if x <= key) for key in zip(*(k.tolist() for k in keys), strict=True)]
+
+
 def test_warc_reader_refuses_what_the_manifest_does_not_know(spark):
     pages = spark.createDataFrame([(1, "u", "h")], "page_id long, url string, html string")
     manifest = warc.write(pages, common.new_folder(spark, "warc"))
@@ -479,7 +504,7 @@ def test_mixed_repeats_rows(spark, odd_docs):
 def test_running_sums_over_parts(spark):
     rows = [(i % 97, i) for i in range(500)]
     df = spark.createDataFrame(rows, "a long, b long").repartition(5)
-    got = plain(mixing.running(df, [F.col("a"), F.col("b")], f"{common.new_folder(spark, 't')}/r", s=F.col("b"), n=F.lit(1)), "a", "b", "s", "n")
+    got = plain(common.running(df, [F.col("a"), F.col("b")], f"{common.new_folder(spark, 't')}/r", s=F.col("b"), n=F.lit(1)), "a", "b", "s", "n")
     rows.sort()
     assert sorted(got) == [(a, b, sum(y for _, y in rows[:k]), k) for k, (a, b) in enumerate(rows)]
 
