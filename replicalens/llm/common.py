@@ -21,8 +21,12 @@ BROADCAST_BYTES = 32 << 20
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or one of our own where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/replicalens"
+    """The folder all executors see: spark.checkpoint.dir; only a session on one machine may leave that unset."""
+    if root := spark.conf.get("spark.checkpoint.dir", None):
+        return root
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return "file:///tmp/checkpoints/replicalens"
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

@@ -10,7 +10,8 @@ unit's place and the step alone, so a segmentation is the same wherever and howe
 
 A block's distinct units share one lattice; numpy walks all units, edges and draws of a block at once. A piece of rank r
 weighs (r + 2) ** -ALPHA, as the vocabulary has ranks rather than probabilities. Decoding joins the pieces' bytes. A
-block holds BLOCK_BYTES of text, or one text; nothing else is kept, and the vocabulary is a file of fixed size.
+block holds BLOCK_BYTES of text, or one text; nothing else is kept. The vocabulary, a file of fixed size, is read on the driver
+and broadcast.
 
 Defined cases: a null text counts as empty, has no pieces and decodes to ""; a null key draws like key 0; rows of equal
 key and text have equal pieces; white space of any kind, the mark itself and unknown characters all round-trip.
@@ -37,10 +38,10 @@ MARK = "▁"
 class Vocabulary:
     """Pieces as bytes, their log weights, and a trie as sorted transitions."""
 
-    def __init__(self, path: str, alpha: float = ALPHA):
+    def __init__(self, data: bytes, alpha: float = ALPHA):
         import sentencepiece
 
-        model = sentencepiece.SentencePieceProcessor(model_file=path)
+        model = sentencepiece.SentencePieceProcessor(model_proto=data)
         n = model.get_piece_size()
         self.text = [b""] * n
         self.weight = np.full(n, -np.inf)
@@ -84,8 +85,18 @@ class Vocabulary:
 
 
 @functools.lru_cache(2)
+def loaded(data: bytes, alpha: float = ALPHA) -> Vocabulary:
+    """The vocabulary that a model file's bytes hold, made once in a process."""
+    return Vocabulary(data, alpha)
+
+
+def read_model(path: str) -> bytes:
+    with open(path, "rb") as f:
+        return f.read()
+
+
 def vocabulary(path: str, alpha: float = ALPHA) -> Vocabulary:
-    return Vocabulary(path, alpha)
+    return loaded(read_model(path), alpha)
 
 
 #: Bytes of units whose edges are made together: few enough for the processor's cache.
@@ -268,8 +279,8 @@ def decode(pieces: np.ndarray, v: Vocabulary) -> np.ndarray:
     return v.bytes[np.repeat(v.start[pieces], length) + inner]
 
 
-def _encoded(block: pa.Table, path: str, alpha: float, seed: int):
-    v = vocabulary(path, alpha)
+def _encoded(block: pa.Table, model: bytes, alpha: float, seed: int):
+    v = loaded(model, alpha)
     keys = pc.fill_null(common.column(block, "__key"), 0).to_numpy(zero_copy_only=False).astype(np.int64)
     pieces, counts, raw = encode_block(common.column(block, "__text").to_pylist(), keys, v, seed)
     return v, pieces, counts, raw
@@ -279,10 +290,11 @@ def encode(docs: DataFrame, keep: list[str], key: str = "doc_id", path: str = MO
     """keep's columns and ``pieces``, the sampled segmentation of text, for each row of docs."""
     rows = docs.select(F.col("text").alias("__text"), F.col(key).cast("long").alias("__key"), *keep)
     schema = ", ".join([*(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in keep), "pieces array<int>"])
+    model = docs.sparkSession.sparkContext.broadcast(read_model(path))  # a file of fixed size, read on the driver alone
 
     def run(batches):
         for block in common.blocks(batches, BLOCK_BYTES, "__text"):
-            _, pieces, counts, _ = _encoded(block, path, alpha, seed)
+            _, pieces, counts, _ = _encoded(block, model.value, alpha, seed)
             lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(counts))).astype(np.int32)), pa.array(pieces))
             yield from block.select(keep).append_column("pieces", lists).combine_chunks().to_batches()
 
@@ -293,10 +305,11 @@ def encode(docs: DataFrame, keep: list[str], key: str = "doc_id", path: str = MO
 def decoded(encoded: DataFrame, keep: list[str], path: str = MODEL) -> DataFrame:
     """keep's columns and ``text`` from ``pieces``."""
     schema = ", ".join([*(f"`{c}` {encoded.schema[c].dataType.simpleString()}" for c in keep), "text string"])
+    model = encoded.sparkSession.sparkContext.broadcast(read_model(path))  # a file of fixed size, read on the driver alone
 
     def run(batches):
         for batch in batches:
-            v = vocabulary(path)
+            v = loaded(model.value)
             texts = [None if x is None else decode(np.asarray(x, np.int64), v).tobytes().decode("utf-8") for x in batch.column("pieces").to_pylist()]
             yield pa.Table.from_batches([batch]).select(keep).append_column("text", pa.array(texts, pa.string())).combine_chunks().to_batches()[0]
 
@@ -305,10 +318,11 @@ def decoded(encoded: DataFrame, keep: list[str], path: str = MODEL) -> DataFrame
 
 def digests(docs: DataFrame, path: str = MODEL, alpha: float = ALPHA, seed: int = SEED) -> DataFrame:
     """doc_id, n_bytes, n_pieces, pieces_sha256 (32-bit little-endian ids), decoded_sha256 and lossless for each row."""
+    model = docs.sparkSession.sparkContext.broadcast(read_model(path))
 
     def run(batches):
         for block in common.blocks(batches, BLOCK_BYTES, "__text"):
-            v, pieces, counts, raw = _encoded(block, path, alpha, seed)
+            v, pieces, counts, raw = _encoded(block, model.value, alpha, seed)
             back = decode(pieces, v)
             limits = np.concatenate(([0], np.cumsum(counts)))
             ends = np.concatenate(([0], np.cumsum(v.length[pieces])))[limits]

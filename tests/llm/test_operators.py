@@ -240,6 +240,20 @@ def test_jaccard_equals_brute_force(spark, odd_docs, monkeypatch, settings):
     assert sorted(got, key=none_last) == sorted(brute_components(rows), key=none_last)
 
 
+def test_hot_runs_are_dealt_in_shares(spark, monkeypatch):
+    """A family of near copies and a passage that many share: the same components whatever a join or a task may hold."""
+    rng = random.Random(16)
+    base = [f"w{rng.randrange(2000)}" for _ in range(60)]
+    rows = list(enumerate(family(rng, base, 150, 1, 9)))
+    passage = [f"p{i}" for i in range(40)]
+    rows += [(1000 + i, " ".join([*passage, *(f"q{rng.randrange(10**6)}" for _ in range(rng.randrange(4, 30)))])) for i in range(80)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for name, value in (("DEAL", 5), ("RUN_MEMBERS", 16), ("RUN_ROWS", 50)):
+        monkeypatch.setattr(jaccard, name, value)
+    got = plain(jaccard.components_of(df, part_shingles=900, bucket_postings=300), "doc_id", "n_shingles", "component_id")
+    assert sorted(got) == sorted(brute_components(rows))
+
+
 def test_jaccard_boundary_and_empty(spark, no_docs):
     assert jaccard.components_of(no_docs).count() == 0
     base = [f"w{i}" for i in range(39)]  # 35 shingles; 5 more words on one side: 35 of 40, less than 0.75 at 12 more
@@ -341,6 +355,78 @@ def test_trees_learn_and_flatten():
     assert np.allclose(model.score(x[:50]), [walk(r) for r in x[:50]])
 
 
+def plain_grow(x, y, trees):
+    """Boosted trees by loops: every feature and cut of every node is tried; (feature, limit, values) of each tree."""
+    cuts = [sorted(set(np.quantile(x[:, f], np.linspace(0, 1, quality.BINS)[1:-1]).tolist())) for f in range(x.shape[1])]
+    base = math.log(y.mean() / (1 - y.mean()))
+    total, out = [base] * len(y), []
+    for _ in range(trees):
+        p = [1 / (1 + math.exp(-t)) for t in total]
+        g, h = [b - a for a, b in zip(p, y, strict=True)], [a * (1 - a) for a in p]
+        inner = 2**quality.DEPTH - 1
+        feature, limit, rows = [0] * inner, [math.inf] * inner, {0: list(range(len(y)))}
+        for node in range(inner):
+            mine, best = rows[node], 1e-6
+            score = lambda r: sum(g[i] for i in r) ** 2 / (sum(h[i] for i in r) + 1)  # noqa: B023, E731
+            for f in range(x.shape[1]):
+                for c in cuts[f]:
+                    left, right = [i for i in mine if x[i, f] <= c], [i for i in mine if x[i, f] > c]
+                    if min(sum(h[i] for i in left), sum(h[i] for i in right)) >= quality.LEAST_HESSIAN and (gain := score(left) + score(right) - score(mine)) > best + 1e-12:
+                        best, feature[node], limit[node] = gain, f, c
+            rows[2 * node + 1] = [i for i in mine if x[i, feature[node]] <= limit[node]]
+            rows[2 * node + 2] = [i for i in mine if x[i, feature[node]] > limit[node]]
+        values = []
+        for leaf in range(inner, 2 * inner + 1):
+            values.append(quality.RATE * sum(g[i] for i in rows[leaf]) / (sum(h[i] for i in rows[leaf]) + 1))
+            for i in rows[leaf]:
+                total[i] += values[-1]
+        out.append((feature, limit, values))
+    return base, out
+
+
+def test_trees_equal_brute_force(monkeypatch):
+    monkeypatch.setattr(quality, "DEPTH", 3)
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(160, 3)), 1)
+    y = (x[:, 0] + 0.5 * rng.normal(size=160) > x[:, 1] ** 2 - 0.5).astype(int)
+    base, trees = plain_grow(x, y, 4)
+    model = quality.grow(x, y, 4)
+    assert model.base == pytest.approx(base)
+    for (feature, limit, values), f, t, v in zip(trees, model.feature, model.limit, model.value, strict=True):
+        used = [i for i in range(7) if limit[i] < math.inf]
+        assert used == [i for i in range(7) if t[i] < math.inf] and [feature[i] for i in used] == [f[i] for i in used]
+        assert [limit[i] for i in used] == pytest.approx([t[i] for i in used]) and values == pytest.approx(v.tolist())
+
+
+def plain_statistics(text):
+    text = text or ""
+    w, raw = [x.lower() for x in WORD.findall(text)], text.encode()
+    lower = [x.translate(LOWER) for x in WORD.findall(text)]
+    w = lower
+    lines = text.split("\n")
+    share = lambda test: sum(map(test, raw)) / max(len(raw), 1)
+    kinds = Counter(w)
+    marks = [share(lambda b, c=c: b == ord(c)) for c in quality.CLASSES]
+    letters = [share(lambda b: 65 <= b <= 90), share(lambda b: 97 <= b <= 122), share(lambda b: 48 <= b <= 57), share(lambda b: b >= 128)]
+    n = max(len(w), 1)
+    first = [math.log1p(len(raw)), math.log1p(len(w)), sum(len(x.encode()) for x in w) / n, len(kinds) / n, max(kinds.values(), default=0) / n, sum(a == b for a, b in itertools.pairwise(w)) / n, math.log1p(len(lines)), 1 - len(set(lines)) / len(lines)]
+    return [*first, *marks, *letters, 1 - sum(marks) - sum(letters) if raw else 0.0]
+
+
+def test_statistics_equal_their_definition():
+    rng = random.Random(14)
+    texts = [None, "", " ", "\n", "a" * 300_000, "w " * 50_000] + ["".join(rng.choice("aB1 \n!|#*$%&.,é-\t") for _ in range(rng.randrange(80))) for _ in range(300)]
+    got = quality.statistics(pa.array(texts))
+    assert np.allclose(got, [plain_statistics(t) for t in texts], atol=1e-9)
+
+
+def test_quality_on_labels_held_out(spark):
+    """Of the documents whose labels the model may not use, nearly all are judged as these say."""
+    sf = "/root/testdata/sf0.01"
+    found = quality.op6(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet").where("quality IS NOT NULL"), "doc_id").where("held_out").toPandas()
+    assert len(found) > 100 and (found["predicted"] == found["quality"]).mean() > 0.95
+
+
 def test_quality_on_odd_documents(spark, odd_docs, no_docs):
     ids = [r.doc_id for r in odd_docs.collect() if r.doc_id is not None]
     labels = spark.createDataFrame([*((i, i % 2) for i in ids), (ids[0], None), (None, 1), (10**6, 1)], "doc_id long, quality int")
@@ -750,6 +836,52 @@ def test_long_units_are_one_lattice(monkeypatch):
         assert not np.isin(np.arange(64, len(raw), 64), whole).all()  # pieces cross the places of the former cuts
 
 
+def plain_pieces(text, key, v, seed=pieces.SEED):
+    """A sampled segmentation unit by unit, boundary by boundary, with the same numbers drawn."""
+    mask = (1 << 64) - 1
+
+    def mix(x):
+        for _ in range(2):
+            x = (x ^ (x >> 32)) * 0xD6E8FEB86659FD93 & mask
+        return x ^ (x >> 32)
+
+    by_text = {}
+    for i in range(len(v.text) - 1, -1, -1):
+        if v.text[i] and np.isfinite(v.weight[i]) and v.weight[i] > pieces.BYTE_WEIGHT:
+            by_text[v.text[i]] = i
+    out, key = [], mix((key + seed * 0x632BE59BD9B4E019) & mask)
+    for place, unit in enumerate(re.findall(rb"\n|(?: |[^ \n])(?:(?<= ) )*[^ \n]*", text.encode())):
+        into, alpha = {}, [0.0]
+        for end in range(1, len(unit) + 1):
+            edges = [(end - 1, int(v.byte[unit[end - 1]]))] + [(a, by_text[unit[a:end]]) for a in range(end - 1, max(-1, end - v.longest - 1), -1) if unit[a:end] in by_text]
+            mass = [alpha[a] + v.weight[i] for a, i in edges]
+            alpha.append(float(np.logaddexp.reduce(mass)))
+            into[end] = [(e, math.exp(m - alpha[-1])) for e, m in zip(edges, mass, strict=True)]
+        at, step, drawn, start = len(unit), 0, [], mix((key + place) & mask)
+        while at:
+            u, total = (mix((start + step * 0x9E3779B97F4A7C15) & mask) >> 11) * 2.0**-53, 0.0
+            for (source, piece), share in into[at]:  # noqa: B007
+                total += share
+                if total > u:
+                    break
+            drawn.append(piece)
+            at, step = source, step + 1
+        out += drawn[::-1]
+    return out
+
+
+def test_whole_texts_equal_a_plain_sampler():
+    v = pieces.vocabulary(pieces.MODEL)
+    rng = random.Random(15)
+    parts = ["the", "there", "internationalization", "語言模型", "é", "\U0001f600", "x", ",", "\n", "\n\n", "  ", " ", "▁", "\t", "https://example.org/a?b=c"]
+    texts = ["", " ", "\n", *("".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(rng.randrange(40))) for _ in range(60))]
+    keys = np.array([rng.randrange(10**9) for _ in texts])
+    ids, counts, _ = pieces.encode_block(texts, keys, v)
+    at = np.concatenate(([0], np.cumsum(counts)))
+    for n, (text, key) in enumerate(zip(texts, keys, strict=True)):
+        assert ids[at[n] : at[n + 1]].tolist() == plain_pieces(text, int(key), v), repr(text)
+
+
 @pytest.mark.parametrize("unit", ["語言模型", "aGVsbG8gd29ybGQ"])
 def test_long_units_do_not_depend_on_their_company(unit):
     v = pieces.vocabulary(pieces.MODEL)
