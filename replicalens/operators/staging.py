@@ -4,24 +4,29 @@ from __future__ import annotations
 
 import hashlib
 import re
-from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-LONGEST = 200
+# The longest part, and the bytes that stay as they are.
+LONGEST, KEPT = 200, b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-._~"
 
 
 def safe_component(name: str) -> str:
-    """One path part that no other name makes: percent-encoded, dots alone spelled out, long ones cut and told apart by digest."""
-    out = quote(name, safe="", errors="surrogateescape") or "%"
-    out = out.replace(".", "%2E") if not out.strip(".") else out
-    if len(out) > LONGEST:
-        mark = hashlib.sha1(name.encode("utf-8", "surrogateescape")).hexdigest()[:20]
-        out = f"{out[: LONGEST - 21]}~{mark}"
-    return out
+    """One path part that no other name makes, of at most LONGEST characters.
+
+    Bytes that a URL path may hold as they are stay; all others, and the dots of a name that has nothing else, become %XX,
+    and no name at all a lone %. A part that is too long keeps its start and ends in a tilde, which an encoded name
+    may hold too but not at that length, and 20 digits of the name's SHA-1.
+    """
+    data = name.encode("utf-8", "surrogateescape")
+    kept = b"" if set(data) == {ord(".")} else KEPT
+    part = "".join(chr(b) if b in kept else f"%{b:02X}" for b in data)
+    if len(part) <= LONGEST:
+        return part or "%"
+    return "~".join([part[: LONGEST - 21], hashlib.sha1(data).hexdigest()[:20]])
 
 
 @F.pandas_udf(StringType())

@@ -169,14 +169,22 @@ def test_fuzzy_examples(spark):
 
 
 def test_index_statuses(spark):
-    docs = spark.createDataFrame([("p", "b.md", "B", "ok"), ("p", "A b.md", None, "ok"), ("q", "x.md", None, "zero_byte")], "project_key string, filename string, name string, state string")
-    block = "\n".join([memory.BEGIN, "- [A b](A%20b.md)", "- [B](b.md)", memory.END])
-    texts = [("p", None, "created"), ("p", "own words", "kept-handwritten"), ("p", f"x\n{memory.END}\n{memory.BEGIN}", "kept-malformed"), ("p", f"x\n{block}\ny", "unchanged"), ("p", f"x\n{memory.BEGIN}\n{memory.END}\ny", "rebuilt"), ("q", None, "kept-unreadable"), ("r", None, "empty")]
-    for project, text, want in texts:
+    docs = spark.createDataFrame([("p", "b.md", "B", " of b\t2 ", "ok"), ("p", "A b.MD", None, None, "ok"), ("q", "x.md", None, None, "zero_byte")], "project_key string, filename string, name string, description string, state string")
+    inside = ["- [A b](A%20b.MD)", "- [B](b.md) — of b 2"]
+    block = "\n".join([memory.BEGIN, *inside, memory.END])
+    indented = f"x\n  {memory.BEGIN}\nown\n  {memory.END}\n"
+    texts = [
+        ("p", None, "created", f"{memory.HEADING}\n\n{block}\n"), ("p", "own words", "kept-handwritten", "own words"), ("p", indented, "kept-handwritten", indented), ("p", f"x\n{memory.END}\n{memory.BEGIN}", "kept-malformed", f"x\n{memory.END}\n{memory.BEGIN}"),
+        ("p", f"x\n{block}\ny", "unchanged", f"x\n{block}\ny"), ("p", f"x\r\n{memory.BEGIN}\n{memory.END}\ny\r\nz", "rebuilt", f"x\r\n{block}\ny\r\nz"), ("p", f"x\n{memory.BEGIN}\r\nold\r\n{memory.END}", "rebuilt", "x\n" + block.replace("\n", "\r\n") + "\r\n"),
+        ("q", None, "kept-unreadable", None), ("r", None, "empty", None),
+    ]
+    for project, text, want, content in texts:
         got = memory.index_plan(docs, spark.createDataFrame([(project, text)], "project_key string, text string")).collect()
-        assert got[0].status == want
-        if want in ("rebuilt", "unchanged"):
-            assert got[0].content == f"x\n{block}\ny"
+        assert (got[0].status, got[0].content) == (want, content)
+    told = memory.index_plan(docs, spark.createDataFrame([("p", "[b](b.md) [c](C.md) [m](MEMORY.md)")], "project_key string, text string")).first()
+    assert told.missing == ["A b.MD"] and told.stale == ["c.md"]
+    links = spark.createDataFrame([("p",)], "project_key string")
+    assert memory.index_plan(docs, spark.createDataFrame([("p", block)], "project_key string, text string"), links=links).first().status == "kept-symlink-leaf"
 
 
 def test_bindings_go_in_order_and_duplicates_block(spark):
