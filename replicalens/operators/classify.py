@@ -7,22 +7,19 @@ from pyspark.sql import functions as F
 
 from . import shape
 from .graph import classify_supersets
+from .lineage import cut
 
 S = shape.SESSION
 
 
 def pair_features(lines: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """One row per session that is on both sides, with what the decision needs."""
-    p = shape.profiles(lines, files)
-    names = ["has_bad", "n_uuid", "active_tip", "n_roots"]
-    side = lambda s: p.where(F.col("side") == s).select(*S, *[F.col(c).alias(f"{c}_{s}") for c in names])
-    both = side("local").join(side("hub"), S)
-    return both.join(shape.inclusion(lines), S, "left").join(shape.uuid_relations(lines), S, "left")
+    return shape.features(lines, files).where("here_local AND here_hub")
 
 
 def classify(lines: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """project_key, sid, klass, direction, metadata_differs."""
-    f = pair_features(lines, files)
+    f = cut(pair_features(lines, files))
     # The first rules; what they leave to the graph is marked by the direction it would take.
     early = (
         F.when(F.expr("has_bad_local OR has_bad_hub OR coalesce(torn_local, false) OR coalesce(torn_hub, false)"), "damaged")

@@ -8,17 +8,33 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_root(spark: SparkSession) -> str:
+    """spark.checkpoint.dir; only a session on one machine may leave that unset."""
+    if root := spark.conf.get("spark.checkpoint.dir", None):
+        return root
+    if not spark.conf.get("spark.master", "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return "file:///tmp/checkpoints/replicalens"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """df, written below spark.checkpoint.dir and read from there; a folder of our own serves where none is set."""
+    """df, written below the shared folder and read from there."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/replicalens"
-    path = f"{root.rstrip('/')}/lineage-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark).rstrip('/')}/lineage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_drop, spark, path)
+    atexit.register(drop, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _drop(spark: SparkSession, path: str) -> None:
+def replaced(old: DataFrame, new: DataFrame) -> DataFrame:
+    """new, cut; the table of old, a round's result that only new is made of, goes."""
+    made = cut(new)
+    for path in {f.rpartition("/")[0] for f in old.inputFiles()}:
+        drop(old.sparkSession, path)
+    return made
+
+
+def drop(spark: SparkSession, path: str) -> None:
     """Through Spark's own file systems, as long as there is a session."""
     try:
         folder = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import TITLE_TYPES, VOLATILE_TYPES
-from .lineage import cut
+from .lineage import cut, replaced
 
 SESSION = ["project_key", "sid"]
 SIDED = ["side", *SESSION]
@@ -107,42 +107,89 @@ def unique_newest(leaves: DataFrame) -> DataFrame:
     return top.join(at, SESSION, "left").select(*SESSION, F.when((F.col("untimed") == 0) & (F.col("n") == 1), F.col("uuid")).alias("tip"))
 
 
-def session_meta(lines: DataFrame, tail: int = 20) -> DataFrame:
-    """Per side and session: digests of all hashes and of the last ones in order, each followed by LF, and row counts; digests null where damaged."""
-    damaged = F.bool_or(~F.col("ok"))
-    rows = F.array_sort(F.collect_list(F.when(F.col("ok"), F.struct("idx", "canon_hash"))))
+def session_meta(lines: DataFrame, files: DataFrame | None = None, tail: int = 20) -> DataFrame:
+    """Per side and session: digests of all hashes and of the last ones in order, each followed by LF, and row counts.
+
+    Digests are null where a line can't be read, a uuid has two contents or the file itself is damaged; files without
+    lines have a row too.
+    """
+    named = F.col("ok") & has_uuid()
+    row = F.struct("idx", "canon_hash", F.when(has_uuid(), F.col("uuid")).alias("uuid"))
+    grouped = lines.groupBy(*SIDED).agg(F.array_sort(F.collect_list(F.when(F.col("ok"), row))).alias("rows"), F.bool_or(~F.col("ok")).alias("bad"), F.count_if("ok").alias("line_count"), F.count_if(named).alias("uuid_count"))
+    if files is not None:
+        grouped = files.select(*SIDED, (F.col("state") != "ok").alias("unread")).join(grouped, SIDED, "left")
+        grouped = grouped.withColumn("bad", F.col("unread") | F.coalesce("bad", F.lit(False))).withColumn("rows", F.coalesce("rows", F.slice("rows", 1, 0), F.from_json(F.lit("[]"), lines.sparkSession.createDataFrame([], "rows array<struct<idx:int,canon_hash:string,uuid:string>>").schema["rows"].dataType)))
+        grouped = grouped.fillna(0, ["line_count", "uuid_count"])
+    of_uuid = lambda get: F.size(F.array_distinct(F.transform(F.filter("rows", lambda r: r["uuid"].isNotNull()), get)))
+    torn = of_uuid(lambda r: r["uuid"]) < of_uuid(lambda r: F.struct(r["uuid"], r["canon_hash"]))
     digest = lambda x: F.sha2(F.array_join(F.transform(x, lambda r: F.concat(r["canon_hash"], F.lit("\n"))), ""), 256)
-    grouped = lines.groupBy(*SIDED).agg(rows.alias("rows"), damaged.alias("damaged"), F.count_if("ok").alias("line_count"), F.count_if(F.col("ok") & has_uuid()).alias("uuid_count"))
     last = F.slice("rows", F.greatest(F.size("rows") - tail + 1, F.lit(1)), F.lit(tail))
-    whole = ~F.col("damaged")
+    whole = ~F.col("bad") & ~torn
     return grouped.select(*SIDED, F.when(whole, digest(F.col("rows"))).alias("content_hash"), F.when(whole, digest(last)).alias("tail_hash"), "line_count", "uuid_count", (F.col("line_count") - F.col("uuid_count")).alias("non_uuid_count"))
 
 
-def profiles(lines: DataFrame, files: DataFrame | None = None) -> DataFrame:
-    """Per side and session: damage, number of uuid rows, tip and non-system roots; files without rows keep one."""
-    base = lines.groupBy(*SIDED).agg(F.bool_or(~F.col("ok")).alias("has_bad"), F.count_if(F.col("ok") & has_uuid()).alias("n_uuid"))
+SIDES = ("local", "hub")
+
+
+def features(lines: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """One row per session with all that the rules for pairs ask of it, from three groupings, each of the one before.
+
+    For each side: here, has_bad, n_uuid, torn, n_roots (non-system roots) and active_tip; n_common, rewritten; same,
+    local_in_hub, hub_in_local and same_full of the multisets. By line content first, then by uuid, where rows meet the
+    rows that name them as parent, then by session.
+    """
+    key = [*SESSION, "uuid", "canon_hash"]
+    rows = lines.withColumn("uuid", F.when(F.col("ok"), F.nullif(F.col("uuid"), F.lit("")))).withColumn("canon_hash", F.when(F.col("ok"), F.col("canon_hash")))
+    rows = rows.withColumn("compares", F.col("ok") & counts_for_compare())
+    cursor = F.col("ok") & (F.col("type") == "last-prompt") & (F.coalesce("leaf_uuid", F.lit("")) != "")
+    at = lambda s, more: (F.col("side") == s) & more
+    by_line = rows.groupBy(*key).agg(
+        *[F.count_if(at(s, F.col("ok"))).alias(f"n_{s}") for s in SIDES], *[F.count_if(at(s, F.col("compares"))).alias(f"c_{s}") for s in SIDES],
+        *[F.count_if(at(s, ~F.col("ok"))).alias(f"bad_{s}") for s in SIDES], *[F.max(F.when(at(s, cursor), F.struct("idx", "leaf_uuid"))).alias(f"tip_{s}") for s in SIDES],
+        *[F.count_if(F.col("side") == s).alias(f"here_{s}") for s in SIDES],
+    )
+    counted = [f"{x}_{s}" for x in ("n", "c", "bad", "here") for s in SIDES]
+    zero = F.lit(0).cast("long")
+    none = lambda x: [F.lit(None).cast(x.schema[f"tip_{s}"].dataType).alias(f"tip_{s}") for s in SIDES]
+    by_line = by_line.withColumns({f"child_{s}": zero for s in SIDES})
+    # Rows that would be roots if their parent had no row: they are told to the parent.
+    named = lines.where(F.col("ok") & has_uuid() & ~F.col("type").eqNullSafe("system"))
+    told = named.select(*SESSION, F.col("parent").alias("uuid"), F.lit(None).cast("string").alias("canon_hash"), *[zero.alias(c) for c in counted], *none(by_line), *[(F.col("side") == s).cast("long").alias(f"child_{s}") for s in SIDES])
+    every = by_line.unionByName(told)
     if files is not None:
-        base = files.select(*SIDED, "state").join(base, SIDED, "left").select(*SIDED, (F.coalesce("has_bad", F.lit(False)) | (F.col("state") != "ok")).alias("has_bad"), F.coalesce("n_uuid", F.lit(0)).alias("n_uuid"))
-    others = roots(lines).where(~F.col("type").eqNullSafe("system")).groupBy(*SIDED).agg(F.count("*").alias("n_roots"))
-    return base.join(active_tips(lines), SIDED, "left").join(others, SIDED, "left").withColumn("n_roots", F.coalesce("n_roots", F.lit(0)))
+        own = files.select(*SESSION, F.lit(None).cast("string").alias("uuid"), F.lit(None).cast("string").alias("canon_hash"), *[zero.alias(c) for c in counted if c[:3] in ("n_l", "n_h", "c_l", "c_h")], *none(by_line), *[zero.alias(f"child_{s}") for s in SIDES], *[((F.col("side") == s) & (F.col("state") != "ok")).cast("long").alias(f"bad_{s}") for s in SIDES], *[(F.col("side") == s).cast("long").alias(f"here_{s}") for s in SIDES])
+        every = every.unionByName(own)
+    both = (F.col("n_local") > 0) & (F.col("n_hub") > 0)
+    by_uuid = every.groupBy(*SESSION, "uuid").agg(
+        *[F.sum(f"{x}_{s}").alias(f"{x}_{s}") for x in ("bad", "here", "child", "n") for s in SIDES], *[F.max(f"tip_{s}").alias(f"tip_{s}") for s in SIDES], *[F.count_if(F.col(f"n_{s}") > 0).alias(f"hashes_{s}") for s in SIDES],
+        F.bool_or(both).alias("shared"), F.bool_and(F.expr("c_local = c_hub")).alias("same"), F.bool_and(F.expr("c_local <= c_hub")).alias("local_in_hub"), F.bool_and(F.expr("c_hub <= c_local")).alias("hub_in_local"), F.bool_and(F.expr("n_local = n_hub")).alias("same_full"),
+    )
+    named = F.col("uuid").isNotNull()
+    known = {s: named & (F.col(f"n_{s}") > 0) for s in SIDES}
+    return by_uuid.groupBy(*SESSION).agg(
+        *[(F.sum(f"here_{s}") > 0).alias(f"here_{s}") for s in SIDES], *[(F.sum(f"bad_{s}") > 0).alias(f"has_bad_{s}") for s in SIDES], *[F.sum(F.when(named, F.col(f"n_{s}")).otherwise(0)).alias(f"n_uuid_{s}") for s in SIDES],
+        *[F.bool_or(named & (F.col(f"hashes_{s}") > 1)).alias(f"torn_{s}") for s in SIDES], *[F.sum(F.when(known[s], 0).otherwise(F.col(f"child_{s}"))).alias(f"n_roots_{s}") for s in SIDES],
+        *[F.max(f"tip_{s}")["leaf_uuid"].alias(f"active_tip_{s}") for s in SIDES], F.count_if(known["local"] & known["hub"]).alias("n_common"), F.bool_or(known["local"] & known["hub"] & ~F.col("shared")).alias("rewritten"),
+        *[F.bool_and(x).alias(x) for x in ("same", "local_in_hub", "hub_in_local", "same_full")],
+    )
 
 
-def ancestors(lines: DataFrame) -> DataFrame:
-    """(side, project_key, sid, uuid, ancestor), each row its own ancestor first; parents that no row has are kept.
+def ancestors(lines: DataFrame, of: DataFrame) -> DataFrame:
+    """(side, project_key, sid, uuid, ancestor) for the rows that of(side, project_key, sid, uuid) names, each its own ancestor first.
 
-    Paths double in each round, so a chain of n rows takes about log2 n joins.
+    Parents that no row has are reached and not left; of rows that share a uuid the last one's parent counts. Jumps double
+    in each round, so a chain of n rows takes about log2 n joins, and only what is asked for is spread out.
     """
     named = lines.where(F.col("ok") & has_uuid())
     edges = named.groupBy(*SIDED, "uuid").agg(F.max_by("parent", "idx").alias("parent")).where(F.col("parent").isNotNull())
-    out = cut(edges.select(*SIDED, "uuid", F.col("parent").alias("ancestor")))
+    jumps = cut(edges.select(*SIDED, F.col("uuid").alias("ancestor"), F.col("parent").alias("farther")))
+    out = cut(of.select(*SIDED, "uuid", F.col("uuid").alias("ancestor")).distinct())
     n = out.count()
     while True:
-        # Paths of up to twice the length: what a path's end reaches is added to its start.
-        on_from = out.select(*SIDED, F.col("uuid").alias("ancestor"), F.col("ancestor").alias("farther"))
-        longer = out.join(on_from, [*SIDED, "ancestor"]).select(*SIDED, "uuid", F.col("farther").alias("ancestor"))
-        out = cut(out.unionByName(longer).distinct())
+        longer = out.join(jumps, [*SIDED, "ancestor"]).select(*SIDED, "uuid", F.col("farther").alias("ancestor"))
+        out = replaced(out, out.unionByName(longer).distinct())
         before, n = n, out.count()
         if n == before:
-            break
-    own = named.select(*SIDED, "uuid", F.col("uuid").alias("ancestor"))
-    return out.unionByName(own).distinct()
+            return out
+        twice = jumps.select(*SIDED, F.col("ancestor").alias("farther"), F.col("farther").alias("next"))
+        jumps = replaced(jumps, jumps.join(twice, [*SIDED, "farther"]).select(*SIDED, "ancestor", F.col("next").alias("farther")))

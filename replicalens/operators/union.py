@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import shape
+from .lineage import cut
 
 S = shape.SESSION
 
@@ -48,41 +49,65 @@ def ordered(lines: DataFrame) -> DataFrame:
     return kept.withColumn("pos", F.row_number().over(W.partitionBy(*S).orderBy("seg", "pos")) - 1).drop("seg", "nth", "k", "side")
 
 
-def outcomes(lines: DataFrame, chosen: DataFrame | None = None) -> DataFrame:
-    """project_key, sid, outcome (merged, fallback or needs-decision) and tip of each session that both sides have."""
-    sides = shape.profiles(lines)
-    pair = sides.groupBy(*S).agg(F.countDistinct("side").alias("sides"), F.bool_or("has_bad").alias("bad"), F.min("n_uuid").alias("n_uuid")).where("sides = 2")
-    pair = pair.join(shape.uuid_relations(lines), S, "left")
-    rows = ordered(lines).withColumn("side", F.lit("union")).withColumn("idx", F.col("pos"))
-    known = rows.where(F.col("uuid").isNotNull()).select(*S, F.col("uuid").alias("parent")).distinct()
-    dropped = lines.where(F.col("ok") & shape.volatile() & shape.has_uuid()).select(*S, F.col("uuid").alias("parent")).distinct()
-    orphans = rows.join(dropped, [*S, "parent"], "left_semi").join(known, [*S, "parent"], "left_anti").select(*S).distinct().withColumn("orphan", F.lit(True))
-    n_roots = shape.roots(rows).where(~F.col("type").eqNullSafe("system")).groupBy(*S).agg(F.count("*").alias("n_roots"))
-    leaves = shape.genuine_leaves(rows)
-    tips = shape.unique_newest(leaves)
-    n_leaves = leaves.groupBy(*S).agg(F.countDistinct("uuid").alias("n_leaves"))
-    f = pair.join(orphans, S, "left").join(n_roots, S, "left").join(n_leaves, S, "left").join(tips, S, "left").join(_cyclic(rows), S, "left")
+def union_features(rows: DataFrame, lines: DataFrame) -> DataFrame:
+    """Per session of a union's rows: orphan, n_roots, n_leaves, tip, winds, from groupings by uuid and by session.
+
+    orphan: a row's parent is a bookkeeping row that the union leaves out. winds: a row stands before its parent, without
+    which no path can come back.
+    """
+    nothing = lambda kind: F.lit(None).cast(kind)
+    leaf = ~F.col("is_sidechain") & ~F.col("is_tool_fanout")
+    own = rows.where(F.col("uuid").isNotNull()).select(*S, "uuid", F.col("pos").alias("at"), F.when(leaf, F.struct(F.col("ts").isNotNull().alias("timed"), "ts")).alias("leaf"), nothing("int").alias("child_at"), F.lit(0).alias("child"), F.lit(False).alias("left_out"))
+    top = (F.col("uuid").isNotNull() & ~F.col("type").eqNullSafe("system")).cast("int")
+    told = rows.select(*S, F.col("parent").alias("uuid"), nothing("int").alias("at"), nothing(own.schema["leaf"].dataType).alias("leaf"), F.when(F.col("uuid").isNotNull(), F.col("pos")).alias("child_at"), top.alias("child"), F.lit(False).alias("left_out"))
+    out = lines.where(F.col("ok") & shape.volatile() & shape.has_uuid()).select(*S, "uuid", nothing("int").alias("at"), nothing(own.schema["leaf"].dataType).alias("leaf"), nothing("int").alias("child_at"), F.lit(0).alias("child"), F.lit(True).alias("left_out"))
+    # A row that only tells of its parent counts as a use of it, whether or not it has a uuid.
+    told = told.withColumn("used", F.lit(True))
+    every = told.unionByName(own.withColumn("used", F.lit(False))).unionByName(out.withColumn("used", F.lit(False)))
+    by_uuid = every.groupBy(*S, "uuid").agg(F.max("at").alias("at"), F.max("leaf").alias("leaf"), F.min("child_at").alias("child_at"), F.sum("child").alias("child"), F.bool_or("left_out").alias("left_out"), F.bool_or("used").alias("used"))
+    there = F.col("uuid").isNotNull() & F.col("at").isNotNull()
+    is_leaf = there & F.col("leaf").isNotNull() & ~F.col("used")
+    # By time first, so that the newest leaves and their number come out of sums.
+    by_time = by_uuid.groupBy(*S, F.when(is_leaf, F.col("leaf")).alias("leaf")).agg(
+        F.count_if(is_leaf).alias("n"), F.min(F.when(is_leaf, F.col("uuid"))).alias("first"), F.sum(F.when(there, 0).otherwise(F.col("child"))).alias("n_roots"),
+        F.bool_or(~there & F.col("uuid").isNotNull() & F.col("left_out") & F.col("used")).alias("orphan"), F.bool_or(there & F.coalesce(F.col("child_at") <= F.col("at"), F.lit(False))).alias("winds"),
+    )
+    newest = F.max(F.when(F.col("leaf").isNotNull(), F.struct("leaf", "n", "first")))
+    found = by_time.groupBy(*S).agg(F.sum("n").alias("n_leaves"), F.sum("n_roots").alias("n_roots"), F.bool_or("orphan").alias("orphan"), F.bool_or("winds").alias("winds"), newest.alias("top"), F.count_if(F.col("leaf.timed") == False).alias("untimed"))  # noqa: E712
+    alone = (F.col("untimed") == 0) & (F.col("top.n") == 1)
+    return found.select(*S, "orphan", "n_roots", "n_leaves", F.when(alone, F.col("top.first")).alias("tip"), "winds")
+
+
+def outcomes(lines: DataFrame, chosen: DataFrame | None = None, files: DataFrame | None = None) -> DataFrame:
+    """project_key, sid, outcome (merged, fallback or needs-decision) and tip of each session that both sides have.
+
+    A session whose side has a file without lines is only known by files(side, project_key, sid, state).
+    """
+    pair = shape.features(lines, files).where("here_local AND here_hub").select(*S, F.expr("has_bad_local OR has_bad_hub OR n_uuid_local = 0 OR n_uuid_hub = 0 OR n_common = 0 OR rewritten OR torn_local OR torn_hub").alias("apart"))
+    rows = cut(ordered(lines))
+    f = pair.join(cut(union_features(rows, lines)), S, "left")
+    f = f.join(_cyclic(rows, f.where("winds AND NOT apart")), S, "left")
     if chosen is not None:
+        leaves = shape.genuine_leaves(rows.withColumn("side", F.lit("union")).withColumn("idx", F.col("pos")))
         picked = chosen.join(leaves.select(*S, F.col("uuid").alias("chosen_tip")).distinct(), [*S, "chosen_tip"], "left_semi").select(*S, F.col("chosen_tip").alias("picked"))
         f = f.join(chosen.select(*S, F.lit(True).alias("asked")), S, "left").join(picked, S, "left").withColumn("tip", F.when(F.col("asked"), F.col("picked")).otherwise(F.col("tip")))
-    unable = F.expr("bad OR n_uuid = 0 OR coalesce(n_common, 0) = 0 OR rewritten OR torn_local OR torn_hub OR coalesce(orphan, false) OR coalesce(n_roots, 0) > 1 OR coalesce(n_leaves, 0) = 0 OR coalesce(cyclic, false)")
+    unable = F.expr("apart OR coalesce(orphan, false) OR coalesce(n_roots, 0) > 1 OR coalesce(n_leaves, 0) = 0 OR coalesce(cyclic, false)")
     outcome = F.when(unable, "fallback").when(F.col("tip").isNull(), "needs-decision").otherwise("merged")
     return f.select(*S, outcome.alias("outcome"), F.when(outcome == "merged", F.col("tip")).alias("tip"))
 
 
-def _cyclic(rows: DataFrame) -> DataFrame:
-    """Sessions whose parents lead back to where they started."""
+def _cyclic(rows: DataFrame, which: DataFrame) -> DataFrame:
+    """Of which(project_key, sid), the sessions whose parents lead back to where they started."""
     import pandas as pd
 
     from .graph import Side
 
     def walk(frame: pd.DataFrame) -> pd.DataFrame:
-        parent = frame.sort_values("idx").astype(object).where(frame.notna(), None)
         side = Side([])
-        side.parent = dict(zip(parent["uuid"], parent["parent"], strict=True))
+        side.parent = {u: None if pd.isna(p) else p for u, p in zip(frame["uuid"], frame["parent"], strict=True)}
         return pd.DataFrame({"project_key": frame["project_key"][:1], "sid": frame["sid"][:1], "cyclic": [side.cyclic()]})
 
-    edges = rows.where(F.col("uuid").isNotNull()).select(*S, "idx", "uuid", "parent")
+    edges = rows.where(F.col("uuid").isNotNull()).select(*S, "uuid", "parent").join(which.select(*S), S, "left_semi")
     return edges.groupBy(*S).applyInPandas(walk, "project_key string, sid string, cyclic boolean")
 
 
