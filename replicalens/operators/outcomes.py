@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .plan import snapshot_drift
 
 # What an unchanged action results in.
-RESULTS = {"identical": "identical", "copy-to-hub": "copied-to-hub", "copy-to-local": "copied-to-local", "suppressed-deleted": "suppressed", "local-deleted": "tombstoned-local-deletion"}
+RESULTS = {"identical": "identical", "copy-to-hub": "copied-to-hub", "copy-to-local": "copied-to-local", "local-deleted": "tombstoned-local-deletion"}
 WROTE = ("applied-ff-hub", "copied-to-hub", "copied-to-local", "kept-both-local", "tombstoned-local-deletion")
 
 
@@ -36,6 +36,48 @@ def apply_outcomes(before: DataFrame, now: DataFrame, snapshot_before: DataFrame
     return rows.select(*keys, "action", result.alias("result"))
 
 
+def _as_planned(rows: DataFrame, result) -> DataFrame:
+    """result where now_action is still action; else what has come up: a deletion holds, a conflict over one is told."""
+    return rows.withColumn("result", F.when(F.col("now_action").eqNullSafe(F.col("action")), result).when(F.col("now_action") == "suppressed-deleted", "suppressed").when(F.col("now_action") == "conflict-delete-vs-update", "reported").otherwise("skipped-changed"))
+
+
+def memory_outcomes(plan: DataFrame, now: DataFrame, after: DataFrame, projects: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """project_key, name, action, result of a memory plan, in two phases.
+
+    Deletions are judged by the plan made now; all else by the one made after their markers were written, as a marker can
+    turn a copy into a return of what was deleted. projects(project_key, initialized, allowed); links(project_key, name)
+    are documents that are links on either side, of which nothing is taken for granted.
+    """
+    keys = ["project_key", "name"]
+    first = plan.where("action = 'local-deleted'").join(now.select(*keys, F.col("action").alias("now_action")), keys, "left")
+    second = plan.where("action <> 'local-deleted'").join(after.select(*keys, F.col("action").alias("now_action")), keys, "left")
+    rows = first.unionByName(second).select(*keys, "action", "now_action")
+    rows = rows.join(projects.select("project_key", "initialized", "allowed"), "project_key", "left")
+    linked = links.select(*keys, F.lit(True).alias("linked")).distinct() if links is not None else rows.select(*keys, F.lit(True).alias("linked")).limit(0)
+    rows = rows.join(linked, keys, "left")
+    done = F.create_map(*[F.lit(x) for pair in RESULTS.items() for x in pair])[F.col("action")]
+    rows = _as_planned(rows, done)
+    result = F.when(done.isNull(), "reported").when(~F.coalesce("initialized", F.lit(False)), "blocked-uninitialized").when(F.expr("allowed = false OR linked"), "skipped-changed").otherwise(F.col("result"))
+    return rows.select(*keys, "action", result.alias("result"))
+
+
+def transfer_outcomes(plan: DataFrame, now: DataFrame, source: str, arrived: DataFrame | None = None) -> DataFrame:
+    """project_key, sid, action, result of a transfer from the source side; arrived(project_key, sid) came up at the destination meanwhile.
+
+    What goes to the local side never replaces a file; what goes to a hub may.
+    """
+    keys = ["project_key", "sid"]
+    rows = plan.join(now.select(*keys, F.col("action").alias("now_action")), keys, "left")
+    here = arrived.select(*keys, F.lit(True).alias("there")).distinct() if arrived is not None else rows.select(*keys, F.lit(True).alias("there")).limit(0)
+    rows = rows.join(here, keys, "left")
+    if source == "hub":
+        done = F.when((F.col("action") == "transfer-copy") & F.col("there").isNull(), "copied-to-local").otherwise("kept-both-local")
+    else:
+        done = F.when(F.col("action") == "transfer-copy", "copied-to-remote").otherwise("applied-ff-remote")
+    result = F.when(~F.col("action").isin("transfer-copy", "transfer-ff"), "reported").when(F.col("now_action").eqNullSafe(F.col("action")), done).otherwise("skipped-changed")
+    return rows.select(*keys, "action", result.alias("result"))
+
+
 def flags(outcomes: DataFrame) -> DataFrame:
     """wrote_anything, had_error of a run."""
     return outcomes.agg(F.coalesce(F.bool_or(F.col("result").isin(*WROTE)), F.lit(False)).alias("wrote_anything"), F.coalesce(F.bool_or(F.col("result") == "error"), F.lit(False)).alias("had_error"))

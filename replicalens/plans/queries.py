@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import acks, baseline, classify, conflicts, diagnose, fuzzy, memory, outcomes, plan, shape, staging, transfer, union
+from ..operators import acks, baseline, classify, conflicts, diagnose, fuzzy, memory, outcomes, plan, records, shape, staging, transfer, union
 from ..operators import projects as project_rules
 from ..operators.lineage import cut
 from ..sources import ingest, sinks
@@ -207,16 +207,14 @@ def result_counts(spark, d):
     return plan.result_counts(session_plan(spark, d))
 
 
-@query("nudge_summary", PLAN + "SELECT count(*) FILTER (action IN ('copy-to-hub', 'copy-to-local', 'fast-forward', 'suppressed-deleted', 'local-deleted')) AS updates, count(*) FILTER (action NOT IN ('copy-to-hub', 'copy-to-local', 'fast-forward', 'suppressed-deleted', 'local-deleted', 'identical')) AS conflicts FROM plan WHERE project_key <> 'p2'")
-def nudge_summary(spark, d):
-    return plan.nudge(session_plan(spark, d), table(spark, d, "bound"))
-
-
-@query("transfer_plan", KLASS + """, folded AS (SELECT project_key, name, bool_or(side = 'local') AS l, bool_or(side = 'hub') AS h, min(raw_sha256) FILTER (side = 'local') AS rl, min(raw_sha256) FILTER (side = 'hub') AS rh, bool_or(usable) FILTER (side = 'hub') AS uh FROM presence GROUP BY ALL)
-SELECT f.project_key, f.name AS sid, CASE WHEN t.valid AND base_hash IS NOT NULL AND (NOT l OR rl = base_hash) AND (NOT h OR rh = base_hash) THEN 'suppressed-deleted' WHEN t.valid THEN 'conflict-delete-vs-update' WHEN NOT t.valid THEN 'blocked-tombstone-corrupt'
+TRANSFER = KLASS + """, folded AS (SELECT project_key, name, bool_or(side = 'local') AS l, bool_or(side = 'hub') AS h, min(raw_sha256) FILTER (side = 'local') AS rl, min(raw_sha256) FILTER (side = 'hub') AS rh, bool_or(usable) FILTER (side = 'hub') AS uh FROM presence GROUP BY ALL),
+transferred AS (SELECT f.project_key, f.name AS sid, CASE WHEN t.valid AND base_hash IS NOT NULL AND (NOT l OR rl = base_hash) AND (NOT h OR rh = base_hash) THEN 'suppressed-deleted' WHEN t.valid THEN 'conflict-delete-vs-update' WHEN NOT t.valid THEN 'blocked-tombstone-corrupt'
   WHEN NOT h THEN 'source-absent' WHEN NOT l THEN CASE WHEN uh THEN 'transfer-copy' ELSE 'blocked-damaged-source' END WHEN klass = 'identical' THEN 'identical' WHEN klass = 'fast-forward' THEN CASE direction WHEN 'hub->local' THEN 'transfer-ff' ELSE 'dest-newer' END
   WHEN klass IN ('damaged', 'identity-collision') THEN 'blocked-' || klass ELSE 'needs-decision' END AS action
-FROM folded f LEFT JOIN tombs t ON t.project_key = f.project_key AND t.target = f.name LEFT JOIN klass k ON k.sid = f.name""")
+FROM folded f LEFT JOIN tombs t ON t.project_key = f.project_key AND t.target = f.name LEFT JOIN klass k ON k.sid = f.name)"""
+
+
+@query("transfer_plan", TRANSFER + "SELECT * FROM transferred")
 def transfer_plan(spark, d):
     return transfer.transfer_plan(_presence(spark, d), session_classify(spark, d), table(spark, d, "tombs"), "hub")
 
@@ -294,7 +292,7 @@ def identity_resurrection(spark, d):
     return memory.resurrections(table(spark, d, "docs"), table(spark, d, "mtombs")).drop("base_of_identity")
 
 
-@query("memory_plan", """, hits AS (SELECT side, docs.project_key, filename, count(DISTINCT target) AS m, min(base_hash) AS bh FROM docs JOIN mtombs t ON t.project_key = docs.project_key AND t.identity = docs.name AND t.target <> docs.filename GROUP BY ALL),
+MEMORY = """, hits AS (SELECT side, docs.project_key, filename, count(DISTINCT target) AS m, min(base_hash) AS bh FROM docs JOIN mtombs t ON t.project_key = docs.project_key AND t.identity = docs.name AND t.target <> docs.filename GROUP BY ALL),
 f AS (SELECT d.project_key, d.filename AS name, bool_or(d.side = 'local') AS l, bool_or(d.side = 'hub') AS h, min(content_hash) FILTER (d.side = 'local') AS cl, min(content_hash) FILTER (d.side = 'hub') AS ch, min(d.name) FILTER (d.side = 'local') AS il, min(d.name) FILTER (d.side = 'hub') AS ih,
   max(m) FILTER (d.side = 'local') AS ml, max(m) FILTER (d.side = 'hub') AS mh, max(bh) FILTER (d.side = 'local') AS bl, max(bh) FILTER (d.side = 'hub') AS bhh FROM docs d LEFT JOIN hits USING (side, project_key, filename) GROUP BY ALL),
 has_t AS (SELECT DISTINCT project_key FROM mtombs), nameless AS (SELECT DISTINCT project_key FROM docs WHERE side = 'local' AND name IS NULL),
@@ -310,8 +308,11 @@ acts AS (SELECT f.*, CASE
   WHEN h AND EXISTS (SELECT 1 FROM mbaseline b WHERE b.side = 'local' AND b.project_key = f.project_key AND b.name = f.name) THEN CASE WHEN (present = 0 AND known >= 2) OR (known >= 4 AND missing::DOUBLE / known >= 0.6) THEN 'blocked-bulk-local-deletion' WHEN nameless.project_key IS NOT NULL THEN 'blocked-tombstone-no-identity' ELSE 'local-deleted' END
   WHEN coalesce(cl, ch) IS NULL THEN 'blocked-damaged-source' WHEN l THEN 'copy-to-hub' ELSE 'copy-to-local' END AS action
   FROM f LEFT JOIN mtombs t ON t.project_key = f.project_key AND t.target = f.name LEFT JOIN has_t ON has_t.project_key = f.project_key LEFT JOIN nameless ON nameless.project_key = f.project_key LEFT JOIN kb ON kb.project_key = f.project_key),
-cross_named AS (SELECT project_key, filename FROM (SELECT project_key, name, filename, count(*) OVER (PARTITION BY project_key, name) AS n FROM (SELECT DISTINCT project_key, name, filename FROM docs WHERE name IS NOT NULL)) WHERE n >= 2)
-SELECT a.project_key, a.name, CASE WHEN a.action IN ('copy-to-hub', 'copy-to-local', 'identical', 'conflict-content', 'local-deleted') AND EXISTS (SELECT 1 FROM cross_named c WHERE c.project_key = a.project_key AND c.filename = a.name) THEN 'conflict-cross-file-identity' ELSE a.action END AS action FROM acts a""", DOCS)
+cross_named AS (SELECT project_key, filename FROM (SELECT project_key, name, filename, count(*) OVER (PARTITION BY project_key, name) AS n FROM (SELECT DISTINCT project_key, name, filename FROM docs WHERE name IS NOT NULL)) WHERE n >= 2),
+planned AS (SELECT a.project_key, a.name, CASE WHEN a.action IN ('copy-to-hub', 'copy-to-local', 'identical', 'conflict-content', 'local-deleted') AND EXISTS (SELECT 1 FROM cross_named c WHERE c.project_key = a.project_key AND c.filename = a.name) THEN 'conflict-cross-file-identity' ELSE a.action END AS action FROM acts a)"""
+
+
+@query("memory_plan", MEMORY + "SELECT * FROM planned", DOCS)
 def memory_plan(spark, d):
     t = lambda n: table(spark, d, n)
     every = t("msources")
@@ -319,6 +320,11 @@ def memory_plan(spark, d):
     return memory.memory_plan(t("docs"), t("mtombs"), t("mbaseline"), both, every, every)
 
 
+@query("nudge_summary", MEMORY + "SELECT count(*) FILTER (action IN ('copy-to-hub', 'copy-to-local', 'local-deleted')) AS updates, count(*) FILTER (action IN ('conflict-content', 'conflict-delete-vs-update', 'conflict-cross-file-identity')) AS conflicts FROM planned WHERE project_key NOT LIKE '%3'", DOCS)
+def nudge_summary(spark, d):
+    return memory.nudge(memory_plan(spark, d), table(spark, d, "msources").where("project_key NOT LIKE '%3'"))
+
+
 @query("fuzzy_candidates", """, once AS (SELECT * FROM docs WHERE state = 'ok' QUALIFY row_number() OVER (PARTITION BY project_key, lower(filename) ORDER BY side DESC, filename) = 1),
 words AS (SELECT project_key, filename, name, list_distinct(list_filter(regexp_split_to_array(lower(coalesce(name, '')), '[-_.]+'), lambda x: x <> '')) AS nt, list_distinct(regexp_extract_all(replace(lower(coalesce(description, '')), 'ß', 'ss'), '([a-z0-9]+|[㐀-鿿])', 1)) AS dt FROM once),
 pairs AS (SELECT a.project_key, a.filename AS a, b.filename AS b, a.name AS name_a, b.name AS name_b, len(list_intersect(a.nt, b.nt)) AS ni, len(a.nt) + len(b.nt) AS n2, len(list_intersect(a.dt, b.dt)) AS di, len(a.dt) + len(b.dt) AS d2, array_to_string(list_sort(list_intersect(a.nt, b.nt)), ',') AS shared
@@ -400,14 +406,131 @@ def ingest_lines(spark, d):
     return ingest.session_lines(named).select("sid", "idx", "uuid", "parent", "type")
 
 
-@query("known_vanished", "SELECT strftime(ts, '%Y-%m-%d') AS day, count(DISTINCT user_id) AS known, count(DISTINCT user_id) FILTER (event_type = 'purchase') AS seen FROM events GROUP BY ALL", None)
+@query("known_vanished", """, gone AS (SELECT DISTINCT b.project_key, b.name, p.name IS NULL AS lost FROM baseline b LEFT JOIN presence p ON p.side = 'hub' AND p.project_key = b.project_key AND p.name = b.name WHERE b.side = 'hub'),
+n AS (SELECT project_key, count(*) AS known, count(*) FILTER (lost) AS missing, grouping(project_key) AS g FROM gone GROUP BY ROLLUP (project_key))
+SELECT 'hub-fingerprint-changed' AS code, 'halt' AS severity UNION ALL SELECT DISTINCT 'known-sessions-vanished', 'halt' FROM n WHERE known >= CASE WHEN g = 1 THEN 8 ELSE 4 END AND missing::DOUBLE / known >= 0.6""")
 def known_vanished(spark, d):
-    e = spark.read.parquet(f"{d}/events.parquet")
-    return e.groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.countDistinct("user_id").alias("known"), F.countDistinct(F.when(F.col("event_type") == "purchase", F.col("user_id"))).alias("seen"))
+    """What must halt a plan whose hub has another fingerprint than before."""
+    lost = baseline.disappearance(table(spark, d, "baseline").where("side = 'hub'"), _presence(spark, d).where("side = 'hub'"))
+    return baseline.anomalies(True, "before", "now", lost)
+
+
+@query("known_set_hash", """, names AS (SELECT project_key, string_agg('"' || name || '"', ', ' ORDER BY name) AS names FROM (SELECT DISTINCT project_key, name FROM baseline WHERE side = 'hub') GROUP BY ALL)
+SELECT sha256('{' || string_agg('"' || project_key || '": [' || names || ']', ', ' ORDER BY project_key) || '}') AS known_hash FROM names""")
+def known_set_hash(spark, d):
+    return records.known_set_hash(table(spark, d, "baseline").where("side = 'hub'").select("project_key", "name"))
+
+
+MARKERS = """, markers AS (SELECT project_key, CASE WHEN CAST(target AS BIGINT) % 7 = 0 THEN 'acks.json' WHEN CAST(target AS BIGINT) % 7 = 1 THEN target || '.lock' ELSE target || '.deleted.json' END AS name, {sha}(target{bits}) AS raw_sha256 FROM tombs)"""
+DIGESTS = MARKERS + """, dirs AS (SELECT project_key, sha256('[' || string_agg('["' || name || '", "' || raw_sha256 || '"]', ', ' ORDER BY name) || ']') AS tomb_dir_digest FROM markers WHERE name <> 'acks.json' AND name NOT LIKE '%.lock' GROUP BY ALL)"""
+ENTRIES = """, states AS (SELECT i.project_key, i.name AS sid, sha256('{"binding": ' || CASE WHEN i.project_key = 'p3' THEN 'null' ELSE '"' || i.project_key || '"' END || ', "dir_asserted": ' || (i.project_key = 'p0')::VARCHAR || ', "dir_binding": "' || i.project_key
+  || '", "known": ' || EXISTS (SELECT 1 FROM baseline b WHERE b.side = 'hub' AND b.project_key = i.project_key AND b.name = i.name)::VARCHAR || ', "local_known": ' || EXISTS (SELECT 1 FROM baseline b WHERE b.side = 'local' AND b.project_key = i.project_key AND b.name = i.name)::VARCHAR
+  || ', "pk": "' || i.project_key || '", "sid": "' || i.name || '"}') AS state_entry FROM ids i)"""
+
+
+def _markers(spark, d):
+    n = F.col("target").cast("long") % 7
+    name = F.when(n == 0, "acks.json").when(n == 1, F.concat("target", F.lit(".lock"))).otherwise(F.concat("target", F.lit(".deleted.json")))
+    return table(spark, d, "tombs").select("project_key", name.alias("name"), F.sha2("target", 256).alias("raw_sha256"))
+
+
+def _states(spark, d):
+    ids = table(spark, d, "ids")
+    sessions = ids.select("project_key", F.col("name").alias("sid"), F.concat(F.lit("/work/"), "project_key").alias("cwd"), F.concat(F.lit("dir-"), "project_key").alias("local_dir"))
+    keys = ids.select("project_key").distinct()
+    cwds = keys.where("project_key <> 'p3'").select(F.concat(F.lit("/work/"), "project_key").alias("cwd"), F.col("project_key").alias("bound"))
+    dirs = keys.select(F.concat(F.lit("dir-"), "project_key").alias("local_dir"), F.col("project_key").alias("bound"))
+    return records.state_entries(sessions, table(spark, d, "baseline"), cwds, dirs, dirs.where("bound = 'p0'"))
+
+
+@query("tombstone_dir_digest", DIGESTS + "SELECT * FROM dirs")
+def tombstone_dir_digest(spark, d):
+    return records.marker_digests(_markers(spark, d))
+
+
+@query("state_entry_hash", ENTRIES + "SELECT * FROM states")
+def state_entry_hash(spark, d):
+    return _states(spark, d)
+
+
+@query("decision_snapshot", DIGESTS + ENTRIES + """, files AS (SELECT side, project_key, name || CASE WHEN conv_id % 6 = 0 THEN '.meta.json' ELSE '.jsonl' END AS name, CASE WHEN usable THEN raw_sha256 END AS raw_sha256 FROM presence UNION ALL SELECT DISTINCT 'hub', project_key, '_project.json', 'x' FROM ids WHERE project_key < 'p3')
+SELECT s.project_key, s.sid, coalesce((SELECT coalesce('sha:' || raw_sha256, 'err') FROM files f WHERE f.side = 'local' AND f.project_key = s.project_key AND f.name = s.sid || '.jsonl'), 'absent') AS local_data, coalesce((SELECT coalesce('sha:' || raw_sha256, 'err') FROM files f WHERE f.side = 'hub' AND f.project_key = s.project_key AND f.name = s.sid || '.jsonl'), 'absent') AS hub_data,
+  coalesce((SELECT coalesce('sha:' || raw_sha256, 'err') FROM files f WHERE f.side = 'local' AND f.project_key = s.project_key AND f.name = s.sid || '.meta.json'), 'absent') AS local_meta, coalesce((SELECT coalesce('sha:' || raw_sha256, 'err') FROM files f WHERE f.side = 'hub' AND f.project_key = s.project_key AND f.name = s.sid || '.meta.json'), 'absent') AS hub_meta,
+  CASE WHEN s.project_key < 'p3' THEN 'sha:x' ELSE 'absent' END AS project_sidecar, sha256('{"force_unsafe_lock": false, "own_hub": "/hub", "remotes": {"a": "/x", "b": "/y"}}') AS config_hash, coalesce(tomb_dir_digest, '') AS tomb_dir_digest, state_entry FROM states s LEFT JOIN dirs ON dirs.project_key = s.project_key""")
+def decision_snapshot(spark, d):
+    ids = table(spark, d, "ids")
+    presence = table(spark, d, "presence")
+    name = F.concat("name", F.when(F.col("conv_id") % 6 == 0, ".meta.json").otherwise(".jsonl"))
+    files = presence.select("side", "project_key", name.alias("name"), F.when(F.col("usable"), F.col("raw_sha256")).alias("raw_sha256"))
+    files = files.unionByName(ids.where("project_key < 'p3'").select(F.lit("hub").alias("side"), "project_key", F.lit("_project.json").alias("name"), F.lit("x").alias("raw_sha256")).distinct())
+    return records.snapshots(ids.select("project_key", F.col("name").alias("sid")), files, _markers(spark, d), _states(spark, d), records.config_hash("/hub", {"b": "/y", "a": "/x"}, False))
+
+
+@query("deletion_markers", """SELECT project_key, CASE WHEN base_hash IS NULL THEN 'memory-a_' || target ELSE target END || '.deleted.json' AS name, '{' || chr(10) || '  "schema_version": 1,' || chr(10) || '  "kind": "' || CASE WHEN base_hash IS NULL THEN 'memory' ELSE 'session' END || '",' || chr(10) || '  "target": "' || CASE WHEN base_hash IS NULL THEN 'a/' ELSE '' END || target || '",' || chr(10)
+  || '  "base_hash": ' || coalesce('"' || base_hash || '"', 'null') || ',' || chr(10) || '  "machine": "m",' || chr(10) || '  "time": "t"' || CASE WHEN base_hash IS NULL THEN ',' || chr(10) || '  "identity": "n-' || target || '"' ELSE '' END || chr(10) || '}' AS content FROM tombs WHERE valid""")
+def deletion_markers(spark, d):
+    memory_one = F.col("base_hash").isNull()
+    rows = table(spark, d, "tombs").where("valid").select("project_key", F.when(memory_one, "memory").otherwise("session").alias("kind"), F.when(memory_one, F.concat(F.lit("a/"), "target")).otherwise(F.col("target")).alias("target"), "base_hash", F.concat(F.lit("n-"), "target").alias("identity"))
+    return records.marker_files(rows, "m", "t")
+
+
+@query("project_statuses", """, k AS (SELECT DISTINCT project_key FROM ids)
+SELECT '/l/' || project_key AS local_dir, NULL::VARCHAR AS hub_dir, 'skipped-unsafe' AS status FROM k WHERE project_key = 'p0' UNION ALL SELECT NULL, '/h/' || project_key, 'skipped-unsafe' FROM k WHERE project_key = 'p1'
+UNION ALL SELECT '/l/' || project_key, CASE WHEN project_key IN ('p2', 'p3') THEN '/h/' || project_key END, CASE project_key WHEN 'p1' THEN 'needs-map' WHEN 'p4' THEN 'ambiguous' ELSE 'match' END FROM k WHERE project_key <> 'p0'
+UNION ALL SELECT NULL, '/h/' || project_key, 'hub-only' FROM k WHERE project_key IN ('p0', 'p4')""")
+def project_statuses(spark, d):
+    """p0 unsafe here, p1 on the hub; p2 and p3 match by remote; p4's remote differs but its first commit does not."""
+    keys = table(spark, d, "ids").select("project_key").distinct()
+    dirs = lambda root, bad: keys.select(F.concat(F.lit(root), "project_key").alias("dir"), (F.col("project_key") != bad).alias("safe"), "project_key")
+    local, hub = dirs("/l/", "p0"), dirs("/h/", "p1")
+    urls = lambda t, host: t.where("safe").select("dir", F.concat(F.when(F.col("project_key") == "p4", F.lit(host)).otherwise(F.lit("git@h:")), F.lit("t/"), "project_key").alias("url"))
+    commits = lambda t: t.where("safe").select("dir", F.col("project_key").alias("first_commit"))
+    found = project_rules.remote_matches(urls(local, "git@a:"), urls(hub, "git@b:"), commits(local), commits(hub))
+    return project_rules.statuses(local, hub, found)
+
+
+@query("bootstrap_statuses", """, k AS (SELECT DISTINCT conv_id, project_key FROM ids WHERE conv_id < 40),
+made AS (SELECT 'd' || conv_id AS local_dir, 'h' || (CASE WHEN conv_id % 10 = 7 THEN 7 ELSE conv_id END) AS hub_key, CASE WHEN conv_id % 10 = 3 THEN NULL WHEN conv_id % 10 = 8 THEN '/w/8' ELSE '/w/' || conv_id END AS cwd,
+  CASE conv_id % 10 WHEN 1 THEN 'skipped-unsafe' WHEN 2 THEN 'skipped-multi-cwd' WHEN 4 THEN 'skipped-unreadable' WHEN 5 THEN 'skipped-ambiguous' WHEN 6 THEN 'skipped-bad-map' ELSE 'mapped' END AS status FROM k),
+named AS (SELECT local_dir, hub_key, CASE WHEN status = 'skipped-multi-cwd' THEN NULL ELSE cwd END AS cwd, status FROM made)
+SELECT local_dir, hub_key, cwd, CASE WHEN status = 'mapped' AND count(*) FILTER (status = 'mapped') OVER (PARTITION BY hub_key) > 1 THEN 'skipped-dup-key' WHEN status = 'mapped' AND cwd IS NOT NULL AND count(*) FILTER (status = 'mapped') OVER (PARTITION BY cwd) > 1 THEN 'skipped-dup-cwd' ELSE status END AS status FROM named""")
+def bootstrap_statuses(spark, d):
+    """Forty folders, each tenth of a kind: unsafe, several working folders, asserted ones, unreadable, not matched, badly mapped, sharing a hub or a working folder."""
+    n = F.col("conv_id") % 10
+    own = F.concat(F.lit("/w/"), "conv_id")
+    cwds = F.when(n.isin(2, 3), F.array(own, F.lit("/other"))).when(n == 8, F.array(F.lit("/w/8"))).otherwise(F.array(own))
+    rows = table(spark, d, "ids").where("conv_id < 40").select(
+        F.concat(F.lit("d"), "conv_id").alias("local_dir"), F.concat(F.lit("h"), F.when(n == 7, F.lit(7)).otherwise(F.col("conv_id"))).alias("hub_key"), cwds.alias("cwds"), (n == 3).alias("asserted"),
+        F.when(n == 6, "skipped-bad-map").when(n == 3, "mapped").alias("map_status"), F.when(n == 5, "ambiguous").otherwise("match").alias("match_status"), (n != 1).alias("safe"), (n != 4).alias("readable"),
+    )
+    return project_rules.bootstrap_statuses(rows)
+
+
+MEMORY_ACTS = """, p AS (SELECT DISTINCT project_key, filename AS name, doc_id, CASE doc_id % 8 WHEN 0 THEN 'local-deleted' WHEN 1 THEN 'copy-to-hub' WHEN 2 THEN 'copy-to-local' WHEN 3 THEN 'identical' WHEN 4 THEN 'conflict-content' WHEN 5 THEN 'local-deleted' WHEN 6 THEN 'copy-to-hub' ELSE 'suppressed-deleted' END AS action FROM docs)"""
+
+
+@query("memory_outcomes", MEMORY_ACTS + """SELECT project_key, name, action, CASE WHEN action IN ('conflict-content', 'suppressed-deleted') THEN 'reported' WHEN project_key LIKE '%1' THEN 'blocked-uninitialized' WHEN project_key LIKE '%2' OR doc_id % 29 = 5 THEN 'skipped-changed'
+  WHEN doc_id % 16 = 5 THEN 'skipped-changed' WHEN doc_id % 16 = 6 THEN 'suppressed' WHEN doc_id % 16 = 9 THEN 'reported' WHEN action = 'local-deleted' THEN 'tombstoned-local-deletion' WHEN action = 'copy-to-hub' THEN 'copied-to-hub' WHEN action = 'copy-to-local' THEN 'copied-to-local' ELSE 'identical' END AS result FROM p""", DOCS)
+def memory_outcomes(spark, d):
+    docs = table(spark, d, "docs").select("project_key", F.col("filename").alias("name"), "doc_id").distinct()
+    kinds = F.array(*[F.lit(x) for x in ("local-deleted", "copy-to-hub", "copy-to-local", "identical", "conflict-content", "local-deleted", "copy-to-hub", "suppressed-deleted")])
+    made = docs.withColumn("action", F.element_at(kinds, (F.col("doc_id") % 8 + 1).cast("int")))
+    n = F.col("doc_id") % 16
+    now = made.withColumn("action", F.when(n == 5, "copy-to-hub").otherwise(F.col("action")))
+    after = made.withColumn("action", F.when(n == 6, "suppressed-deleted").when(n == 9, "conflict-delete-vs-update").otherwise(F.col("action")))
+    state = made.select("project_key", (~F.col("project_key").endswith("1")).alias("initialized"), F.when(F.col("project_key").endswith("2"), F.lit(False)).alias("allowed")).distinct()
+    return outcomes.memory_outcomes(made.drop("doc_id"), now, after, state, made.where("doc_id % 29 = 5"))
+
+
+@query("transfer_outcomes", TRANSFER + "SELECT project_key, sid, action, CASE WHEN action NOT IN ('transfer-copy', 'transfer-ff') THEN 'reported' WHEN CAST(sid AS BIGINT) % 3 = 0 THEN 'skipped-changed' WHEN action = 'transfer-copy' AND CAST(sid AS BIGINT) % 4 <> 1 THEN 'copied-to-local' ELSE 'kept-both-local' END AS result FROM transferred")
+def transfer_outcomes(spark, d):
+    made = cut(transfer_plan(spark, d))
+    now = made.withColumn("action", F.when(F.expr("cast(sid AS BIGINT) % 3 = 0"), "dest-newer").otherwise(F.col("action")))
+    return outcomes.transfer_outcomes(made, now, "hub", made.where("cast(sid AS BIGINT) % 4 = 1"))
 
 
-@query("apply_outcomes", PLAN + """SELECT project_key, sid, action, CASE WHEN action NOT IN ('identical', 'copy-to-hub', 'copy-to-local', 'suppressed-deleted', 'local-deleted', 'fast-forward') THEN 'reported' WHEN CAST(sid AS BIGINT) % 5 = 0 AND CAST(sid AS BIGINT) % 2 = 0 THEN 'skipped-changed'
-  WHEN action = 'identical' THEN 'identical' WHEN action = 'copy-to-hub' THEN 'copied-to-hub' WHEN action = 'copy-to-local' THEN 'copied-to-local' WHEN action = 'suppressed-deleted' THEN 'suppressed' WHEN action = 'local-deleted' THEN 'tombstoned-local-deletion' WHEN direction = 'local->hub' THEN 'applied-ff-hub' ELSE 'kept-both-local' END AS result FROM plan""")
+@query("apply_outcomes", PLAN + """SELECT project_key, sid, action, CASE WHEN action NOT IN ('identical', 'copy-to-hub', 'copy-to-local', 'local-deleted', 'fast-forward') THEN 'reported' WHEN CAST(sid AS BIGINT) % 5 = 0 AND CAST(sid AS BIGINT) % 2 = 0 THEN 'skipped-changed'
+  WHEN action = 'identical' THEN 'identical' WHEN action = 'copy-to-hub' THEN 'copied-to-hub' WHEN action = 'copy-to-local' THEN 'copied-to-local' WHEN action = 'local-deleted' THEN 'tombstoned-local-deletion' WHEN direction = 'local->hub' THEN 'applied-ff-hub' ELSE 'kept-both-local' END AS result FROM plan""")
 def apply_outcomes(spark, d):
     made = session_plan(spark, d)
     snapshot = made.select("project_key", "sid", F.sha2("sid", 256).alias("digest"))

@@ -24,6 +24,8 @@ FILES = "side string, project_key string, name string, path string, content bina
 LINES = "side string, project_key string, sid string, idx int, ok boolean, uuid string, parent string, ts string, type string, is_sidechain boolean, is_tool_fanout boolean, leaf_uuid string, cwd string, session_id string, canon_hash string, raw string, state string"
 DOCS = "side string, project_key string, filename string, state string, fm_ok boolean, name string, description string, content_hash string, body string, text string"
 TOMBSTONES = "project_key string, kind string, target string, base_hash string, identity string, machine string, time string, valid boolean"
+SIDECARS = "project_key string, git_remote string, first_commit string, repo_root string, observed_cwds array<string>"
+METAS = "side string, project_key string, sid string, content_hash string, tail_hash string, line_count long, uuid_count long, non_uuid_count long"
 ACKS = "project_key string, kind string, identity string, fingerprint string"
 COVERAGE = "project_key string, initialized boolean, epoch long"
 
@@ -45,8 +47,8 @@ def list_projects(root: str) -> tuple[list[str], list[str]]:
 
 
 def list_paths(spark: SparkSession, roots: dict[str, str], kind: str) -> DataFrame:
-    """side, project_key, name, path of all session, memory or tombstone files below each side's root."""
-    below = {"session": "", "memory": "memory", "tombstone": ".tombstones"}[kind]
+    """side, project_key, name, path of all session, memory, tombstone or record files (a project's own, sessions' meta) below each side's root."""
+    below = {"session": "", "record": "", "memory": "memory", "tombstone": ".tombstones"}[kind]
 
     def keep(e: os.DirEntry) -> bool:
         if e.is_symlink() or not e.is_file():
@@ -54,7 +56,9 @@ def list_paths(spark: SparkSession, roots: dict[str, str], kind: str) -> DataFra
         if kind == "session":
             return e.name.endswith(".jsonl") and not e.name.startswith(".")
         if kind == "memory":
-            return e.name.lower().endswith(".md") and e.name != "MEMORY.md" and not e.name.startswith(".")
+            return e.name.casefold().endswith(".md") and e.name.casefold() != "memory.md" and not e.name.startswith(".")
+        if kind == "record":
+            return e.name == "_project.json" or e.name.endswith(".meta.json")
         return e.name.endswith(".json")
 
     rows = [(side, project, e.name, e.path) for side, root in roots.items() for project in list_projects(root)[0] for e in _entries(os.path.join(root, project, below), keep)]
@@ -108,33 +112,44 @@ def memory_docs(files: DataFrame) -> DataFrame:
     return _mapped(files, DOCS, lambda r: [{"side": r["side"], "project_key": r["project_key"], "filename": r["name"]} | T.memory_document(r["content"])])
 
 
-def _object(raw: bytes):
+def linked_documents(spark: SparkSession, roots: dict[str, str]) -> DataFrame:
+    """side, project_key of memory folders that hold documents which are links: their indexes are left alone."""
+    is_link = lambda e: e.is_symlink() and e.name.casefold().endswith(".md") and e.name.casefold() != "memory.md" and not e.name.startswith(".")
+    rows = [(side, project) for side, root in roots.items() for project in list_projects(root)[0] if _entries(os.path.join(root, project, "memory"), is_link)]
+    return spark.createDataFrame(rows, "side string, project_key string")
+
+
+def _object(raw: bytes) -> dict:
     try:
         value = json.loads(raw.decode())
-    except (ValueError, UnicodeError):
+    except (ValueError, UnicodeError, RecursionError):
         return {}
-    return value if isinstance(value, dict) and type(value.get("schema_version")) is int and value["schema_version"] == 1 else {}
+    return value if isinstance(value, dict) else {}
 
 
-def _hex64(value) -> bool:
-    return isinstance(value, str) and re.fullmatch(r"[0-9a-f]{64}", value) is not None
+def _fits(value: dict, **kinds) -> bool:
+    """Whether each named field is null, missing or of its type; a truth value is no number."""
+    return all(value.get(k) is None or type(value[k]) is kind for k, kind in kinds.items())
 
 
-def tombstone(name: str, raw: bytes) -> dict:
+def tombstone(name: str, raw: bytes) -> dict | None:
     """The record a tombstone file stands for; its name says what it is about, its content must agree to be valid."""
     stem = name.removesuffix(".deleted.json")
+    if not stem:
+        return None
     kind, target = ("memory", stem.removeprefix("memory-")) if stem.startswith("memory-") else ("session", stem)
     value = _object(raw)
-    valid = bool(value) and value.get("kind") == kind and value.get("target") == target and (value.get("base_hash") is None or _hex64(value["base_hash"]))
-    valid = valid and (value.get("identity") is None or kind == "memory" and isinstance(value["identity"], str))
-    text = lambda k: v if valid and isinstance(v := value.get(k), str) else None
-    return {"kind": kind, "target": target, "base_hash": text("base_hash"), "identity": text("identity"), "machine": text("machine"), "time": text("time"), "valid": valid}
+    valid = bool(target) and value.get("kind") == kind and value.get("target") == target and _fits(value, base_hash=str, machine=str, time=str)
+    text = lambda k: value.get(k) if valid else None
+    told = text("identity") if kind == "memory" else None
+    identity = told if isinstance(told, str) and told.strip() else None
+    return {"kind": kind, "target": target, "base_hash": text("base_hash"), "identity": identity, "machine": text("machine"), "time": text("time"), "valid": valid}
 
 
 def tombstones(files: DataFrame) -> DataFrame:
     """Valid and corrupt tombstones; corrupt ones block what they name."""
     named = files.where(F.col("name").endswith(".deleted.json"))
-    return _mapped(named, TOMBSTONES, lambda r: [{"project_key": r["project_key"]} | tombstone(r["name"], r["content"])])
+    return _mapped(named, TOMBSTONES, lambda r: [{"project_key": r["project_key"]} | t for t in [tombstone(r["name"], r["content"])] if t])
 
 
 def coverage(files: DataFrame) -> DataFrame:
@@ -142,12 +157,38 @@ def coverage(files: DataFrame) -> DataFrame:
 
     def read(row):
         value = _object(row["content"])
-        if type(value.get("initialized")) is bool and type(value.get("epoch")) is int and value["epoch"] >= 0:
+        if type(value.get("initialized")) is bool and type(value.get("epoch")) is int and value["epoch"] >= 0 and _fits(value, bootstrap_time=str, machine=str):
             yield {"project_key": row["project_key"], "initialized": value["initialized"], "epoch": value["epoch"]}
 
     return _mapped(files.where(F.col("name") == "_coverage.json"), COVERAGE, read)
 
 
+def project_sidecars(files: DataFrame) -> DataFrame:
+    """A row for each project whose own record is sound: its git identity and the working folders seen."""
+
+    def read(row):
+        value = _object(row["content"])
+        cwds = value.get("observed_cwds", [])
+        sound = bool(value) and _fits(value, git_remote=str, first_commit=str, repo_root=str) and type(value.get("schema_version", 1)) is int
+        if sound and isinstance(cwds, list) and all(isinstance(x, str) for x in cwds):
+            yield {"project_key": row["project_key"], "observed_cwds": cwds} | {k: value.get(k) for k in ("git_remote", "first_commit", "repo_root")}
+
+    return _mapped(files.where(F.col("name") == "_project.json"), SIDECARS, read)
+
+
+def session_metas(files: DataFrame) -> DataFrame:
+    """A row for each stored session record that is sound: two digests and three counts."""
+    digests, counts = ("content_hash", "tail_hash"), ("line_count", "uuid_count", "non_uuid_count")
+
+    def read(row):
+        value = _object(row["content"])
+        sound = all(isinstance(value.get(k), str) and re.fullmatch(r"[0-9a-f]{64}", value[k]) for k in digests)
+        if sound and all(type(value.get(k)) is int and value[k] >= 0 for k in counts) and type(value.get("schema_version", 1)) is int:
+            yield {"side": row["side"], "project_key": row["project_key"], "sid": row["name"].removesuffix(".meta.json")} | {k: value[k] for k in (*digests, *counts)}
+
+    return _mapped(files.where(F.col("name").endswith(".meta.json")), METAS, read)
+
+
 def acks(files: DataFrame, kinds=("casefold-collision", "damaged", "identity-collision")) -> DataFrame:
     """(kind, identity, fingerprint) records of acks.json; unsound records and ledgers count for nothing."""
 

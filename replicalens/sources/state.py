@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import fcntl
 import hashlib
 import json
 import os
 import tempfile
+import time
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -57,6 +60,60 @@ def save(path: str, state: dict) -> None:
     os.replace(f.name, path)
 
 
+class Locked(TimeoutError):
+    pass
+
+
+@contextmanager
+def locked(path: str, timeout: float = 5.0, poll: float = 0.05):
+    """Holds path's lock file; gives up after ``timeout`` seconds."""
+    until = time.monotonic() + timeout
+    with open(f"{path}.lock", "a") as f:
+        while True:
+            try:
+                fcntl.flock(f, fcntl.LOCK_EX | fcntl.LOCK_NB)
+                break
+            except OSError:
+                if time.monotonic() > until:
+                    raise Locked(path) from None
+                time.sleep(poll)
+        yield
+
+
+def update(path: str, change, timeout: float = 5.0) -> dict:
+    """Reads the record under its lock, lets ``change`` alter it and saves it: two who commit at once lose nothing."""
+    os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+    with locked(path, timeout):
+        state = load(path) or empty()
+        change(state)
+        save(path, state)
+        return state
+
+
+def commit(path: str, kind: str, project: str, name: str, cwd: str | None = None, fingerprint: str | None = None) -> dict:
+    """Adds one session or document to what the hub is known to hold; a working folder's binding and the fingerprint if given."""
+
+    def change(state):
+        known = state[next(f for f, x in SETS.items() if x == (kind, "hub"))]
+        known[project] = sorted({*known.get(project, []), name})
+        state["bindings"] |= {cwd: project} if cwd is not None else {}
+        state["hub_fingerprint"] = fingerprint if fingerprint is not None else state["hub_fingerprint"]
+
+    return update(path, change)
+
+
+def reconcile(path: str, kind: str, project: str, present, tombstoned, require: bool = False) -> dict:
+    """Sets a project's local names to what is there, and keeps those that are gone without a marker; with ``require`` only where it has any."""
+
+    def change(state):
+        local = state[next(f for f, x in SETS.items() if x == (kind, "local"))]
+        if project in local or not require:
+            pending = set(local.get(project, [])) - set(present) - set(tombstoned)
+            local[project] = sorted(pending | set(present))
+
+    return update(path, change)
+
+
 def tables(spark: SparkSession, state: dict | None) -> tuple[DataFrame, DataFrame]:
     """baseline(kind, side, project_key, name) and baselines(kind, side, project_key): an empty set has a row in the second only."""
     rows = [(*SETS[k], p, n) for k in SETS for p, names in (state or empty())[k].items() for n in names]
