@@ -342,9 +342,18 @@ def conflict_versions(spark, d):
     return conflicts.versions(table(spark, d, "docs"))
 
 
-@query("conflict_components", ", x AS (SELECT DISTINCT project_key, name, filename FROM docs WHERE name IS NOT NULL) SELECT project_key, filename, min(filename) OVER (PARTITION BY project_key, name) AS component FROM x", DOCS)
+CHAINS = """, chained AS (SELECT project_key, filename, name FROM docs WHERE name IS NOT NULL UNION SELECT project_key, filename, project_key || '-chain-' || CAST(doc_id // 40 AS STRING) FROM docs WHERE doc_id % 20 = 0 UNION SELECT project_key, filename, project_key || '-chain-' || CAST(doc_id // 40 + 1 AS STRING) FROM docs WHERE doc_id % 40 = 20),
+walk AS (SELECT DISTINCT project_key, filename, filename AS near FROM chained UNION SELECT w.project_key, w.filename, b.filename FROM walk w JOIN chained a ON a.project_key = w.project_key AND a.filename = w.near JOIN chained b ON b.project_key = a.project_key AND b.name = a.name)"""
+
+
+@query("conflict_components", CHAINS + "SELECT project_key, filename, min(near) AS component FROM walk GROUP BY ALL", DOCS)
 def conflict_components(spark, d):
-    return conflicts.components(table(spark, d, "docs"))
+    """Some documents of each project stand under two identities, so that chains of them form."""
+    docs = table(spark, d, "docs")
+    link = lambda where, n: docs.where(where).select("project_key", "filename", F.concat("project_key", F.lit("-chain-"), n.cast("string")).alias("name"))
+    forty = F.floor(F.col("doc_id") / 40)
+    chained = docs.select("project_key", "filename", "name").unionByName(link("doc_id % 20 = 0", forty)).unionByName(link("doc_id % 40 = 20", forty + 1))
+    return conflicts.components(chained)
 
 
 @query("conflict_tombstones", "SELECT DISTINCT d.project_key, filename, target FROM docs d JOIN mtombs t ON t.project_key = d.project_key AND (t.target = d.filename OR t.identity = d.name)", DOCS)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from replicalens import __main__ as cli
-from replicalens.operators import outcomes, projects, records, shape
+from replicalens.operators import conflicts, outcomes, projects, records, shape
 from replicalens.sources import ingest, sinks, state
 
 
@@ -125,3 +125,9 @@ def test_bootstrap_then_status_and_halt(spark, tmp_path, capsys):
     assert cli.main(["index", *roots, "--apply"]) == 0 and "[ab](ab.md)" in (local / "p/memory/MEMORY.md").read_text()
     (hub / "other").mkdir()
     assert cli.main(["status", *roots]) == 2 and "hub-fingerprint-changed" in capsys.readouterr().out
+
+
+def test_components_of_long_chains(spark):
+    rows = [("p", f"f{i:03}", f"n{k}") for i in range(120) for k in (i, i + 1)] + [("p", "z1", "zz"), ("p", "z2", "zz"), ("q", "f001", "n0"), ("q", "a", None)]
+    got = {(r.project_key, r.filename): r.component for r in conflicts.components(spark.createDataFrame(rows, "project_key string, filename string, name string")).collect()}
+    assert got == {("p", f"f{i:03}"): "f000" for i in range(120)} | {("p", "z1"): "z1", ("p", "z2"): "z1", ("q", "f001"): "f001"}
