@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from . import common
 
 WEIGHTS = (5, 2, 1)
-SHARE, MOST, SEED, BINS = 1.5, 2.0, "mix-1", 1 << 16
+SHARE, MOST, SEED, BINS, STEP = 1.5, 2.0, "mix-1", 1 << 16, 1 << 8
 #: Equal rows of a cut group that are written as one row before they are repeated.
 CHUNK = 4096
 
@@ -114,12 +114,18 @@ def ranked(rows: DataFrame, table: DataFrame, bins: int = BINS) -> DataFrame:
 def limits(found: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
     """source_key and cut_bin; and for each group of equal rows in that bin: times, how often it occurs, and drawn, of how many it is taken."""
     drawn = found.where(F.col("rank").isNotNull() & (F.col("rest") > 0))
-    filled = drawn.groupBy("source_key", "bin").agg(F.sum("size").alias("bin_size"), F.first("rest").alias("rest"))
-    upto = W.partitionBy("source_key").orderBy("bin")
-    filled = filled.withColumn("bin_end", F.sum("bin_size").over(upto)).withColumn("bin_start", F.col("bin_end") - F.col("bin_size"))
-    # The bin in which the limit falls; bins before it are taken whole, those after it not at all.
-    cut = filled.where((F.col("bin_start") <= F.col("rest")) & (F.col("rest") < F.col("bin_end"))).groupBy("source_key").agg(F.min("bin").alias("cut_bin"), F.min_by("bin_start", "bin").alias("cut_start"))
-    cut = common.stage(cut, f"{folder}/cut")
+    filled = common.stage(drawn.groupBy("source_key", "bin").agg(F.sum("size").alias("part"), F.first("rest").alias("rest")), f"{folder}/filled")
+
+    def where_it_falls(parts: DataFrame, place: str) -> DataFrame:
+        """source_key, and place and start of the part in which the limit falls; parts before it are taken whole, those after it not at all."""
+        end = F.sum("part").over(W.partitionBy("source_key").orderBy(place))
+        found = parts.withColumn("end", F.col("start") + end).withColumn("start", F.col("end") - F.col("part"))
+        return found.where((F.col("start") <= F.col("rest")) & (F.col("rest") < F.col("end"))).groupBy("source_key").agg(F.min(place).alias(f"cut_{place}"), F.min_by("start", place).alias("cut_start"))
+
+    # First among groups of STEP bins, then in the one found: few rows are ordered whatever the number of bins.
+    coarse = filled.groupBy("source_key", F.floor(F.col("bin") / F.lit(STEP)).alias("group")).agg(F.sum("part").alias("part"), F.first("rest").alias("rest")).withColumn("start", F.lit(0).cast("long"))
+    inside = common.joined(filled, where_it_falls(coarse, "group"), ["source_key"], "inner").where(F.floor(F.col("bin") / F.lit(STEP)) == F.col("cut_group"))
+    cut = common.stage(where_it_falls(inside.withColumn("start", F.col("cut_start")).drop("cut_start"), "bin"), f"{folder}/cut")
     edge = common.joined(drawn, cut, ["source_key"], "inner").where(F.col("bin") == F.col("cut_bin"))
     edge = edge.groupBy("source_key", "rank", "draw", "size", "row").agg(F.count("*").alias("times"), F.first("rest").alias("rest"), F.first("cut_start").alias("cut_start"))
     before = W.partitionBy("source_key").orderBy("rank", "draw", "size", "row").rowsBetween(W.unboundedPreceding, -1)
