@@ -114,7 +114,7 @@ def ranked(rows: DataFrame, table: DataFrame, bins: int = BINS) -> DataFrame:
 def limits(found: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
     """source_key and cut_bin; and for each group of equal rows in that bin: times, how often it occurs, and drawn, of how many it is taken."""
     drawn = found.where(F.col("rank").isNotNull() & (F.col("rest") > 0))
-    filled = common.stage(drawn.groupBy("source_key", "bin").agg(F.sum("size").alias("part"), F.first("rest").alias("rest")), f"{folder}/filled")
+    filled = common.stage(drawn.groupBy("source_key", "bin").agg(F.sum("size").alias("part"), F.first("rest").alias("rest")), f"{folder}/bins")
 
     def where_it_falls(parts: DataFrame, place: str) -> DataFrame:
         """source_key, and place and start of the part in which the limit falls; parts before it are taken whole, those after it not at all."""
