@@ -11,12 +11,13 @@ Where discounts leave nothing (no continuation has c <= K), c(h) + 1 takes the p
 Steps. Texts become blocks of word codes, files below the shared folder. Each block sends its distinct words to buckets by
 hash; a bucket counts them, numbers them by frequency, keeps its part of the unigram table and answers each block with
 numbers and counts. Then, for each order from 2 on, each block sends its distinct n-grams whose history training has seen,
-with their training counts, sorted and packed, to buckets by history. A bucket merges them into its part of that order's
-table and answers each block, n-gram by n-gram, with the counts, and with the sums that the back-off weights of its
-unseen ones need. Once the counts of counts of an order are known, a block evaluates its tokens recursively. What travels is
-one entry for each block and distinct n-gram, not for each document. A history above the hot limit is dealt by n-gram, so
-that no bucket gets all of it; its sums meet on the driver, at most 1 / HOT_SHARE of them an order, and follow the same
-formulas. The tables, partitioned by bucket, stay below the shared folder; ``tables`` of the result names them by order.
+with their training counts, sorted and packed, to buckets by history; histories that are equal but for their first word go
+together, unless these are too many. A bucket merges them, part by part, into its share of that order's table and answers
+each block, n-gram by n-gram, with the counts, and with the sums that the back-off weights of its unseen ones need. Once
+the counts of counts of an order are known, a block evaluates its tokens recursively. What travels is one entry for each
+block and distinct n-gram, not for each document. A history above the hot limit is dealt by n-gram, so that no bucket gets
+all of it; its sums meet on the driver, at most 1 / HOT_SHARE of them an order, and follow the same formulas. The tables,
+partitioned by bucket, stay below the shared folder; ``tables`` of the result names them by order.
 
 Defined cases: a null text is empty: its one token is the end; without training documents every token is unknown, with
 probability 1; a null doc_id is training; repeated rows count and are scored each; an empty table gives an empty result;
@@ -37,8 +38,9 @@ from pyspark.sql import functions as F
 from . import common
 
 K, ORDER = 5, 3
-HOT_SHARE, HOT_LEAST = 1 / 4096, 1000
-BLOCK_BYTES, BUCKET_BYTES = 6 << 20, 10 << 20
+HOT_SHARE, HOT_LEAST, WIDE = 1 / 16384, 1000, 1 << 14
+#: Text of a block and of a bucket; a bucket is merged in PARTS, one after the other, so that its memory is that of one.
+BLOCK_BYTES, BUCKET_BYTES, PARTS = 8 << 20, 10 << 20, 1
 UNKNOWN, START, END, FIRST = 0, 1, 2, 3
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -86,13 +88,11 @@ class Unigrams:
         return np.log10((count + 1) / (self.tokens + self.kinds + 1))
 
 
-def _join(arrays: list[np.ndarray]) -> bytes:
-    """Several arrays of whole numbers, each in its smallest type, or of doubles in one value; _split undoes it.
+def _raw(arrays: list[np.ndarray]) -> bytes:
+    """Several arrays of whole numbers, each in its smallest type, or of doubles in one value; _arrays undoes it.
 
     Bytes of equal weight stand together, which packs better.
     """
-    import zstandard
-
     head, body = [], []
     for x in arrays:
         x = np.ascontiguousarray(x)
@@ -102,13 +102,10 @@ def _join(arrays: list[np.ndarray]) -> bytes:
         head.append(f"{x.dtype.str},{len(x)}")
         body.append(x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes())
     names = ";".join(head).encode()
-    return zstandard.compress(len(names).to_bytes(4, "little") + names + b"".join(body), 3)
+    return len(names).to_bytes(4, "little") + names + b"".join(body)
 
 
-def _split(data: bytes) -> list[np.ndarray]:
-    import zstandard
-
-    raw = zstandard.decompress(data)
+def _arrays(raw: bytes) -> list[np.ndarray]:
     n = int.from_bytes(raw[:4], "little")
     at, out = 4 + n, []
     for kind, size in (x.split(",") for x in raw[4:at].decode().split(";")):
@@ -119,6 +116,18 @@ def _split(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def _join(arrays: list[np.ndarray]) -> bytes:
+    import zstandard
+
+    return zstandard.compress(_raw(arrays), 3)
+
+
+def _split(data: bytes) -> list[np.ndarray]:
+    import zstandard
+
+    return _arrays(zstandard.decompress(data))
+
+
 def _words(values: list) -> bytes:
     import zstandard
 
@@ -203,6 +212,7 @@ class Model:
     uni: Unigrams
     train_docs: int
     limit: int  # a history seen as often is hot
+    wide: int  # a shorter history seen as often does not keep its histories together
     d: dict[int, np.ndarray]
     hot: dict[int, dict[tuple, tuple]]
 
@@ -235,10 +245,13 @@ def _key(columns: list[tuple[np.ndarray, int]]) -> np.ndarray:
 
 def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A row for each different key, in order, and the place of every row's key among them."""
-    different, at = np.unique(key, return_inverse=True)
-    row = np.empty(len(different), np.int64)
-    row[at] = np.arange(len(key))
-    return row, at.astype(np.int32)
+    order = np.argsort(key)
+    key = key[order]
+    head = np.ones(len(key), bool)
+    np.not_equal(key[1:], key[:-1], out=head[1:])
+    at = np.empty(len(key), np.int32)
+    at[order] = np.cumsum(head, dtype=np.int32) - np.int32(1)
+    return order[head], at
 
 
 class Entries:
@@ -249,17 +262,20 @@ class Entries:
         times = b.history_counts(level)
         on = np.flatnonzero(times > 0)
         times, word, words = times[on], b.word[on], [b.back(k)[on] for k in range(level - 1, 0, -1)]  # the history's words, first to last
+        # Histories that are equal but for their first word go together, as long as there are not too many.
         code = np.zeros(len(on), np.uint64)
-        for x in words:
+        for x in words[1:]:
             code = common.mix64(code * MIX + b.number[x].astype(np.uint64))
+        wide = b.history_counts(level - 1)[on] >= model.wide if level > 2 else np.ones(len(on), bool)
+        code[wide] = common.mix64(code[wide] * MIX + b.number[words[0][wide]].astype(np.uint64))
         hot = times >= model.limit
         code[hot] = common.mix64(code[hot] * MIX + b.number[word[hot]].astype(np.uint64))
-        goes = (code % np.uint64(buckets)).astype(np.int32)
-        row, at = _distinct(_key([(goes, buckets), *((x, m) for x in (*words[1:], words[0], word))]))
+        goes = (code % np.uint64(buckets * PARTS)).astype(np.int32)  # bucket and part
+        row, at = _distinct(_key([(goes, buckets * PARTS), *((x, m) for x in (*words[1:], words[0], word))]))
         self.rep, self.times, self.hot, self.goes, self.words, self.word = on[row], times[row], hot[row], goes[row], [x[row] for x in words], word[row]
         self.at = np.full(len(b.word), -1, np.int32)
         self.at[on] = at
-        # A history ends with its bucket: hot ones stand in several.
+        # A history ends with its part: hot ones stand in several.
         self.heads = _runs(self.goes, *self.words)
         self.head_of = np.repeat(np.arange(len(self.heads)), np.diff(np.append(self.heads, len(self.rep))))
 
@@ -318,20 +334,39 @@ class Block:
     def entries(self, level: int, buckets: int) -> list[tuple]:
         """(bucket, packed n-grams) of an order."""
         e, model = Entries(self, level, self.model, buckets), self.model
-        lower = self.at[level - 1][e.rep]
-        count = self.seen[level - 1][np.maximum(lower, 0)] * (lower >= 0)
-        below = self.below[level - 1][np.maximum(lower, 0)] if level > 2 else np.full(len(lower), model.uni.below)
+        lower = self.at[level - 1][e.rep]  # training has seen the history, and so the shorter one too
+        count = self.seen[level - 1][lower] if level > 2 else None
+        below = self.below[level - 1][lower] if level > 2 else np.full(len(lower), model.uni.below)
         taken = (e.at >= 0) & ~self.held[self.doc]
         trained = np.bincount(e.at[taken], minlength=len(e.rep))
-        limits = np.searchsorted(e.goes, np.arange(buckets + 1))
-        cuts = [(int(b), slice(limits[b], limits[b + 1])) for b in np.flatnonzero(np.diff(limits))]
-        return [(b, _packed([x[s] for x in e.words], e.word[s], self.number, trained[s], [below[s], count[s], e.hot[s]])) for b, s in cuts]
+        starts, out = _runs(e.goes // PARTS), []
+        place = np.zeros(len(self.number), np.int32)
+        for low, high in zip(starts, [*starts[1:], len(e.goes)], strict=False):
+            bucket = int(e.goes[low]) // PARTS
+            limits = low + np.searchsorted(e.goes[low:high], bucket * PARTS + np.arange(PARTS + 1))
+            # The words of a bucket's parts are told once.
+            words = [x[low:high] for x in (*e.words, e.word)]
+            if (high - low) * 4 < len(self.number):
+                used = np.unique(np.concatenate(words))
+            else:
+                there = np.zeros(len(self.number), bool)
+                for x in words:
+                    there[x] = True
+                used = np.flatnonzero(there)
+            place[used] = np.arange(len(used))
+            pieces = [_raw([np.diff(self.number[used], prepend=0), *([_turns(self.times[used])] if level == 2 else [])])]
+            for part in range(PARTS):
+                s = slice(limits[part], limits[part + 1])
+                more = [below[s], count[s] if level > 2 else None, e.hot[s]]
+                pieces.append(_packed([place[x[s]] for x in e.words], place[e.word[s]], trained[s], more) if s.stop > s.start else b"")
+            out.append((bucket, _bundle(pieces)))
+        return out
 
     def learn(self, level: int, buckets: int) -> None:
         """Takes in the answers to an order's entries."""
         e, d = Entries(self, level, self.model, buckets), self.model.d[level]
         mine = self.answers["answer"][self.answers["level"] == level]
-        parts = [_split(x) for x in mine]
+        parts = [_arrays(x) for answer in mine for x in _unbundle(answer)]
         cat = lambda i: np.concatenate([p[i] for p in parts]) if parts else np.zeros(0)
         count, flat = cat(0).astype(np.int64), cat(1).astype(bool)
         unseen = count == 0
@@ -367,42 +402,81 @@ class Block:
         return out.assign(doc_id=lambda x: x["doc_id"].mask(self.no_key))
 
 
-def _packed(history: list[np.ndarray], word: np.ndarray, number: np.ndarray, counts: np.ndarray, more: list[np.ndarray]) -> bytes:
-    """Sorted n-grams of a bucket: by groups of histories that are equal but for their first word.
+def _steps(x: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Differences of numbers that rise within segments, each of which begins with its own first; _risen undoes it."""
+    out = np.diff(x, prepend=0)
+    out[starts] = x[starts]
+    return out
+
+
+def _risen(steps: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    total = np.cumsum(steps.astype(np.int64))
+    return (total - np.repeat(total[starts] - steps[starts].astype(np.int64), np.diff(np.append(starts, len(steps))))).astype(np.int32)
+
+
+def _turns(x: np.ndarray) -> np.ndarray:
+    """Differences of numbers that change little from one to the next, as whole numbers from 0 on; _turned undoes it."""
+    step = np.diff(x.astype(np.int64), prepend=0)
+    return (step << 1) ^ (step >> 63)
+
+
+def _turned(x: np.ndarray) -> np.ndarray:
+    x = x.astype(np.int64)
+    return np.cumsum((x >> 1) ^ -(x & 1))
+
+
+def _bundle(pieces: list[bytes]) -> bytes:
+    """Several values of _raw as one that is compressed."""
+    import zstandard
+
+    return zstandard.compress(np.array([len(pieces), *map(len, pieces)], np.int64).tobytes() + b"".join(pieces), 3)
+
 
-    more: what a group and an n-gram need for the lower order's probability, and whether the history is hot.
+def _unbundle(data: bytes) -> list[bytes]:
+    import zstandard
+
+    data = zstandard.decompress(data)
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    ends = 8 * (n + 1) + np.cumsum(np.frombuffer(data, np.int64, n, 8))
+    return [data[a:b] for a, b in zip([8 * (n + 1), *ends[:-1]], ends, strict=True)]
+
+
+def _packed(history: list[np.ndarray], word: np.ndarray, counts: np.ndarray, more: list[np.ndarray] | None = None) -> bytes:
+    """Sorted n-grams: by groups of histories that are equal but for their first word.
+
+    more: what a group and, beyond order 2, an n-gram need for the lower order's probability, and whether a history is hot.
     """
     shorter, first = history[1:], history[0]
     groups = _runs(*shorter) if shorter else np.zeros(1, np.int64)
     heads = _runs(*shorter, first) if shorter else _runs(first)
-    codes = np.concatenate([*(x[groups] for x in shorter), first[heads], word])
-    if len(codes) * 4 < len(number):
-        used, at = np.unique(codes, return_inverse=True)
-    else:
-        there = np.zeros(len(number), bool)
-        there[codes] = True
-        used, at = np.flatnonzero(there), (np.cumsum(there) - 1)[codes]
-    parts = np.split(at, np.cumsum([*(len(groups) for _ in shorter), len(heads)]))
-    arrays = [np.diff(number[used], prepend=0), *parts, np.diff(np.append(np.searchsorted(heads, groups), len(heads))), np.diff(np.append(heads, len(word))), counts]
+    groups_at = np.searchsorted(heads, groups)
+    parts = [np.diff(x[groups], prepend=0) if k == 0 else x[groups] for k, x in enumerate(shorter)]
+    arrays = [*parts, _steps(first[heads], groups_at), _steps(word, heads), np.diff(np.append(groups_at, len(heads))), np.diff(np.append(heads, len(word))), counts]
     if more:
-        arrays += [more[0][groups], more[1], more[2][heads]]
-    return _join(arrays)
+        arrays += [_turns(more[0][groups]), *([more[1]] if shorter else []), more[2][heads]]
+    return _raw(arrays)
 
 
 class Unpacked:
-    """What _packed made of n-grams of an order."""
+    """What _packed made of n-grams of an order; words stand for the numbers in used."""
 
-    def __init__(self, data: bytes, level: int):
-        used, *rest = _split(data)
-        self.used = np.cumsum(used.astype(np.int64))
-        self.shorter, (self.first, self.word, heads, size, self.counts, *self.more) = rest[: level - 2], rest[level - 2 :]
-        self.group_of = np.repeat(np.arange(len(heads)), heads.astype(np.int64))  # of each head
-        self.head_of = np.repeat(np.arange(len(size)), size.astype(np.int64))  # of each n-gram
+    def __init__(self, data: bytes, level: int, used: np.ndarray):
+        rest = _arrays(data)
+        self.shorter, (first, word, heads, size, self.counts, *more) = rest[: level - 2], rest[level - 2 :]
+        if level > 2:
+            self.shorter[0] = np.cumsum(self.shorter[0].astype(np.int64))
+        heads, size, self.used = heads.astype(np.int64), size.astype(np.int64), used
+        self.first, self.word = _risen(first, np.cumsum(heads) - heads), _risen(word, np.cumsum(size) - size)
+        self.group_of = np.repeat(np.arange(len(heads), dtype=np.int32), heads)  # of each head
+        self.head_of = np.repeat(np.arange(len(size), dtype=np.int32), size)  # of each n-gram
+        if more:
+            self.below, self.hot, self.lower = _turned(more[0]), more[-1].astype(bool), more[1] if level > 2 else None
 
 
 def ngrams(table: bytes, level: int) -> list[tuple[tuple, int]]:
-    """(numbers of its words, count) of each n-gram of a bucket's table."""
-    u = Unpacked(table, level)
+    """(numbers of its words, count) of each n-gram of a part's table."""
+    numbers, packed = _unbundle(table)
+    u = Unpacked(packed, level, np.cumsum(_arrays(numbers)[0].astype(np.int64)))
     group = u.group_of[u.head_of]
     columns = [u.used[u.first][u.head_of], *(u.used[x][group] for x in u.shorter), u.used[u.word]]
     return [(tuple(int(x) for x in g), int(c)) for *g, c in zip(*columns, u.counts, strict=True)]
@@ -418,16 +492,15 @@ def _cut(values: np.ndarray, parts: list) -> list[np.ndarray]:
 
 
 def _merge(level: int, model: Model):
-    """One bucket: its part of an order's table, and its answers to the blocks."""
+    """One bucket: its share of an order's table, and its answers to the blocks."""
 
-    def merge(frame: pd.DataFrame) -> pd.DataFrame:
-        bucket = int(frame["bucket"].iloc[0])
-        parts = [Unpacked(x, level) for x in frame["entries"]]
+    def part_of(parts: list[Unpacked], counts: list[np.ndarray] | None) -> tuple[list[bytes], tuple]:
+        """The answers to those who sent the n-grams, and (n, counts of counts, table, hot histories)."""
         every, at = np.unique(np.concatenate([p.used for p in parts]), return_inverse=True)
-        local = _cut(at.astype(np.int64), [p.used for p in parts])
+        local = _cut(at.astype(np.int32), [p.used for p in parts])
         kinds = len(every)
         # Numbers for equal shorter histories, histories and n-grams in turn; each rises with the words.
-        group = [np.zeros(len(p.more[0]), np.int64) for p in parts]
+        group = [np.zeros(len(p.below), np.int32) for p in parts]
         for k in range(level - 2):
             group = _cut(_same([u[p.shorter[k]] for u, p in zip(local, parts, strict=True)], group, kinds)[1], group)
         first_head, heads = _same([u[p.first] for u, p in zip(local, parts, strict=True)], [g[p.group_of] for g, p in zip(group, parts, strict=True)], kinds)
@@ -436,28 +509,42 @@ def _merge(level: int, model: Model):
         cat = lambda get: np.concatenate([get(p) for p in parts])
         count = np.bincount(pair, cat(lambda p: p.counts.astype(np.int64)), len(first)).astype(np.int64)
         of = np.concatenate([h[p.head_of] for h, p in zip(head, parts, strict=True)])[first]  # each n-gram's history
-        lower, below = cat(lambda p: p.more[1].astype(np.int64))[first], cat(lambda p: p.more[0][p.group_of][p.head_of].astype(np.int64))[first]
-        hot = cat(lambda p: p.more[2].astype(bool))[first_head]
+        lower = np.concatenate([p.lower if level > 2 else c[p.word] for p, c in zip(parts, counts or parts, strict=True)])[first]
+        below, hot = cat(lambda p: p.below[p.group_of][p.head_of])[first], cat(lambda p: p.hot)[first_head]
         seen, n = count > 0, len(first_head)
         few = seen & (count <= K)
-        classes = np.bincount(of[few] * K + count[few] - 1, minlength=n * K).reshape(n, K)
-        mass = np.bincount(of[seen], model.p(level - 1, lower[seen], below[seen]), n).astype(np.float64)
+        classes = np.bincount(of[few].astype(np.int64) * K + count[few] - 1, minlength=n * K).reshape(n, K).astype(np.int32)
+        mass = np.bincount(of[seen], model.p(level - 1, lower[seen].astype(np.int64), below[seen]), n).astype(np.float64)
         flat = ~classes.any(1) & ~hot
-        out = []
-        for block, p, h, mine in zip(frame["block"], parts, head, _cut(pair, [p.word for p in parts]), strict=True):
+        answers = []
+        for p, h, mine in zip(parts, head, _cut(pair, [p.word for p in parts]), strict=True):
             c = count[mine]
             need = np.zeros(len(h), bool)
             need[p.head_of[c == 0]] = True
             need = h[need & ~hot[h]]
-            out.append((block, bucket, level, len(c), 0, 0, [], None, _join([c, flat[h], *classes[need].T, mass[need]]), []))
+            answers.append(_raw([c, flat[h], *classes[need].T, mass[need]]))
         # The words of each history, for the table and for what meets on the driver.
-        groups = [np.concatenate([u[p.shorter[k]][p.group_of] for u, p in zip(local, parts, strict=True)])[first_head] for k in range(level - 2)]
-        words = [np.concatenate([u[p.first] for u, p in zip(local, parts, strict=True)])[first_head], *groups]
+        words = [np.concatenate([u[p.first] for u, p in zip(local, parts, strict=True)])[first_head], *(np.concatenate([u[p.shorter[k]][p.group_of] for u, p in zip(local, parts, strict=True)])[first_head] for k in range(level - 2))]
         hots = [{"history": [int(every[x[i]]) for x in words], "n": classes[i].tolist(), "p": float(mass[i])} for i in np.flatnonzero(hot)]
         kept = np.flatnonzero(seen)
         word = np.concatenate([u[p.word] for u, p in zip(local, parts, strict=True)])[first]
-        table = _packed([x[of[kept]] for x in words], word[kept], every, count[kept], []) if len(kept) else None
-        out.append((None, bucket, level, len(kept), 0, 0, _classes(count[seen]), table, None, hots))
+        table = _bundle([_raw([np.diff(every, prepend=0)]), _packed([x[of[kept]] for x in words], word[kept], count[kept])]) if len(kept) else None
+        return answers, (len(kept), _classes(count[seen]), table, hots)
+
+    def merge(frame: pd.DataFrame) -> pd.DataFrame:
+        bucket = int(frame["bucket"].iloc[0])
+        pieces = [_unbundle(x) for x in frame["entries"]]
+        words = [_arrays(x[0]) for x in pieces]
+        used = [np.cumsum(x[0].astype(np.int64)) for x in words]
+        answers, out = [[] for _ in pieces], []
+        for part in range(1, PARTS + 1):
+            here = [i for i, x in enumerate(pieces) if x[part]]
+            if here:
+                found, (n, of, table, hots) = part_of([Unpacked(pieces[i][part], level, used[i]) for i in here], [_turned(words[i][1]) for i in here] if level == 2 else None)
+                for i, x in zip(here, found, strict=True):
+                    answers[i].append(x)
+                out.append((None, bucket, level, n, 0, 0, of, table, None, hots))
+        out += [(block, bucket, level, 0, 0, 0, [], None, _bundle(x), []) for block, x in zip(frame["block"], answers, strict=True)]
         return pd.DataFrame(out, columns=COLUMNS)
 
     return merge
@@ -490,7 +577,7 @@ class Result:
     kinds: int
 
 
-def train_and_score(docs: DataFrame, order: int = ORDER, bucket_bytes: int = BUCKET_BYTES, hot_least: int = HOT_LEAST, block_bytes: int = BLOCK_BYTES) -> Result:
+def train_and_score(docs: DataFrame, order: int = ORDER, bucket_bytes: int = BUCKET_BYTES, hot_least: int = HOT_LEAST, block_bytes: int = BLOCK_BYTES, wide: int = WIDE) -> Result:
     """Learns from the rows of docs(doc_id, text, held_out) that are not held out; scores all."""
     spark = docs.sparkSession
     common.small_batches(spark)
@@ -505,7 +592,7 @@ def train_and_score(docs: DataFrame, order: int = ORDER, bucket_bytes: int = BUC
     if 0 < train_docs <= K + 1:
         n[train_docs] += 1  # the end
     tokens, kinds = (sums["tokens"] or 0) + train_docs, (sums["kinds"] or 0) + (train_docs > 0)
-    model = Model(Unigrams.of(tokens, kinds, n), train_docs, max(hot_least, int(tokens * HOT_SHARE) + 1), {}, {})
+    model = Model(Unigrams.of(tokens, kinds, n), train_docs, max(hot_least, int(tokens * HOT_SHARE) + 1), wide, {}, {})
     answers = rows.where("block IS NOT NULL").select("block", "bucket", "level", "answer")
     for level in range(2, order + 1):
         shared = spark.sparkContext.broadcast(model)  # discounts, and at most 1 / HOT_SHARE histories an order
@@ -516,7 +603,7 @@ def train_and_score(docs: DataFrame, order: int = ORDER, bucket_bytes: int = BUC
         hots = hots.groupBy("history").agg(F.array(*[F.sum(F.element_at("n", r + 1)) for r in range(K)]).alias("n"), F.sum("p").alias("p")).collect()
         found = {tuple(r["history"]): (np.array(r["n"], np.int64), r["p"]) for r in hots}
         d = discounts(np.array([0, *(of[f"n{r}"] for r in range(1, K + 2))], np.int64))
-        model = Model(model.uni, train_docs, model.limit, {**model.d, level: d}, {**model.hot, level: found})
+        model = Model(model.uni, train_docs, model.limit, model.wide, {**model.d, level: d}, {**model.hot, level: found})
         answers = answers.unionByName(rows.where("block IS NOT NULL").select("block", "bucket", "level", "answer"))
     last = spark.sparkContext.broadcast(model)
 

@@ -171,7 +171,7 @@ def test_katz_equals_brute_force(spark, odd_docs, order, hot_least):
     rows += [(500 + i, " ".join(rng.choice("ab cd ef the of one".split()) for _ in range(rng.randrange(30)))) for i in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     want, seen = brute_katz(rows, order)
-    result = katz.train_and_score(marked(df), order=order, bucket_bytes=4096, hot_least=hot_least, block_bytes=8192)
+    result = katz.train_and_score(marked(df), order=order, bucket_bytes=4096, hot_least=hot_least, block_bytes=8192, wide=4 * hot_least)
     got = plain(result.scores, *[c.split()[0] for c in katz.SCORES.split(", ")])
     key = lambda r: (r[0] is None, r[0] or 0, r[2], r[5])
     assert len(got) == len(want)
@@ -947,3 +947,21 @@ def test_any_number_of_languages(spark, monkeypatch):
 def test_windows_do_not_cross_texts():
     one = langid.ngrams(pa.array(["ab", "cd"]))[1]
     assert [int((h >= 0).sum()) for h in one] == [4, 2, 0]
+
+
+# -- very long texts
+
+
+def test_very_long_texts_are_read_whole(spark):
+    """Unbroken texts of a million characters (op9: as long as its steps allow), and one of 300,000 words."""
+    texts = ["x" * 10**6, "é" * 400_000, "word " * 300_000, "0" * 10**6]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(2)
+    got = {r.doc_id: r for r in media.run(docs).collect()}
+    assert all(got[i].payload_sha256 == hashlib.sha256(media.payload_of(t)).hexdigest() and got[i].n_bytes == len(t.encode()) for i, t in enumerate(texts))
+    assert quality.predict(docs, quality.fit(docs, spark.createDataFrame([], "doc_id long, quality int")), ["doc_id"]).count() == 4
+    found = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(docs, langid.fit(docs), ["doc_id"]).collect()}
+    assert found[0] == found[1] == found[2] == ("en", 1.0) and found[3] == ("und", 0.0)
+    short = docs.withColumn("text", F.expr("CASE WHEN doc_id = 2 THEN text ELSE repeat(left(text, 1), 60000) END"))
+    assert {r.doc_id: (r.lossless, r.n_bytes) for r in pieces.digests(short).collect()} == {0: (True, 60000), 1: (True, 120000), 2: (True, 1_500_000), 3: (True, 60000)}
+    rows = vectors(spark, [(0, [1.0] * 300_000), (50, [1.0] * 2), (51, [0.0] * 299_999 + [2.0])])
+    assert sorted(plain(knn.top_k(rows, F.col("vec_id") % 50 == 0, k=1), "query_id", "vec_id", "score")) == [(0, 50, 131072), (50, 0, 131072)]
