@@ -262,6 +262,18 @@ def test_jaccard_boundary_and_empty(spark, no_docs):
     assert sorted(got) == sorted(brute_components(rows))
 
 
+def test_jaccard_texts_go_to_their_groups_in_fewer_bytes_than_sets(spark):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["and", "the", "ening", "thon", "ouly", "tion", "herin"]) + rng.choice(["", "er", "ly"]) for _ in range(400)) for _ in range(6)]
+    docs = spark.createDataFrame([*enumerate(texts), (0, "of another node")], "doc_id long, text string")
+    sets = jaccard.shingles(pa.array(texts))
+    wanted = spark.createDataFrame([(i, jaccard.node_of(x)) for i, x in enumerate(sets)], "doc_id long, node long")
+    sent = jaccard.sets_of(docs, wanted).toPandas()
+    assert sent["members"].map(len).sum() < 4 * sum(map(len, sets))  # 8 bytes each as hashes
+    frame, got = jaccard.read_sets(sent)
+    assert {n: x.tolist() for n, x in zip(frame["node"], got, strict=True)} == {jaccard.node_of(x): x.tolist() for x in sets}
+
+
 def test_one_of_each_keeps_one(spark, odd_docs):
     kept = jaccard.one_of_each(odd_docs.select("doc_id", "text"))
     rows = [(r.doc_id, r.text) for r in kept.collect()]
