@@ -1,3 +1,5 @@
+import hashlib
+import re
 import json
 
 import pytest
@@ -187,6 +189,22 @@ def test_index_statuses(spark):
     assert memory.index_plan(docs, spark.createDataFrame([("p", block)], "project_key string, text string"), links=links).first().status == "kept-symlink-leaf"
 
 
+def test_index_digests_equal_the_plan(spark):
+    """Streamed line by line, each kind of index gives what the plan with whole contents gives."""
+    docs = [(n, d, t, s) for n, d, t, s in (("b.md", "B", " of b\t2 ", "ok"), ("A b.MD", None, None, "ok"))]
+    block = "\n".join([memory.BEGIN, "- [A b](A%20b.MD)", "- [B](b.md) — of b 2", memory.END])
+    texts = [None, "own words", f"x\n{memory.END}\n{memory.BEGIN}", f"x\n{block}\ny", f"x\r\n{memory.BEGIN}\n{memory.END}\ny\r\nz", f"x\n{memory.BEGIN}\r\nold\r\n{memory.END}", f"```\n{memory.BEGIN}\n```\n[b](b.md) [c](C.md)\n    [d](d.md)"]
+    rows = spark.createDataFrame([(f"p{i}", *d) for i in range(len(texts)) for d in docs], "project_key string, filename string, name string, description string, state string")
+    rows = rows.union(spark.createDataFrame([("q", "x.md", None, None, "zero_byte")], rows.schema))
+    names = [*((f"p{i}", t) for i, t in enumerate(texts)), ("q", None), ("r", None)]
+    indexes = spark.createDataFrame(names, "project_key string, text string")
+    pieces = [(p, n, "", "", x) for p, t in names if t is not None for n, x in enumerate(re.findall(r"[^\n]*\n|[^\n]+", t))]
+    old = spark.createDataFrame(pieces, "project_key string, ord long, fold string, filename string, text string")
+    want = {r.project_key: (r.status, r.content and hashlib.sha256(r.content.encode()).hexdigest(), len(r.missing), r.stale) for r in memory.index_plan(rows, indexes).collect()}
+    got = {r.project_key: (r.status, r.content_hash, r.missing, r.stale) for r in memory.index_digests(rows, indexes, old).collect()}
+    assert got == want
+
+
 def test_bindings_go_in_order_and_duplicates_block(spark):
     dirs = spark.createDataFrame([("a", ["/x"]), ("b", ["/y"]), ("c", []), ("d", ["/1", "/2"]), ("e", ["/z"]), ("f", ["/w"])], "local_dir string, cwds array<string>")
     pair = lambda rows, k: spark.createDataFrame(rows, f"{k} string, hub_dir string")
