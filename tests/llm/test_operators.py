@@ -274,6 +274,31 @@ def test_jaccard_texts_go_to_their_groups_in_fewer_bytes_than_sets(spark):
     assert {n: x.tolist() for n, x in zip(frame["node"], got, strict=True)} == {jaccard.node_of(x): x.tolist() for x in sets}
 
 
+def test_jaccard_sends_only_packed_texts_of_groups(spark, monkeypatch):
+    """However many documents meet in runs: where their rows are too many for a broadcast, no plain text is shuffled."""
+    rng = random.Random(6)
+    one, two, three = ([f"{rng.choice('abcdefgh')}{rng.randrange(999)}" for _ in range(200)] for _ in range(3))
+    rows = [(0, " ".join(one)), (1, " ".join([*one[:-1], "other"])), (2, " ".join(two)), (3, " ".join([*two[:80], *three[:120]])), (None, " ".join(three)), (5, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(common, "small", lambda *a: False)
+    asked, plans, real = [], [], jaccard.sets_of
+
+    def recorded(docs, wanted, *args, **more):
+        sent = real(docs, wanted, *args, **more)
+        asked.extend(r.doc_id for r in wanted.collect())
+        plans.append(sent._jdf.queryExecution().executedPlan().toString())
+        return sent
+
+    monkeypatch.setattr(jaccard, "sets_of", recorded)
+    for part in (jaccard.PART_SHINGLES, 100):
+        got = plain(jaccard.components_of(docs, part_shingles=part), "doc_id", "n_shingles", "component_id")
+        assert sorted(got, key=str) == sorted(brute_components(rows), key=str)
+    assert set(asked) == {0, 1}  # 2 and 3 share shingles, but no link is possible
+    for plan in plans:
+        for below in plan.split("Exchange")[1:]:
+            assert "text" not in below or "MapInArrow" in below.partition("text")[0]
+
+
 def test_one_of_each_keeps_one(spark, odd_docs):
     kept = jaccard.one_of_each(odd_docs.select("doc_id", "text"))
     rows = [(r.doc_id, r.text) for r in kept.collect()]
